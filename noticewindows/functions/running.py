@@ -23,6 +23,8 @@ def _scan(
     carried: dict[str, Column],
 ) -> DataFrame:
     """Add, per name: the in-bucket window column and the value carried in from earlier buckets."""
+    # one shuffle serves both: the scan of the rows and the summary read the same exchange
+    df = df.repartition(*keys, bucket)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     summary = df.groupBy(*keys, bucket).agg(*[c[1].alias(f"__s_{n}") for n, c in local.items()])

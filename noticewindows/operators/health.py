@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from datetime import timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
 from noticewindows.functions import running, timecols
+from noticewindows.session import cut_lineage
 
 
 def run_failed(run_outcomes: DataFrame) -> DataFrame:
@@ -123,30 +123,24 @@ def heartbeat_due(run_log: DataFrame, hours: float) -> DataFrame:
     bounds = run_log.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     if bounds["lo"] is None:
         return run_log.select("firm", "ts").limit(0)
-    cuts = int((bounds["hi"] - bounds["lo"]) / span) + 1
-    origin = F.unix_micros(F.lit(bounds["lo"]))
-    slices = (
-        run_log.select("firm", F.unix_micros("ts").alias("us"))
-        .withColumn("slice", F.floor((F.col("us") - origin) / step_us).cast("int"))
-    )
+    steps = int((bounds["hi"] - bounds["lo"]) / span) + 1
+    log = run_log.select("firm", "ts")
     none = F.array().cast("array<bigint>")
-    firms = run_log.select("firm").distinct().withColumn("sent", none)
-
-    def advance(state: DataFrame, n: int) -> DataFrame:
-        due = F.coalesce(F.element_at("sent", -1) + step_us, F.lit(-(1 << 62)))
-        state = state.withColumn("due", F.when(F.size("sent") > 0, due).otherwise(F.lit(-(1 << 62))))
-        here = slices.filter(F.col("slice") == n)
-        hit = (
-            here.join(state.select("firm", "due"), "firm")
-            .filter(F.col("us") >= F.col("due"))
+    sent = log.select("firm").distinct().withColumn("sent", none)
+    for n in range(steps):
+        lo = bounds["lo"] + n * span
+        here = log.filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(lo + span)))
+        due = F.coalesce(F.try_element_at("sent", F.lit(-1)) + step_us, F.lit(-(1 << 62)))
+        us = F.unix_micros("ts")
+        # "sent" is one value per firm, so any row of the group carries it
+        sent = (
+            sent.join(here, "firm", "left")
             .groupBy("firm")
-            .agg(F.min("us").alias("hit"))
-        )
-        return (
-            state.join(hit, "firm", "left")
-            .withColumn("sent", F.when(F.col("hit").isNull(), F.col("sent")).otherwise(F.array_append("sent", "hit")))
-            .select("firm", "sent")
+            .agg(F.any_value("sent").alias("sent"), F.min(F.when(us >= due, us)).alias("hit"))
+            .select("firm", F.array_compact(F.array_append("sent", F.col("hit"))).alias("sent"))
         )
-
-    done = reduce(advance, range(cuts), firms)
-    return done.select("firm", F.timestamp_micros(F.explode("sent")).alias("ts"))
+        if n % 8 == 7:
+            sent = cut_lineage(sent, "heartbeats")
+    return sent.select("firm", F.explode("sent").alias("us")).select(
+        "firm", F.timestamp_micros("us").alias("ts")
+    )

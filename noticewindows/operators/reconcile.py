@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
 from noticewindows.functions import running, timecols
+from noticewindows.session import cut_lineage
 
 POST = ["firm", "post_key"]
 WINDOW = ["firm", "event_type", "start_iso", "end_iso", "summary"]
@@ -248,6 +249,9 @@ def reconcile(
 ) -> DataFrame:
     """The plan of one run: what happens to every window of the posts that were extracted.
 
+    The diff and the timeline are each read several times, so both are written to the shared folder
+    once, and so is the plan itself: a table that a dry run shows and :func:`apply_plan` reads.
+
     ``action``: keep, refuse, history, release, delete, share, adopt or create.  ``promoted`` rows are
     requests of posts that were not extracted; they come after every other request.
     """
@@ -280,6 +284,7 @@ def reconcile(
         "step",
         side.alias("e"),
     ).select("*", "e.*").drop("e")
+    rows = cut_lineage(rows, "diff")
     settled = rows.filter(F.col("step").isin("keep", "refuse", "history")).select(
         *POST, "proc_ord", "event_key", F.col("old_entry").alias("entry_id"), F.col("step").alias("action"), *_EVENT
     )
@@ -300,9 +305,8 @@ def reconcile(
                 F.lit(1).alias("delta"),
             )
         )
-    return settled.unionByName(
-        _decide(moving, opening_balance(tracked, real_calendar), calendar_inventory)
-    )
+    decided = _decide(moving, opening_balance(tracked, real_calendar), calendar_inventory)
+    return cut_lineage(settled.unionByName(decided), "plan")
 
 
 def _decide(moving: DataFrame, opening: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -330,7 +334,7 @@ def _decide(moving: DataFrame, opening: DataFrame, inventory: DataFrame) -> Data
         .otherwise("create")
     )
     fresh = F.coalesce("calendar_entry", F.concat(F.lit(fv.PLACEHOLDER_PREFIX), "event_key"))
-    rows = rows.withColumn("action", action)
+    rows = cut_lineage(rows.withColumn("action", action), "timeline")
     started = F.when(
         F.col("action").isin("adopt", "create"), F.struct("proc_ord", "step", "tie", fresh.alias("entry"))
     )

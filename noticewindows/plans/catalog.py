@@ -462,7 +462,7 @@ def p6_to_instant(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_evidence_check(spark: SparkSession, d: str) -> DataFrame:
     docs = a.documents(spark, d)
-    first = F.replace(F.regexp_extract("text", r"([^.]+)\.", 1), F.lit(" "), F.lit(" | "))
+    first = F.replace(F.substring_index("text", ".", 1), F.lit(" "), F.lit(" | "))
     own = docs.select("doc_id", F.lit("own").alias("kind"), F.upper(first).alias("quote"))
     other = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.lit("other").alias("kind"), first.alias("quote"))
     texts = validate.with_words(docs).select("doc_id", "text", "text_words")

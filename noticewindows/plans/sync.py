@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from noticewindows.functions import timecols
 from noticewindows.operators import posts as post_ops
 from noticewindows.operators import reconcile, report, validate, vote
+from noticewindows.session import cut_lineage
 
 POST = ["firm", "post_key"]
 RAW = [
@@ -80,7 +81,9 @@ def sync(
     )
     settings = firms.select("firm", "timezone", "require_stated_offset")
     raw = kept.join(extracted.select(*POST), POST, "left_semi").select(*POST, *RAW)
-    events, rejections = validate.validate_events(raw, posts, settings, rules, now, calendar_zone)
+    judged = validate.judge_events(raw, posts, settings, rules, now, calendar_zone)
+    judged = cut_lineage(judged, "judged")  # events and rejections are read many times below
+    events, rejections = validate.accepted(judged), validate.rejected(judged)
     doubtful = disputes.join(extracted.select(*POST), POST, "left_semi").select(*POST, *RAW, "dispute")
     flagged = vote.flag_disputes(doubtful, posts, settings, rules, now)
     rejections = rejections.unionByName(flagged)
@@ -89,8 +92,9 @@ def sync(
     no_text = held.select(*POST).distinct().join(
         state.select(*POST, F.lit("").alias("text"), "url", "arrival_seq"), POST, "left"
     )
-    judged = validate.judge_events(held, no_text, settings, rules, now, calendar_zone)
-    promoted, still, dropped = reconcile.promote_deferred(judged, tracked)
+    again = validate.judge_events(held, no_text, settings, rules, now, calendar_zone)
+    again = cut_lineage(again, "held")
+    promoted, still, dropped = reconcile.promote_deferred(again, tracked)
     promoted = promoted.join(state.select(*POST, "arrival_seq"), POST).withColumn(
         "evidence", F.col("kept_evidence")
     )
