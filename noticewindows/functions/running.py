@@ -33,7 +33,7 @@ def _scan(
         *[carried[n].over(before).alias(f"__c_{n}") for n in local],
     )
     out = df.select("*", *[c[0].over(inside).alias(f"__l_{n}") for n, c in local.items()])
-    same = [out[k].eqNullSafe(summary[f"__k_{k}"]) for k in (*keys, bucket)]
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in (*keys, bucket)]
     return out.join(summary, same, "left").drop(*[f"__k_{k}" for k in (*keys, bucket)])
 
 

@@ -127,22 +127,24 @@ def overlap_anti(new: DataFrame, tracked: DataFrame) -> DataFrame:
     """
     left = new.select(*POST, "event_key", "event_type", "start_at", "end_at")
     right = with_instants(tracked).select(
-        *POST,
+        F.col("firm").alias("t_firm"),
+        F.col("post_key").alias("t_post"),
         F.col("event_key").alias("t_key"),
         F.col("event_type").alias("t_type"),
         F.col("start_at").alias("t_start"),
         F.col("end_at").alias("t_end"),
     )
+    own = (F.col("firm").eqNullSafe(F.col("t_firm"))) & (F.col("post_key") == F.col("t_post"))
     same = left.select(*POST, "event_key").join(
-        right.select(*POST, F.col("t_key").alias("event_key")), [*POST, "event_key"], "left_semi"
+        right.select("t_firm", "t_post", "t_key"), own & (F.col("event_key") == F.col("t_key")), "left_semi"
     )
     by_day = left.withColumn("day", _days(F.col("start_at"), F.col("end_at")))
     t_day = right.filter("t_start is not null and t_end is not null").withColumn(
-        "day", _days(F.col("t_start"), F.col("t_end"))
+        "t_day", _days(F.col("t_start"), F.col("t_end"))
     )
-    kind = F.coalesce("t_type", F.lit("")).isin("") | (F.col("t_type") == F.col("event_type"))
+    kind = (F.coalesce("t_type", F.lit("")) == "") | (F.col("t_type") == F.col("event_type"))
     touch = (F.col("start_at") <= F.col("t_end")) & (F.col("t_start") <= F.col("end_at"))
-    on = [by_day[c].eqNullSafe(t_day[c]) for c in POST] + [by_day["day"] == t_day["day"], kind, touch]
+    on = own & (F.col("day") == F.col("t_day")) & kind & touch
     overlapping = by_day.join(t_day, on, "left_semi").select(*POST, "event_key")
     hit = same.unionByName(overlapping).distinct()
     return new.join(hit, [*POST, "event_key"], "left_anti")
@@ -228,12 +230,12 @@ def opening_balance(tracked: DataFrame, real_calendar: bool) -> DataFrame:
     if real_calendar:
         held = held.filter(~is_placeholder(F.col("entry_id")))
     # one reference per post and key, however often a post lists it
-    once = held.groupBy(*WINDOW, "post_key", "event_key").agg(
-        F.min(F.struct("arrival_seq", "pos")).alias("ord"),
-        F.min_by("entry_id", F.struct("arrival_seq", "pos")).alias("entry_id"),
+    once = _first_per_key(
+        held.select(*WINDOW, "post_key", "event_key", "entry_id", "arrival_seq", "pos"),
+        F.struct("arrival_seq", "pos"),
     )
     return once.groupBy(*WINDOW).agg(
-        F.count("*").alias("held"), F.min_by("entry_id", "ord").alias("entry_id")
+        F.count("*").alias("held"), F.min_by("entry_id", F.struct("arrival_seq", "pos")).alias("entry_id")
     )
 
 

@@ -1,11 +1,15 @@
 """The given tables seen as the inputs of the operators: posts, windows, ballots, logs, pages.
 
+A view is a lazy plan, built once per session and folder.
+
 Every view is a projection of whole tables.  Variety (faults, offsets, formats, who saw what) comes
 from the tables' own columns; the SQL twins of these views are in ``oracle.py``.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     return rows.select(
@@ -60,6 +65,7 @@ def _affected() -> Column:
     return F.when(F.col("value") >= 50, "DESK-A, DESK-B").when(F.col("value") >= 20, "desk-c")
 
 
+@cache
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as windows: firm is the user, the post is the user and the tens of ``k``."""
     ev = events(spark, sf_dir)
@@ -117,10 +123,12 @@ TRACKED = [
 ]
 
 
+@cache
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(spark, sf_dir).select(*TRACKED)
 
 
+@cache
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firms with a title and a page: every user, so firms without windows of a kind stay visible."""
     users = events(spark, sf_dir).groupBy("user_id").agg(F.max("value").alias("top"))
@@ -132,6 +140,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone and offset policy per firm."""
     users = events(spark, sf_dir).select("user_id").distinct()
@@ -145,6 +154,7 @@ def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows as a model would write them: wall-clock strings with the faults that ``k`` stands for."""
     w = windows(spark, sf_dir)
@@ -198,6 +208,7 @@ RAW = [
 ]
 
 
+@cache
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per (user, tens of k), with the sentence that some quotes are taken from."""
     posts = windows(spark, sf_dir).groupBy("firm", "post_key").agg(
@@ -209,6 +220,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts of their source."""
     docs = table(spark, sf_dir, "documents")
@@ -226,6 +238,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def document_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was known before: Spanish posts are new, German ones have changed, short ones predate
     the record of held rows."""
@@ -243,6 +256,7 @@ def document_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def document_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword gates per source, from the longest text each one has."""
     sources = documents(spark, sf_dir).groupBy("firm").agg(F.max("n_chars").alias("longest"))
@@ -254,6 +268,7 @@ def document_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three members over the raw rows; each overlooks some, writes times its own way, or abstains."""
     raw = raw_events(spark, sf_dir)
@@ -288,6 +303,7 @@ def ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ballots as model replies: plain, fenced, after a reasoning block or in prose; some need a repair."""
     answers = ballots(spark, sf_dir)
@@ -332,11 +348,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State before a run: everything but what sign-ups announce."""
     return tracked(spark, sf_dir).filter("event_type <> 'crypto_closure'")
 
 
+@cache
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the run extracts: everything but what clicks announced; posts with k from 90 list nothing."""
     rows = windows(spark, sf_dir).filter("event_type <> 'late_open' and k < 90")
@@ -355,6 +373,7 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def extracted_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post is extracted; those with k in the fifties are unchanged ones read once more."""
     posts = windows(spark, sf_dir).groupBy("firm", "post_key").agg(
@@ -363,12 +382,14 @@ def extracted_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select("firm", "post_key", "proc_ord", F.col("k").between(50, 59).alias("recover"))
 
 
+@cache
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries an external calendar already has."""
     rows = windows(spark, sf_dir).filter("value >= 150")
     return rows.select("event_key", F.concat(F.lit("ext-"), "event_key").alias("entry_id")).distinct()
 
 
+@cache
 def post_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows(spark, sf_dir).groupBy("firm", "post_key").agg(
         F.max("at").alias("last_seen"),
@@ -386,11 +407,13 @@ def post_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def held_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows held back: the raw rows of sign-ups."""
     return raw_events(spark, sf_dir).filter("event_type = 'crypto_closure'").select(*RAW)
 
 
+@cache
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     return ev.select(
@@ -406,6 +429,7 @@ def monitor() -> Column:
     return F.col("user_agent") == '{"k": 0}'
 
 
+@cache
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     failed = F.col("event_type") == "error"
@@ -420,6 +444,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     k = F.col("k")
@@ -440,11 +465,13 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
     return rows.withColumn("firm", F.regexp_extract("url", "^https?://([^/]+)", 1))
 
 
+@cache
 def page_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One profile per host."""
     hosts = pages(spark, sf_dir).select("firm").distinct()

@@ -23,7 +23,7 @@ from noticewindows.operators import (
 )
 from noticewindows.operators import posts as post_ops
 from noticewindows.plans import adapters as a
-from noticewindows.session import run_folder
+from noticewindows.session import cut_lineage, run_folder
 from noticewindows.sources import crawl, pages, profiles, state
 from noticewindows.streaming import streams
 
@@ -344,7 +344,7 @@ def s6_select_recent(spark: SparkSession, d: str) -> DataFrame:
         .agg(F.max("event_id").alias("event_id"))
         .select("firm", key.alias("post_key"), F.concat(F.lit("https://example.org/"), "firm").alias("url"))
     )
-    links = ev.select(firm.alias("firm"), (-F.col("event_id")).alias("pos"), url.alias("url"))
+    links = ev.select(firm.alias("firm"), (F.lit(1 << 40) - F.col("event_id")).alias("pos"), url.alias("url"))
     outcome = (
         F.when(F.col("event_type") == "click", "gone")
         .when(F.col("event_type") == "error", "unreadable")
@@ -1089,7 +1089,7 @@ def s11_export_feed_files(spark: SparkSession, d: str) -> DataFrame:
     feed.export_feed(lines, path)
     back = spark.read.option("lineSep", "\r\n").schema("value string, feed_id string").text(path)
     return back.groupBy("feed_id").agg(
-        F.count("*").alias("lines"),
+        F.count_if(~F.col("value").startswith(" ")).alias("lines"),
         F.count_if(F.col("value") == "BEGIN:VEVENT").alias("events"),
         F.count_if(F.col("value") == "TZOFFSETTO:+0300").alias("zone_lines"),
         (F.max(F.octet_length("value")) <= 75).alias("folded"),
@@ -1187,6 +1187,7 @@ def f8_feed_problems(spark: SparkSession, d: str) -> DataFrame:
         .when((last == "7") & (line == "END:VCALENDAR"), "END")
         .otherwise(line),
     ).withColumn("ended", (last != "8") | ~line.startswith("END:VCALENDAR"))
+    broken = cut_lineage(broken, "exported")  # a feed is checked after it was exported
     return feed.feed_problems(broken).groupBy("feed_id", "code").agg(
         F.count("*").alias("n"), F.max("detail").alias("detail")
     )

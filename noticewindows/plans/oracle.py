@@ -224,7 +224,7 @@ VIEWS: dict[str, str] = {
     "ekeys": """SELECT r.case_id, r.run, e.event_type, e.start_time, e.end_time, a.norm_off AS off, e.aff
         FROM runs r JOIN exp1 e USING (case_id) LEFT JOIN norm a ON a.raw_off = e.off WHERE NOT r.abstains""",
     "gkeys": "SELECT g.*, a.norm_off AS noff FROM got1 g LEFT JOIN norm a ON a.raw_off = g.off",
-    "both": """SELECT coalesce(e.case_id, g.case_id) AS case_id, coalesce(e.run, g.run) AS run,
+    "sides": """SELECT coalesce(e.case_id, g.case_id) AS case_id, coalesce(e.run, g.run) AS run,
         coalesce(e.event_type, g.event_type) AS event_type, coalesce(e.start_time, g.start_time) AS start_time,
         coalesce(e.end_time, g.end_time) AS end_time, e.case_id IS NOT NULL AS in_e, g.case_id IS NOT NULL AS in_g,
         e.off IS DISTINCT FROM g.noff AS off_differs, coalesce(e.aff, '') <> '' AND coalesce(g.aff, '') = '' AS lost
@@ -236,7 +236,7 @@ VIEWS: dict[str, str] = {
         FROM runs r LEFT JOIN (SELECT case_id, run, count(*) FILTER (in_e AND in_g) AS matched,
           count(*) FILTER (NOT in_g) AS missing, count(*) FILTER (NOT in_e) AS extra,
           count(*) FILTER (in_e AND in_g AND off_differs) AS offs, count(*) FILTER (in_e AND in_g AND lost) AS lost
-          FROM both GROUP BY ALL) b USING (case_id, run)
+          FROM sides GROUP BY ALL) b USING (case_id, run)
         LEFT JOIN (SELECT post_key AS case_id, n AS run, count(*) FILTER (evidence LIKE 'the Platform%') AS ok, count(*) AS total
           FROM brows GROUP BY ALL) q USING (case_id, run)""",
     "passed": """SELECT *, error IS NULL AND missing <= 2 AND extra <= 1 AND offset_mismatches = 0 AS good,
@@ -562,8 +562,8 @@ SQL_BODY: dict[str, str] = {
           {iso('lr')} AS last_run, {iso('ls')} AS last_success, {iso('lr + INTERVAL 10 HOUR')} AS next_run, le AS last_error, an AS anomalies,
           ok AS runs_ok, bad AS runs_failed, (SELECT count(*) FROM hfin WHERE status <> 'ok') AS unhealthy FROM l""",
     "f11_humanize": f"""WITH s AS (SELECT event_id, greatest(floor(((epoch_us({NOW}) - epoch_us(tm)) / 1000000) * CASE WHEN k < 50 THEN 1.0 ELSE 0.001 END), 0) AS s FROM ev)
-        SELECT event_id, CASE WHEN s < 90 THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || ' s' WHEN s < 5400 THEN CAST(s // 60 AS BIGINT) || ' min'
-          WHEN s < 172800 THEN CAST(s // 3600 AS BIGINT) || ' h' ELSE CAST(s // 86400 AS BIGINT) || ' d' END AS age FROM s""",
+        SELECT event_id, CASE WHEN s < 90 THEN CAST(CAST(s AS BIGINT) AS VARCHAR) || ' s' WHEN s < 5400 THEN CAST(floor(s / 60) AS BIGINT) || ' min'
+          WHEN s < 172800 THEN CAST(floor(s / 3600) AS BIGINT) || ' h' ELSE CAST(floor(s / 86400) AS BIGINT) || ' d' END AS age FROM s""",
     "w5_notify_once": """SELECT firm, run_id, error FROM (SELECT *, lag(error) OVER (PARTITION BY firm ORDER BY ts, run_id) AS p FROM rlog)
         WHERE error IS NOT NULL AND error IS DISTINCT FROM p""",
     "w6_heartbeat_due": f"""WITH RECURSIVE hb AS (SELECT 'u' || user_id AS firm, min(ts) AS ts FROM events GROUP BY 1
@@ -598,7 +598,7 @@ SQL_BODY: dict[str, str] = {
     "g12_juror_scores": """SELECT case_id, voter, bool_and(alone) AS passed, CAST(sum(matched) AS BIGINT) AS matched, max(missing) AS missing, max(extra) AS extra,
         max(offset_mismatches) AS offset_mismatches, count(*) FILTER (error IS NOT NULL) AS errors FROM passed GROUP BY case_id, voter""",
     "g13_extraction_cost": """SELECT firm, count(*) FILTER (status <> 'unchanged') AS posts, count(*) FILTER (status <> 'unchanged') * 3 AS calls FROM doc_status GROUP BY firm""",
-    "w9_key_sets": """SELECT case_id, run::BIGINT AS run, event_type, start_time, end_time, CASE WHEN in_e AND in_g THEN 'matched' WHEN in_e THEN 'missing' ELSE 'extra' END AS side FROM both""",
+    "w9_key_sets": """SELECT case_id, run::BIGINT AS run, event_type, start_time, end_time, CASE WHEN in_e AND in_g THEN 'matched' WHEN in_e THEN 'missing' ELSE 'extra' END AS side FROM sides""",
     "s11_export_feed": f"""WITH f AS (SELECT * FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%'),
         s AS (SELECT feed_id, one FROM sel WHERE feed_id = 'all' OR feed_id LIKE 'firm-%'),
         nm AS (SELECT s.feed_id, CASE WHEN s.one IS NOT NULL OR (SELECT count(DISTINCT firm) FROM f) = 1 THEN coalesce(c.title, upper(s.one)) || ' Trading Updates' ELSE 'All Trading Updates' END AS name
@@ -634,6 +634,20 @@ SQL_BODY: dict[str, str] = {
             || CASE WHEN url <> '' THEN 'Source: ' || {_esc('url')} || '\\n' ELSE '' END || '{fv.ATTRIBUTION}' END,
           'BEGIN:VALARM', 'ACTION:DISPLAY', 'DESCRIPTION:' || {_esc('summary')}, 'TRIGGER:-PT30M', 'END:VALARM', 'END:VEVENT'], lambda x: x IS NOT NULL) AS lines FROM w)
         SELECT pos, (i - 1)::BIGINT AS line_no, line FROM (SELECT pos, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM b)""",
+    "s11_export_feed_files": """WITH f AS (SELECT * FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%')
+        SELECT feed_id, 18 + CAST(sum(13 + CASE WHEN evidence <> '' OR link <> '' THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) AS events,
+          1::BIGINT AS zone_lines, true AS folded FROM f GROUP BY feed_id""",
+    "f8_feed_problems": f"""WITH f AS (SELECT *, right(feed_id, 1) AS c FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%'),
+        g AS (SELECT feed_id, c, count(*) AS n, count(DISTINCT event_key) AS keys, max(octet_length(encode('SUMMARY:' || {_esc('summary')}))) AS wide FROM f GROUP BY ALL),
+        nums AS (SELECT feed_id, max('event ' || i || ' needs exactly one DTSTAMP') AS detail FROM (SELECT feed_id, unnest(range(1, n + 1)) AS i FROM g WHERE c = '2') GROUP BY 1)
+        SELECT feed_id, 'event' AS code, 1::BIGINT AS n, 'duplicate UIDs' AS detail FROM g WHERE ((c = '1' AND n > 1) OR keys < n) AND c NOT IN ('2', '3', '7')
+        UNION ALL SELECT feed_id, 'event', g.n + CASE WHEN keys < g.n THEN 1 ELSE 0 END, nums.detail FROM g JOIN nums USING (feed_id)
+        UNION ALL SELECT feed_id, 'structure', 1, 'END:VTIME does not close what is open' FROM g WHERE c = '3'
+        UNION ALL SELECT feed_id, 'folding', 1, 'a line of ' || (wide + 80) || ' octets (limit 75)' FROM g WHERE c = '4'
+        UNION ALL SELECT feed_id, 'timezone', 1, 'TZID not defined: America/Chicago' FROM g WHERE c = '5'
+        UNION ALL SELECT feed_id, 'structure', 1, 'calendar has no VERSION' FROM g WHERE c = '6'
+        UNION ALL SELECT feed_id, 'structure', 1, 'not wrapped in BEGIN:VCALENDAR … END:VCALENDAR' FROM g WHERE c = '7'
+        UNION ALL SELECT feed_id, 'line-endings', 1, 'does not end with CRLF' FROM g WHERE c = '8'""",
     "f5_vtimezone_lines": """SELECT * FROM (SELECT firm AS id, -(1::BIGINT << 60) AS block_ord, 'BEGIN:VTIMEZONE|TZID:' || timezone AS lines FROM firms
           UNION ALL SELECT firm, (1::BIGINT << 60), 'END:VTIMEZONE' FROM firms
           UNION ALL SELECT firm, 0, 'BEGIN:STANDARD|DTSTART:19700101T000000|TZOFFSETFROM:+0300|TZOFFSETTO:+0300|TZNAME:+03|END:STANDARD' FROM firms WHERE timezone = 'Etc/GMT-3'
