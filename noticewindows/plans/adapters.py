@@ -49,7 +49,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @cache
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
+    return shape_events(table(spark, sf_dir, "events"))
+
+
+def shape_events(rows: DataFrame) -> DataFrame:
     return rows.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("at"),
@@ -68,7 +71,10 @@ def _affected() -> Column:
 @cache
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as windows: firm is the user, the post is the user and the tens of ``k``."""
-    ev = events(spark, sf_dir)
+    return shape_windows(events(spark, sf_dir))
+
+
+def shape_windows(ev: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
     tens = F.floor(F.col("k") / 10)
     rows = ev.select(
@@ -357,7 +363,11 @@ def before(spark: SparkSession, sf_dir: str) -> DataFrame:
 @cache
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the run extracts: everything but what clicks announced; posts with k from 90 list nothing."""
-    rows = windows(spark, sf_dir).filter("event_type <> 'late_open' and k < 90")
+    return shape_extraction(windows(spark, sf_dir))
+
+
+def shape_extraction(w: DataFrame) -> DataFrame:
+    rows = w.filter("event_type <> 'late_open' and k < 90")
     return rows.select(
         "firm",
         "post_key",
@@ -376,7 +386,11 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @cache
 def extracted_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post is extracted; those with k in the fifties are unchanged ones read once more."""
-    posts = windows(spark, sf_dir).groupBy("firm", "post_key").agg(
+    return shape_extracted_posts(windows(spark, sf_dir))
+
+
+def shape_extracted_posts(w: DataFrame) -> DataFrame:
+    posts = w.groupBy("firm", "post_key").agg(
         F.min("arrival_seq").alias("proc_ord"), F.min("k").alias("k")
     )
     return posts.select("firm", "post_key", "proc_ord", F.col("k").between(50, 59).alias("recover"))
@@ -415,7 +429,10 @@ def held_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @cache
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
+    return shape_access(events(spark, sf_dir))
+
+
+def shape_access(ev: DataFrame) -> DataFrame:
     return ev.select(
         F.col("at").alias("ts"),
         F.when(F.col("event_type") == "view", "view").otherwise("feed").alias("kind"),
@@ -431,7 +448,10 @@ def monitor() -> Column:
 
 @cache
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir)
+    return shape_runs(events(spark, sf_dir))
+
+
+def shape_runs(ev: DataFrame) -> DataFrame:
     failed = F.col("event_type") == "error"
     return ev.select(
         F.col("event_id").alias("run_id"),

@@ -1199,3 +1199,57 @@ def f8_feed_problems(spark: SparkSession, d: str) -> DataFrame:
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     schema = a.table(spark, d, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+@query
+def t1_changed_posts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as snapshots of one post per (source, language), in the order of their ids."""
+    streams.use_rocksdb(spark)
+    docs = _stream(spark, d, "documents")
+    snapshots = docs.select(
+        F.col("source").alias("firm"),
+        F.col("lang").alias("post_key"),
+        F.col("doc_id").alias("snapshot_id"),
+        timecols.iso_instant(F.lit("2024-01-01")).alias("seen_at"),
+        "text",
+    )
+    out = streams.run_to_table(streams.changed_posts_stream(snapshots), run_folder(spark, "t1"))
+    return out.select("firm", "post_key", "snapshot_id", "content_hash")
+
+
+@query
+def t2_reconcile_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The state before a run, one micro-batch of events, the state after it."""
+    root = run_folder(spark, "t2-state")
+    tables = {**state.empty_state(spark), "post_state": a.post_state(spark, d), "tracked": a.before(spark, d)}
+    state.write_state(spark, root, 0, tables)
+    inventory = a.inventory(spark, d)
+
+    def sync(old: dict[str, DataFrame], batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+        w = a.shape_windows(a.shape_events(batch))
+        extracted = a.shape_extracted_posts(w)
+        plan = reconcile.reconcile(
+            old["tracked"], a.shape_extraction(w), extracted, inventory, a.now(), real_calendar=True
+        )
+        after = reconcile.apply_plan(old["tracked"], plan, extracted, old["post_state"])
+        return {**old, "tracked": after}
+
+    streams.reconcile_stream(_stream(spark, d, "events"), root, run_folder(spark, "t2"), sync).awaitTermination()
+    tracked = state.read_state(spark, root)[0]["tracked"]
+    return tracked.select(*POST, "arrival_seq", "event_key", "entry_id", "event_type", "summary", "start_iso")
+
+
+@query
+def t6_usage_stats_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Days that are closed once the whole log has been read."""
+    access = a.shape_access(a.shape_events(_stream(spark, d, "events")))
+    daily = streams.run_to_table(streams.usage_stats_stream(access, a.monitor()), run_folder(spark, "t6"))
+    return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "views", "visitors", "feed_hits", "feed_clients")
+
+
+@query
+def t7_notify_once_stream(spark: SparkSession, d: str) -> DataFrame:
+    streams.use_rocksdb(spark)
+    log = a.shape_runs(a.shape_events(_stream(spark, d, "events")))
+    out = streams.run_to_table(streams.notify_once_stream(log), run_folder(spark, "t7"))
+    return out.select("firm", "run_id", "error")

@@ -634,6 +634,13 @@ SQL_BODY: dict[str, str] = {
             || CASE WHEN url <> '' THEN 'Source: ' || {_esc('url')} || '\\n' ELSE '' END || '{fv.ATTRIBUTION}' END,
           'BEGIN:VALARM', 'ACTION:DISPLAY', 'DESCRIPTION:' || {_esc('summary')}, 'TRIGGER:-PT30M', 'END:VALARM', 'END:VEVENT'], lambda x: x IS NOT NULL) AS lines FROM w)
         SELECT pos, (i - 1)::BIGINT AS line_no, line FROM (SELECT pos, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM b)""",
+    "t1_changed_posts_stream": """SELECT firm, post_key, snapshot_id, content_hash FROM (SELECT source AS firm, lang AS post_key, doc_id AS snapshot_id,
+        sha256(text) AS content_hash, lag(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS p, text FROM documents) WHERE text IS DISTINCT FROM p""",
+    "t6_usage_stats_stream": """SELECT strftime(tm, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'view') AS views,
+          least(count(DISTINCT user_id) FILTER (event_type = 'view'), 10000) AS visitors,
+          count(*) FILTER (event_type <> 'view' AND k <> 0) AS feed_hits,
+          least(count(DISTINCT 'addr-' || user_id || props) FILTER (event_type <> 'view' AND k <> 0), 10000) AS feed_clients FROM ev GROUP BY 1
+        HAVING max(date_trunc('day', tm)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "s11_export_feed_files": """WITH f AS (SELECT * FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%')
         SELECT feed_id, 18 + CAST(sum(13 + CASE WHEN evidence <> '' OR link <> '' THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) AS events,
           1::BIGINT AS zone_lines, true AS folded FROM f GROUP BY feed_id""",
@@ -657,4 +664,7 @@ SQL_BODY: dict[str, str] = {
           UNION ALL SELECT firm, 1698541200, 'BEGIN:STANDARD|DTSTART:20231029T020000|TZOFFSETFROM:+0100|TZOFFSETTO:+0000|TZNAME:GMT|END:STANDARD' FROM firms WHERE timezone = 'Europe/London')""",
 }
 
+SQL_BODY["t2_reconcile_stream"] = SQL_BODY["r7_apply_plan"]
+SQL_BODY["t7_notify_once_stream"] = SQL_BODY["w5_notify_once"]
+
 SQL: dict[str, str] = {name: _full(body) for name, body in SQL_BODY.items()}

@@ -236,6 +236,22 @@ def reconcile_stream(
     )
 
 
+def run_for(stream: DataFrame, folder: str, seconds: int) -> DataFrame:
+    """Run a stream that waits for the clock for a while, then stop it and read its output folder."""
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    try:
+        query.awaitTermination(seconds)
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a bounded stream to its end into a Parquet folder, and read that folder."""
     spark = stream.sparkSession
