@@ -31,7 +31,9 @@ def strip(text: Column) -> Column:
 
 def iso_instant(text: Column) -> Column:
     """The instant of ISO 8601 text; without an offset it is UTC.  NULL when it is no such text."""
-    return F.when(text.rlike(_ISO), text.try_cast("timestamp"))
+    # the cast wants seconds in front of an offset
+    whole = F.regexp_replace(text, r"^(.{16})(Z|[+-])", "$1:00$2")
+    return F.when(text.rlike(_ISO), whole.try_cast("timestamp"))
 
 
 def iso_local(text: Column) -> Column:
