@@ -58,7 +58,10 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     pointer = f"{root}/CURRENT"
     if not _exists(spark, pointer):
         return None
-    rows = spark.read.text(pointer).limit(1).collect()
+    try:
+        rows = spark.read.text(pointer).limit(1).collect()
+    except Exception:  # noqa: BLE001 - a pointer that cannot be read is a corrupt state
+        return None
     return int(rows[0][0]) if rows and rows[0][0].strip().isdigit() else None
 
 
