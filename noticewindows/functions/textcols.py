@@ -98,14 +98,13 @@ def build_summary(
     table = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
     title = F.coalesce(F.try_element_at(table, event_type), F.lit(titles["other"]))
     what = F.trim(F.regexp_replace(F.coalesce(affected, F.lit("")), _NON_PRINTABLE, ""))
-    cut = F.concat(
-        F.regexp_replace(F.substring(what, 1, fv.AFFECTED_CHARS), "[, ]+$", ""), F.lit("…")
-    )
-    what = F.when(F.length(what) > fv.AFFECTED_CHARS, cut).otherwise(what)
-    text = F.when(what != "", F.concat(title, F.lit(" — "), what)).otherwise(title)
+    # one pattern per step keeps the text itself from being repeated in the generated code
+    long = rf"(?s)^(.{{{fv.AFFECTED_CHARS}}}).+$"
+    cut = F.regexp_replace(F.regexp_replace(what, long, "$1\u0000"), "[, ]*\u0000$", "…")
+    text = F.concat(title, F.regexp_replace(cut, r"(?s)^(.+)$", " — $1"))
     if not marker:
         return text
-    return F.when(low, F.concat(text, F.lit(f" {marker}"))).otherwise(text)
+    return F.concat(text, F.when(low, f" {marker}").otherwise(""))
 
 
 def build_description(text: Column, url: Column, low: Column, evidence: Column) -> Column:

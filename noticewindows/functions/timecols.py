@@ -85,10 +85,8 @@ def offset_text(seconds: Column, separator: str = ":") -> Column:
 def iso_in_zone(ts: Column, zone: Column | str) -> Column:
     """The instant as ISO text on the zone's clock; microseconds only when they are not zero."""
     local = F.from_utc_timestamp(ts, _col(zone))
-    plain = "yyyy-MM-dd'T'HH:mm:ss"
-    whole = F.unix_micros(ts) % 1_000_000 == 0
-    text = F.when(whole, F.date_format(local, plain)).otherwise(F.date_format(local, f"{plain}.SSSSSS"))
-    return F.concat(text, offset_text(zone_offset_s(ts, zone)))
+    text = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"\.000000$", ""), offset_text(zone_offset_s(ts, zone)))
 
 
 def minutes_text(text: Column) -> Column:

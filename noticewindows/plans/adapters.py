@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from noticewindows import fixed_values as fv
 from noticewindows.functions import textcols, timecols
 from noticewindows.operators.replies import EVENT_STRUCT
+from noticewindows.session import HUGE_METHOD
 
 NOW = "2024-01-15T12:00:00+00:00"
 LATER = "2024-03-10T00:00:00+00:00"
@@ -44,6 +45,7 @@ def health_now() -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set(*HUGE_METHOD)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

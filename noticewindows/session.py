@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM does not compile methods above 8000 bytes.  Stages with many long string expressions would run
+# interpreted; with this limit Spark generates them in smaller pieces instead.
+HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def build_session(app: str = "noticewindows", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC clocks and adaptive execution; the cluster's own settings win."""
     builder = SparkSession.builder.appName(app)
@@ -19,6 +24,7 @@ def build_session(app: str = "noticewindows", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
+        HUGE_METHOD[0]: HUGE_METHOD[1],
         **conf,
     }
     for key, value in settings.items():
