@@ -498,7 +498,7 @@ def p11_build_description(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def p8_content_hash(spark: SparkSession, d: str) -> DataFrame:
+def id_content_hash(spark: SparkSession, d: str) -> DataFrame:
     posts = post_ops.with_hash(a.documents(spark, d))
     return posts.groupBy("content_hash").agg(F.count("*").alias("posts"))
 

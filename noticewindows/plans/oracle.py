@@ -446,7 +446,7 @@ SQL_BODY: dict[str, str] = {
           || CASE WHEN n_chars >= 500 AND q <> '' THEN 'Announcement: “' || q || '”' || chr(10) || chr(10) ELSE '' END
           || left(text, 800) || CASE WHEN length(text) > 800 THEN '…' ELSE '' END || chr(10) || chr(10) || 'Source: ' || url || chr(10)
           || '{fv.ATTRIBUTION}' AS description FROM d""",
-    "p8_content_hash": "SELECT sha256(text) AS content_hash, count(*) AS posts FROM documents GROUP BY 1",
+    "id_content_hash": "SELECT sha256(text) AS content_hash, count(*) AS posts FROM documents GROUP BY 1",
     "v1_infer": """WITH c AS (SELECT source AS firm, count(*) AS n FROM documents GROUP BY 1)
         SELECT firm, 'v1' AS voter, 0::BIGINT AS model_ord, 1::BIGINT AS attempt, '[]' AS raw, NULL AS error, n FROM c
         UNION ALL SELECT firm, 'v2', 0, 1, NULL, 'no route', n FROM c UNION ALL SELECT firm, 'v2', 1, 1, 'sorry', NULL, n FROM c

@@ -42,6 +42,18 @@ class SyncResult:
     duplicates: DataFrame
 
 
+def attribute(tables: dict[str, DataFrame], posts: DataFrame) -> dict[str, DataFrame]:
+    """State rows written before firms were recorded get the firm that lists their post now."""
+    owners = posts.groupBy("post_key").agg(F.max("firm").alias("owner"))
+
+    def named(rows: DataFrame) -> DataFrame:
+        blank = rows.filter("firm = ''").join(owners, "post_key", "left")
+        blank = blank.withColumn("firm", F.coalesce("owner", "firm"))
+        return rows.filter("firm <> ''").unionByName(blank.select(*rows.columns))
+
+    return {name: named(rows) for name, rows in tables.items()}
+
+
 def work_list(posts: DataFrame, post_state: DataFrame, firms: DataFrame) -> DataFrame:
     """Posts that pass the gate of their firm, with their change status.  Unchanged ones cost nothing."""
     gated = post_ops.keyword_gate(post_ops.with_hash(posts), firms)
@@ -69,6 +81,7 @@ def sync(
     error row of its firm; every other firm and post goes on.
     """
     spark = posts.sparkSession
+    tables = attribute(tables, posts)
     state, tracked = tables["post_state"], tables["tracked"]
     listed = work_list(posts, state, firms)
     due = listed.filter("status <> 'unchanged'")

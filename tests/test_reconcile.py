@@ -274,6 +274,13 @@ def test_sync_end_to_end(spark):
     assert {(r.post_key, r.status) for r in unchanged.collect()} == {("p1", "unchanged"), ("p2", "new")}
 
 
+def test_rows_without_a_firm_get_the_firm_of_their_post(spark):
+    posts = spark.createDataFrame([("f", "a")], "firm string, post_key string")
+    rows = spark.createDataFrame([tracked_row("", "a", 1, 0, 1), tracked_row("", "z", 1, 0, 1), tracked_row("g", "a", 1, 0, 2)], TRACKED)
+    got = sync_plan.attribute({"tracked": rows}, posts)["tracked"]
+    assert sorted((r.firm, r.post_key, r.entry_id) for r in got.collect()) == [("", "z", "e1"), ("f", "a", "e1"), ("g", "a", "e2")]
+
+
 def test_first_copy_wins(spark):
     rows = [tracked_row("f", "b", 2, 0, 1, "late"), tracked_row("f", "a", 1, 0, 1, "early"), tracked_row("f", "a", 1, 1, 2, "x", start=False)]
     got = windows.dedup_windows(spark.createDataFrame(rows, TRACKED)).collect()
