@@ -84,11 +84,14 @@ def sync(
     tables = attribute(tables, posts)
     state, tracked = tables["post_state"], tables["tracked"]
     listed = work_list(posts, state, firms)
-    due = listed.filter("status <> 'unchanged'")
+    # which posts are due is asked many times below; texts are not carried along
+    due = listed.filter("status <> 'unchanged'").select(*POST, "pos", "status", "content_hash", "url")
+    due = cut_lineage(due, "due")
     kept, disputes, failures = vote.panel(ballots, members, quorum)
     failed = due.join(failures, POST).select("firm", "post_key", "error")
     answered = due.join(ballots.select(*POST).distinct(), POST, "left_semi")
     answered = answered.join(failures.select(*POST), POST, "left_anti")
+    answered = cut_lineage(answered, "answered")
     extracted = answered.select(
         *POST, F.col("pos").cast("long").alias("proc_ord"), (F.col("status") == "reextract").alias("recover")
     )
@@ -98,7 +101,7 @@ def sync(
     judged = cut_lineage(judged, "judged")  # events and rejections are read many times below
     events, rejections = validate.accepted(judged), validate.rejected(judged)
     doubtful = disputes.join(extracted.select(*POST), POST, "left_semi").select(*POST, *RAW, "dispute")
-    flagged = vote.flag_disputes(doubtful, posts, settings, rules, now)
+    flagged = cut_lineage(vote.flag_disputes(doubtful, posts, settings, rules, now), "disputed")
     rejections = rejections.unionByName(flagged)
 
     held = tables["deferred"].join(extracted.select(*POST), POST, "left_anti")
@@ -130,7 +133,7 @@ def sync(
         *POST, (last + 1 + F.col("pos").cast("long")).alias("arrival_seq")
     )
     arrivals = state.select(*POST, "arrival_seq").unionByName(fresh)
-    after = reconcile.apply_plan(tracked, plan, extracted, arrivals)
+    after = cut_lineage(reconcile.apply_plan(tracked, plan, extracted, arrivals), "tracked")
     after, deletes = reconcile.merge_duplicates(after, now, failed_deletes)
 
     touched = post_ops.touch_seen(posts, state, now)
