@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from noticewindows.llm import quality_rules
+from noticewindows.llm import quality_rules, token_files
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_token_files": token_files.op3_token_files,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
