@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from noticewindows.llm import store
 from noticewindows.llm.textblocks import WHITE, slabs, span_hashes, text_bytes
 
 END_ID = 2
-SLAB_BYTES = 8 << 20
-CACHE_CHUNKS = 1_000_000  # chunks a task remembers; beyond that it starts anew
+SLAB_BYTES = 4 << 20
+CACHE_CHUNKS = 1_500_000  # chunks a worker remembers; beyond that it starts anew
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -64,40 +65,45 @@ class ChunkEncoder:
         self.flat = np.zeros(0, np.int32)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter((len(x) for x in found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
+        flats, sizes = [], []
+        for at in range(0, len(pieces), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
+            size = np.fromiter((len(x) for x in found), np.int64, len(found))
+            flats.append(np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
+            sizes.append(size)
+        return np.concatenate(flats), np.concatenate(sizes)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Add sorted new ``keys`` to the sorted known ones."""
         flat, size = self._encode(pieces)
         place = len(self.flat) + np.cumsum(size) - size
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place, self.size = np.insert(self.keys, at, keys), np.insert(self.place, at, place), np.insert(self.size, at, size)
         self.flat = np.concatenate([self.flat, flat])
-        order = np.argsort(merged := np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = merged[order]
-        self.place = np.concatenate([self.place, place])[order]
-        self.size = np.concatenate([self.size, size])[order]
 
-    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All token ids of the texts, each text followed by ``end_id``, and the n + 1 offsets."""
-        data, where = text_bytes(column)
-        n = len(where) - 1
+    def _starts(self, data: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Where the chunks start: at every text, and at a blank after something solid."""
         solid = ~WHITE[data]
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[1:-1] = solid[:-1] & ~solid[1:] if len(data) else False
         cut[where] = True
         cut[len(data)] = False
         starts = np.flatnonzero(cut)
-        raw = data.tobytes()
-        odd = sorted({int(np.searchsorted(where, m.start(), "right")) - 1 for m in ODD_SPACE.finditer(raw)})
-        if odd:  # such a text is one chunk
-            keep = np.ones(len(starts), dtype=bool)
-            for i in odd:
-                a, b = np.searchsorted(starts, (where[i], where[i + 1]))
-                keep[a + 1 : b] = False
-            starts = starts[keep]
+        odd = sorted({int(np.searchsorted(where, m.start(), "right")) - 1 for m in ODD_SPACE.finditer(data.tobytes())})
+        keep = np.ones(len(starts), dtype=bool)
+        for i in odd:  # such a text is one chunk
+            a, b = np.searchsorted(starts, (where[i], where[i + 1]))
+            keep[a + 1 : b] = False
+        return starts[keep]
+
+    def encode(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """All token ids of the texts, each text followed by ``end_id``, and the n + 1 offsets."""
+        data, where = text_bytes(column)
+        return self.encode_bytes(data, where, self._starts(data, where), end_id)
+
+    def encode_bytes(self, data: np.ndarray, where: np.ndarray, starts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        hashes = span_hashes(data, starts, ends)
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_CHUNKS:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -106,23 +112,33 @@ class ChunkEncoder:
         known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            self._learn(keys[new], [raw[starts[k] : ends[k]].decode("utf-8") for k in first[new]])
+            self._learn(keys[new], [data[starts[k] : ends[k]].tobytes().decode("utf-8") for k in first[new]])
             at = np.searchsorted(self.keys, keys)
-        place = np.append(self.place[at], len(self.flat))
-        size = np.append(self.size[at], 1)
-        flat = np.append(self.flat, np.int32(end_id))
+        place, size, flat, order = self.place[at], self.size[at], self.flat, inverse
         chunks = np.searchsorted(starts, where)  # the first chunk of each text
-        order = np.insert(inverse, chunks[1:], len(keys))  # the end id after the last
+        if end_id is not None:  # one more chunk after the last of each text
+            place, size, flat = np.append(place, len(flat)), np.append(size, 1), np.append(flat, np.int32(end_id))
+            order = np.insert(inverse, chunks[1:], len(keys))
+            chunks = chunks + np.arange(len(chunks))
         sizes = size[order]
-        before = np.cumsum(sizes) - sizes
-        ids = flat[np.repeat(place[order] - before, sizes) + np.arange(int(sizes.sum()))]
-        ends_at = chunks[1:] + np.arange(1, n + 1) - 1
-        return ids.astype(np.int32), np.concatenate([[0], before[ends_at] + 1]).astype(np.int64) if n else np.zeros(1, np.int64)
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(place[order] - before[:-1], sizes) + np.arange(int(before[-1]))]
+        return ids.astype(np.int32), before[chunks].astype(np.int64)
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def chunk_encoder(vocabulary: str) -> ChunkEncoder:
+    """One encoder per worker process: later tasks of the worker know the chunks of earlier ones."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = ChunkEncoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def _encoder(vocabulary: str, end_id: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, done = ChunkEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, done = chunk_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in slabs(batches, text, SLAB_BYTES):
             place = batch.schema.get_field_index(text)
             ids, offsets = encoder.encode(batch.column(place), end_id)
