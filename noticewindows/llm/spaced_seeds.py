@@ -9,7 +9,7 @@ and both ends are equal; items shorter than ``min_words`` must be found whole (`
 The seeds of the benchmark are held by every task in blocks of at most ``HELD_SEEDS``, so a larger benchmark means more
 passes, not larger tasks.
 
-Defined results: words are compared in lower case (A-Z) without punctuation at their ends; null and blank texts and
+Defined results: words are compared in lower case and without punctuation at their ends; null and blank texts and
 items match nothing; items with fewer words than the shortest mask are compared by a mask of their own length.
 Repeated documents each get their rows; rows with a null id are reported under the null id.  Items that repeat are
 reported each.
@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ PUNCTUATION[list(b"!\"'(),-.:;?[]{}`*_")] = True
 
 
 def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of lower-cased words without punctuation at their ends, and the offsets of the texts."""
-    words = Words(column, lower=True)
+    """Hashes of lower-cased words without punctuation at their ends, and the offsets of the texts."""
+    words = Words(pc.utf8_lower(column))
     starts, ends = words.starts.copy(), words.ends.copy()
     marks = PUNCTUATION[words.data] if len(words.data) else np.zeros(0, dtype=bool)
     while True:
