@@ -7,14 +7,15 @@ given share of their union.  The search runs over distinct sets ("nodes"), so ex
 2. each (coordinate, value) pair is a posting key.  Two nodes with at least T equal coordinates share one of their
    K - T + 1 rarest keys (prefix merging), so only those are posted.  Keys of one node, and nodes whose prefix holds
    only such keys, are skipped;
-3. postings of a key are dealt in chunks of bounded size by a salt of node and key.  A chunk counts equal coordinates
-   and links what reaches T by a strongest spanning forest, not by all pairs;
+3. postings of a key are dealt in chunks of bounded size; a few anchors of the key are in all of them.  A chunk counts
+   equal marks (further coordinates, of one byte) and links what reaches the match threshold by a strongest spanning
+   forest, not by all pairs;
 4. candidate pairs are confirmed on the full sets; confirmed pairs are contracted to components;
-5. keys whose nodes fell in more than one component are read again: all pairs of different components that reach T
-   and were not tried are confirmed.  Nodes of the component that dominates a long key are not paired with each other.
+5. keys whose nodes fell in more than one component are read again: all pairs of different components that reach the
+   threshold and were not tried are confirmed.  Nodes of the component that dominates a long key are not paired with each other.
 
-A pair of similarity s is a candidate unless fewer than T of K coordinates agree: for K = 48, T = 27 and s = 0.8 that
-is about 3 in 100,000, and less for closer pairs and for groups, where one of many links is enough.
+A pair of similarity s is missed if fewer than T of K coordinates or fewer than 275 of 384 marks agree: for K = 48,
+T = 27 and s = 0.8 that is about 5 in 100,000, and less for closer pairs and for groups, where one of many links is enough.
 
 Defined results: null and blank texts have an empty set, are linked with nothing and are their own class; rows with a
 null id have a null class and are kept; rows with the same id and text are one document.  Extra columns are ignored.
@@ -32,17 +33,20 @@ from pyspark.sql import functions as F
 
 from noticewindows.llm import store
 from noticewindows.llm.components import connected
-from noticewindows.llm.textblocks import Words, shingles, slabs
+from noticewindows.llm.textblocks import Words, mix, shingles, slabs
 
 COORDINATES = 48
-MATCHES = 27
+SHARED_KEYS = 27  # T: equal coordinates of a pair that is looked at
+MARKS = 384  # further coordinates, of 8 bits, that are counted for the pairs that meet
+MATCHES = 275  # equal ones of a candidate
 CHUNK = 256
+ANCHORS = 3  # nodes of a key that every chunk of it sees, so that chunks of one group meet
 SLAB_BYTES = 8 << 20
-BROADCAST_IDS = 2_000_000  # ids of documents to confirm that are broadcast (16 MB); more are joined by shuffle
+BROADCAST_IDS = 2_000_000  # ids of documents to look at again that are broadcast (16 MB); more are joined by shuffle
 
 _RANDOM = np.random.RandomState(20)
-MULTIPLIERS = _RANDOM.randint(1, 2**63 - 1, COORDINATES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-FLIPS = _RANDOM.randint(1, 2**63 - 1, COORDINATES, dtype=np.int64).astype(np.uint64)
+_NUMBERS = _RANDOM.randint(1, 2**63 - 1, (2, COORDINATES + MARKS), dtype=np.int64).astype(np.uint64)
+FLIPS, MULTIPLIERS = _NUMBERS[0], _NUMBERS[1] | np.uint64(1)
 
 
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -53,13 +57,16 @@ def set_digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """K coordinates of 32 bits: the smallest shingle under K orders."""
-    low = np.full(COORDINATES, np.uint64(2**64 - 1))
-    for at in range(0, len(found), 4096):
-        part = (found[at : at + 4096, None] ^ FLIPS) * MULTIPLIERS
-        low = np.minimum(low, part.min(axis=0))
-    return (low >> np.uint64(32)).astype(np.int64)
+def smallest(found: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Coordinates ``low`` to ``high``: the smallest shingle under each order, mixed with the number of the order."""
+    least = np.full(high - low, np.uint64(2**64 - 1))
+    for at in range(0, len(found), 2048):
+        least = np.minimum(least, ((found[at : at + 2048, None] ^ FLIPS[low:high]) * MULTIPLIERS[low:high]).min(axis=0))
+    return mix(least ^ FLIPS[low:high])
+
+
+def marks_of(found: np.ndarray) -> np.ndarray:
+    return smallest(found, COORDINATES, COORDINATES + MARKS).astype(np.uint8)
 
 
 def _signatures(size: int):
@@ -71,7 +78,7 @@ def _signatures(size: int):
                 found = shingle_set(words.hashes[words.offsets[i] : words.offsets[i + 1]], size)
                 counts.append(len(found))
                 digests.append(set_digest(found) if len(found) else None)
-                tokens.append(signature(found).astype(np.uint32).tobytes() if len(found) else None)
+                tokens.append(smallest(found, 0, COORDINATES).tobytes() if len(found) else None)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "signature"])
 
@@ -79,11 +86,9 @@ def _signatures(size: int):
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature bytes to posting keys: coordinate number above, value below."""
-    above = np.arange(COORDINATES, dtype=np.int64) << 32
+    """Signature bytes to posting keys."""
     for batch in batches:
-        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        keys = (values.astype(np.int64) + above).ravel()
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), COORDINATES)), pa.array(keys)], names=["node", "key"])
 
 
@@ -111,21 +116,21 @@ def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MARKS)
 
 
 def _equal_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), dtype=np.uint8)
-    for k in range(COORDINATES):
-        out += a[:, k, None] == b[None, :, k]
+    out = np.empty((len(a), len(b)), dtype=np.int16)
+    for i, row in enumerate(a):
+        out[i] = np.count_nonzero(b == row, axis=1)
     return out
 
 
 def _forest(nodes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
     """A strongest spanning forest of the pairs with at least MATCHES equal coordinates."""
-    order = np.argsort(nodes)
-    nodes, marks = nodes[order], marks[order]
-    counts = _equal_counts(marks, marks).astype(np.int16)
+    nodes, first = np.unique(nodes, return_index=True)  # an anchor may be in its own chunk
+    marks = marks[first]
+    counts = _equal_counts(marks, marks)
     counts[counts < MATCHES] = -1
     np.fill_diagonal(counts, -1)
     inside = np.zeros(len(nodes), dtype=bool)
@@ -157,20 +162,39 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(list(edges))
 
 
+def _first_common(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that the rows ``a`` and ``b`` of ``keys`` (padded by the largest number) have in common."""
+    out, none = [np.zeros(0, np.int64)], np.iinfo(np.int64).max
+    for at in range(0, len(a), 4096):
+        x, y = keys[a[at : at + 4096]], keys[b[at : at + 4096]]
+        out.append(np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, none).min(axis=1))
+    return np.concatenate(out)
+
+
 def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in a chunk: its own rows, and rows of rarer components of the whole key."""
+    """Pairs of different components in a chunk: its own rows, and rows of rarer components of the whole key.
+
+    A pair is reported by the smallest of the keys that both post, and by the smaller node where both are rare."""
     for group in _groups(batches, ("key", "chunk", "part")):
         guest = group["guest"].to_numpy(zero_copy_only=False).astype(bool)
-        node, comp, marks = group["node"].to_numpy(), group["comp"].to_numpy(), _matrix(group["marks"])
         a, b = np.flatnonzero(guest), np.flatnonzero(~guest)
         if not len(a) or not len(b):
             continue
-        for at in range(0, len(a), 512):
-            rows = a[at : at + 512]
-            hit = (_equal_counts(marks[rows], marks[b]) >= MATCHES) & (comp[rows][:, None] != comp[b][None, :])
+        key, node, comp, marks = group["key"][0].as_py(), group["node"].to_numpy(), group["comp"].to_numpy(), _matrix(group["marks"])
+        rare = group["rare"].to_numpy(zero_copy_only=False).astype(bool)
+        lists = group["keys"].to_pylist()
+        keys = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
+        for i, own in enumerate(lists):
+            keys[i, : len(own)] = own
+        for at in range(0, len(a), 256):
+            rows = a[at : at + 256]
+            hit = (comp[rows][:, None] != comp[b][None, :]) & ~(rare[b][None, :] & (node[rows][:, None] > node[b][None, :]))
+            hit &= _equal_counts(marks[rows], marks[b]) >= MATCHES
             i, j = np.nonzero(hit)
-            if len(i):
-                yield _pairs(list(set(zip(node[rows[i]].tolist(), node[b[j]].tolist(), strict=True))))
+            i, j = rows[i], b[j]
+            mine = _first_common(keys, i, j) == key
+            if mine.any():
+                yield _pairs(list(zip(node[i[mine]].tolist(), node[j[mine]].tolist(), strict=True)))
 
 
 def _sets(size: int):
@@ -181,7 +205,8 @@ def _sets(size: int):
             digests = batch.column(batch.schema.get_field_index("digest")).to_pylist()
             keep = [i for i, s in enumerate(sets) if len(s) and set_digest(s) == digests[i]]
             nodes = batch.column(batch.schema.get_field_index("node")).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "items"])
+            marks = pa.array([marks_of(sets[i]).tobytes() for i in keep], pa.binary())
+            yield pa.RecordBatch.from_arrays([nodes, marks, pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["node", "marks", "items"])
 
     return run
 
@@ -216,23 +241,24 @@ class _Search:
         nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
         self.nodes = store.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    def postings(self) -> DataFrame:
-        """``key, node, n`` (nodes with that key) of the rarest K - T + 1 keys of each node, unshared keys left out."""
+    def prefixes(self) -> DataFrame:
+        """``node, prefix``: the rarest K - T + 1 keys (``n``: nodes with that key) of each node, unshared keys left out."""
         keys = self.nodes.select("node", "signature").mapInArrow(_keys, "node long, key long")
         shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         own = keys.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
-        prefix = F.size("keys") - (MATCHES - 1)  # of K keys, K - size are unshared and come first
-        own = own.where(prefix > 0).select("node", F.explode(F.slice("keys", F.lit(1), prefix)).alias("k"))
-        return own.select(F.col("k.key").alias("key"), "node", F.col("k.n").alias("n"))
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        length = F.size("keys") - (SHARED_KEYS - 1)  # of K keys, K - size are unshared and come first
+        return own.where(length > 0).select("node", F.slice("keys", F.lit(1), length).alias("prefix"))
+
+    def sets(self, prefixes: DataFrame) -> DataFrame:
+        """``node, marks, items`` (the full set) of the nodes in ``prefixes``, from a second pass over their texts."""
+        wanted = store.stored(self.nodes.join(prefixes.select("node"), "node").select("node", "digest", "doc_id"), "wanted")
+        named = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        found = self.docs.join(named, "doc_id").select("node", "digest", "text")
+        found = found.mapInArrow(_sets(self.shingle_words), "node long, marks binary, items binary")
+        return store.stored(found, "sets")
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs whose full sets overlap enough."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = store.stored(self.nodes.join(wanted, "node").select("node", "digest", "doc_id"), "wanted")
-        n = wanted.count()
-        named = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-        sets = self.docs.join(named, "doc_id").mapInArrow(_sets(self.shingle_words), "node long, items binary")
-        sets = store.stored(sets, "sets")
         left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
@@ -243,14 +269,20 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """``doc_id, n_shingles, component_id, kept`` per row of ``documents``: the class is named by its smallest id."""
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     search = _Search(docs, shingle_words, percent)
-    marks = search.nodes.select("node", "signature").mapInArrow(_marks, "node long, marks binary")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    postings = store.stored(
-        search.postings().withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key", "node"), F.col("chunks"))).join(marks, "node"), "postings"
-    )
-    dealt = postings.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    first = store.stored(dealt.select("key", "chunk", "node", "marks").mapInArrow(_forests, "a long, b long").distinct(), "pairs")
-    links = store.stored(search.confirmed(first), "links")
+    prefixes = store.stored(search.prefixes(), "prefixes")
+    postings = prefixes.select("node", F.explode("prefix").alias("k")).select("node", "k.key", F.ceil(F.col("k.n") / CHUNK).cast("int").alias("chunks"))
+    postings = postings.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    sets = search.sets(prefixes)
+    marks = sets.select("node", "marks").dropDuplicates(["node"])
+
+    lowest = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(ANCHORS)]
+    anchors = postings.where("chunks > 1").groupBy("key", "chunks").agg(F.array_distinct(F.array(*lowest)).alias("anchors"))
+    everywhere = anchors.select("key", "chunks", F.explode("anchors").alias("node"))
+    everywhere = everywhere.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), "node")
+    dealt = postings.select("key", "chunk", "node").unionByName(everywhere).join(marks, "node").select("key", "chunk", "node", "marks")
+    dealt = dealt.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
+    first = store.stored(dealt.mapInArrow(_forests, "a long, b long").distinct(), "pairs")
+    links = store.stored(search.confirmed(first, sets), "links")
     comps = connected(links)
 
     labelled = postings.join(comps.withColumnRenamed("u", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -258,20 +290,16 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("members"))
     main = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", "comp")).alias("main"), F.sum("members").alias("all")).where("comps > 1")
     main = main.select("key", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.members")) / CHUNK).cast("int").alias("parts"))
-    opened = labelled.join(main, "key")
-    hosts = opened.select("key", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp", "marks", F.lit(False).alias("guest"))
-    guests = opened.where("comp <> main").select(
-        "key",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("node", "key", F.lit(1)), F.col("parts")).cast("int").alias("part"),
-        "node",
-        "comp",
-        "marks",
-        F.lit(True).alias("guest"),
-    )
+    keys = prefixes.select("node", F.transform("prefix", lambda k: k["key"]).alias("keys"))
+    opened = labelled.join(main, "key").join(marks, "node").join(keys, "node").withColumn("rare", F.col("comp") != F.col("main"))
+    row = ("node", "comp", "marks", "keys", "rare")
+    hosts = opened.select("key", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *row, F.lit(False).alias("guest"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk")
+    part = F.pmod(F.xxhash64("node", "key", F.lit(1)), F.col("parts")).cast("int").alias("part")
+    guests = opened.where("rare").select("key", every, part, *row, F.lit(True).alias("guest"))
     crossing = hosts.unionByName(guests).repartition("key", "chunk", "part").sortWithinPartitions("key", "chunk", "part")
     second = crossing.mapInArrow(_crossings, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = search.confirmed(store.stored(second, "pairs"))
+    more = search.confirmed(store.stored(second, "pairs"), sets)
     comps = connected(links.unionByName(more))
 
     classes = search.nodes.select("node", "digest", "doc_id").join(comps.withColumnRenamed("u", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -283,14 +311,6 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return out.withColumn("kept", F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lower half of every coordinate, enough to count equal ones before the sets decide."""
-    for batch in batches:
-        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        low = (values & np.uint32(0xFFFF)).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in low], pa.binary())], names=["node", "marks"])
-
-
 def one_of_each(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents`` that represent their class; of repeated rows with one id, one stays."""
     classes = near_duplicates(documents, shingle_words=shingle_words, percent=percent)
