@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from noticewindows.llm import minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files
+from noticewindows.llm import language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
     "op5_spaced_seeds": spaced_seeds.op5_spaced_seeds,
     "op6_minhash_join": minhash_join.op6_near_duplicates,
+    "op7_language_id": language_id.op7_language_id,
     "op9_piece_viterbi": piece_viterbi.op9_piece_viterbi,
 }
 SQL = {
