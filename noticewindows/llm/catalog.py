@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from noticewindows.llm import language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files
+from noticewindows.llm import kneser_ney, language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files, warc_revisits
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
+    "op4_kneser_ney": kneser_ney.op4_kneser_ney,
     "op5_spaced_seeds": spaced_seeds.op5_spaced_seeds,
     "op6_minhash_join": minhash_join.op6_near_duplicates,
     "op7_language_id": language_id.op7_language_id,
     "op9_piece_viterbi": piece_viterbi.op9_piece_viterbi,
+    "op10_warc_revisits": warc_revisits.op10_warc_revisits,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op6_minhash_join": minhash_join.OP6_SQL,
+    "op10_warc_revisits": warc_revisits.OP10_SQL,
 }
