@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticewindows.llm import kneser_ney, language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files, warc_revisits
+from noticewindows.llm import kneser_ney, language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files, toxicity_chain, warc_revisits
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_spaced_seeds": spaced_seeds.op5_spaced_seeds,
     "op6_minhash_join": minhash_join.op6_near_duplicates,
     "op7_language_id": language_id.op7_language_id,
+    "op8_toxicity_chain": toxicity_chain.op8_toxicity_chain,
     "op9_piece_viterbi": piece_viterbi.op9_piece_viterbi,
     "op10_warc_revisits": warc_revisits.op10_warc_revisits,
 }

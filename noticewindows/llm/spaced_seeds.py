@@ -42,8 +42,8 @@ PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[list(b"!\"'(),-.:;?[]{}`*_")] = True
 
 
-def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased words without punctuation at their ends, and the offsets of the texts."""
+def plain_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, start and end of the words without punctuation at their ends, and the offsets of the texts."""
     words = Words(pc.utf8_lower(column))
     starts, ends = words.starts.copy(), words.ends.copy()
     marks = PUNCTUATION[words.data] if len(words.data) else np.zeros(0, dtype=bool)
@@ -59,7 +59,13 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends[trim] -= 1
     keep = starts < ends
     kept = np.concatenate([[0], np.cumsum(keep)])
-    return span_hashes(words.data, starts[keep], ends[keep]), kept[words.offsets]
+    return words.data, starts[keep], ends[keep], kept[words.offsets]
+
+
+def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of those words, and the offsets of the texts."""
+    data, starts, ends, offsets = plain_spans(column)
+    return span_hashes(data, starts, ends), offsets
 
 
 def seed_hashes(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:
