@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticewindows.llm import kneser_ney, language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files, toxicity_chain, warc_revisits
+from noticewindows.llm import html_content, kneser_ney, language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files, toxicity_chain, warc_revisits
 
 QUERIES = {
+    "op1_html_content": html_content.op1_html_content,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
     "op4_kneser_ney": kneser_ney.op4_kneser_ney,
