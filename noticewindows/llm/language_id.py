@@ -12,8 +12,8 @@ Evidence of a document for each language:
 All shares are grouped aggregates over all documents; the tables that are joined back have one row per (host, language)
 or less, and join by shuffle, whatever their size.
 
-A document is rejected when it has no letters, when its text is of no known language (likelihood per trigram below
-``MIN_PER_TRIGRAM`` of a uniform guess), when the best language is not in the wanted set, or when its posterior is
+A document is rejected when it has no letters, when its text is of no known language (less likely than a uniform
+guess by ``MAX_SHORTFALL`` nats), when the best language is not in the wanted set, or when its posterior is
 below ``MIN_POSTERIOR``.
 
 Defined results: null or blank texts have no text evidence, language null and are rejected; null declarations and hosts
@@ -40,7 +40,7 @@ TEMPER = 20.0  # trigrams that count as one independent observation
 ALPHA = 0.5  # smoothing of trigram counts
 HOST_WEIGHT = 8.0  # documents that the suffix share counts for in a host share, likewise one level up
 MIN_POSTERIOR = 0.60
-MIN_GAIN = 0.0  # nats per trigram over a uniform guess
+MAX_SHORTFALL = 10.0  # nats that a text may be less likely than a uniform guess; a few rare trigrams are no proof
 
 
 def trigram_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +161,7 @@ def identify(documents: DataFrame, model: TextModel, wanted: tuple[str, ...] | N
     tempered = F.transform("logs", lambda x: x / F.lit(TEMPER))
     scored = scored.withColumn("suffix", suffix_of(F.col("host"))).withColumn("tempered", tempered).withColumn("text_posterior", _softmax(F.col("tempered")))
     uniform = float(np.log(1.0 / BUCKETS))
-    speaks = (F.col("n_trigrams") > 0) & (F.array_max("logs") / F.col("n_trigrams") - uniform > MIN_GAIN)
+    speaks = (F.col("n_trigrams") > 0) & (F.array_max("logs") - F.col("n_trigrams") * uniform > -MAX_SHORTFALL)
     best = F.array_position("text_posterior", F.array_max("text_posterior")).cast("int") - 1
     scored = scored.withColumn("speaks", speaks).withColumn("vote", F.when(F.col("speaks"), best))
 
