@@ -29,10 +29,12 @@ from noticewindows.llm.textblocks import U, mix, shingles, slabs, span_hashes
 MAX_LABELLED = 8000
 MAX_FEATURES = 1024
 MIN_WEIGHT = 4.0  # rows with a word, copies counted once, for it to be a feature
+MIN_SURPRISE = 3.0  # standard deviations by which a feature must go with the label or against it
 FOLDS = 5
 THRESHOLD = 0.5
 RIDGE = 0.3
 ROUNDS = 100
+MOMENTUM = 0.9
 STEM_BYTES = 5  # the start of a word that is a feature of its own, for inflected forms
 COPIES = 9  # coordinates by which copies in the training rows are recognised
 SLAB_BYTES = 8 << 20
@@ -97,7 +99,7 @@ class Linear:
                 (dense.T @ error + RIDGE * self.dense) / scale_d / width,
                 float(error.sum()) / scale_b / width,
             )
-            speed = [0.8 * v - s for v, s in zip(speed, step, strict=True)]
+            speed = [MOMENTUM * v - s for v, s in zip(speed, step, strict=True)]
             self.sparse, self.dense, self.bias = self.sparse + speed[0], self.dense + speed[1], self.bias + speed[2]
         return self
 
@@ -145,7 +147,7 @@ def fit(labels: np.ndarray, words: list[np.ndarray], marks: np.ndarray, categori
     toxic_with = np.bincount(column, (weight * labels)[row])
     share = (weight * labels).sum() / weight.sum()
     surprise = (toxic_with - share * with_word) / np.sqrt(share * (1 - share) * with_word + 1e-9)
-    good = np.flatnonzero(with_word >= MIN_WEIGHT)
+    good = np.flatnonzero((with_word >= MIN_WEIGHT) & (np.abs(surprise) >= MIN_SURPRISE))
     chosen = np.sort(good[np.argsort(-np.abs(surprise[good]), kind="stable")[:MAX_FEATURES]])
     number = np.full(len(keys), -1)
     number[chosen] = np.arange(len(chosen))
