@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from noticewindows.llm import store
 from noticewindows.llm.textblocks import U, Words, mix, slabs
 
-SLAB_BYTES = 8 << 20
+SLAB_BYTES = 3 << 20
 START, END = U(0x5354415254), U(0x454E44)  # hashes of the two marks, far from those of words
 FREQUENT = 1 / 1000  # words with this share of all tokens are split in pass 2
 
@@ -260,9 +260,14 @@ def _write_pairs(arrays: SharedArrays, n_words: int, sizes: list[int]):
         arrays.write(f"pairs-{part}", pairs)
         arrays.write(f"pair-counts-{part}", counts.astype(np.uint32))
         kinds = [(counts == 1), (counts == 2), (counts >= 3)]
-        v, *ahead = _summed(pairs // n_words, *[k.astype(np.int64) for k in kinds])
-        w, behind = _summed(pairs % n_words, np.ones(len(pairs), np.int64))
-        return {"part": part, "of_counts": [int((counts == k).sum()) for k in (1, 2, 3, 4)], "ahead": by_number(v, ahead), "behind": by_number(w, [behind])}
+        of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+        del counts
+        first = pairs // n_words  # in order already
+        change = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        ahead = by_number(first[change], [np.add.reduceat(k, change, dtype=np.int64) for k in kinds])
+        del first, kinds
+        w, behind = np.unique(pairs % n_words, return_counts=True)
+        return {"part": part, "of_counts": of_counts, "ahead": ahead, "behind": by_number(w, [behind])}
 
     return reduce_part
 
