@@ -66,14 +66,23 @@ def word_count(joined: Column) -> Column:
 
 def evidence_verdict(quote: Column, quote_words: Column, text: Column, text_words: Column) -> Column:
     """``none``, ``short``, ``unfound`` or ``ok`` for a quote against its post."""
-    blank = quote.isNull() | (F.regexp_replace(quote, _BLANKS, "") == "")
+    return quote_verdict(quote, quote_words, quote_found(quote_words, text, text_words))
+
+
+def quote_found(quote_words: Column, text: Column, text_words: Column) -> Column:
+    """Whether the words of a quote stand in a text in one piece; a post without text accepts its quotes."""
     found = F.contains(
         F.concat(F.lit(" "), text_words, F.lit(" ")), F.concat(F.lit(" "), quote_words, F.lit(" "))
     )
+    return text.isNull() | (text == "") | found
+
+
+def quote_verdict(quote: Column, quote_words: Column, found: Column) -> Column:
+    blank = quote.isNull() | (F.regexp_replace(quote, _BLANKS, "") == "")
     return (
         F.when(blank, "none")
         .when(word_count(quote_words) < fv.EVIDENCE_MIN_WORDS, "short")
-        .when(text.isNull() | (text == "") | found, "ok")
+        .when(found, "ok")
         .otherwise("unfound")
     )
 
@@ -92,6 +101,7 @@ def build_summary(
     low: Column,
     titles: dict[str, str] | None = None,
     marker: str = fv.LOW_CONFIDENCE_MARKER,
+    affected_chars: int = fv.AFFECTED_CHARS,
 ) -> Column:
     """``title — affected (marker)``."""
     titles = titles or fv.SUMMARIES
@@ -99,7 +109,7 @@ def build_summary(
     title = F.coalesce(F.try_element_at(table, event_type), F.lit(titles["other"]))
     what = F.trim(F.regexp_replace(F.coalesce(affected, F.lit("")), _NON_PRINTABLE, ""))
     # one pattern per step keeps the text itself from being repeated in the generated code
-    long = rf"(?s)^(.{{{fv.AFFECTED_CHARS}}}).+$"
+    long = rf"(?s)^(.{{{affected_chars}}}).+$"
     cut = F.regexp_replace(F.regexp_replace(what, long, "$1\u0000"), "[, ]*\u0000$", "…")
     text = F.concat(title, F.regexp_replace(cut, r"(?s)^(.+)$", " — $1"))
     if not marker:
@@ -107,11 +117,13 @@ def build_summary(
     return F.concat(text, F.when(low, f" {marker}").otherwise(""))
 
 
-def build_description(text: Column, url: Column, low: Column, evidence: Column) -> Column:
+def build_description(
+    text: Column, url: Column, low: Column, evidence: Column, excerpt_chars: int = fv.EXCERPT_CHARS
+) -> Column:
     """Excerpt, source link and attribution, with the quote and the low-confidence note in front."""
     excerpt = F.concat(
-        F.substring(text, 1, fv.EXCERPT_CHARS),
-        F.when(F.length(text) > fv.EXCERPT_CHARS, "…").otherwise(""),
+        F.substring(text, 1, excerpt_chars),
+        F.when(F.length(text) > excerpt_chars, "…").otherwise(""),
     )
     note = F.when(low, F.lit(f"{fv.LOW_CONFIDENCE_NOTE}\n\n")).otherwise("")
     quote = F.when(

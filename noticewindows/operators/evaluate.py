@@ -15,11 +15,11 @@ def norm_offset(value: Column) -> Column:
     """``+3``, ``GMT+03:00`` and ``+03:00`` alike; text that is no offset stays, NULL stays NULL."""
     stripped = timecols.strip(value)
     text = F.regexp_replace(F.regexp_replace(F.upper(stripped), "^UTC", ""), "^GMT", "")
-    pattern = r"^([+-]?)\s*([+-]?\d{1,9})\s*(?::\s*([+-]?\d{1,9})?\s*)?$"
+    pattern = r"^([+-]?)\s*([+-]?\d+)\s*(?::\s*([+-]?\d+)?\s*)?$"
     sign = F.when(F.regexp_extract(text, pattern, 1) == "-", "-").otherwise("+")
-    hours = F.regexp_extract(text, pattern, 2).cast("int").cast("string")
+    hours = F.regexp_extract(text, pattern, 2).cast("decimal(38,0)").cast("string")
     minutes = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 3), F.lit("")), F.lit("0"))
-    minutes = minutes.cast("int").cast("string")
+    minutes = minutes.cast("decimal(38,0)").cast("string")
 
     def two(n: Column) -> Column:
         return F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
@@ -111,36 +111,41 @@ def notify_once(run_log: DataFrame, bucket: str = "day") -> DataFrame:
 def heartbeat_due(run_log: DataFrame, hours: float) -> DataFrame:
     """Runs at which a heartbeat goes out: the first, then each at least ``hours`` after the last one.
 
-    Greedy, so every emission depends on the one before.  Within one slice of length ``hours`` a
-    firm emits at most once, at ``min(ts where ts >= last + hours)``: the log is therefore taken
-    slice by slice, and each step is an aggregate with partial results and one small row per firm.
-    ``run_log``: firm, ts.  Zero hours is off.
+    Greedy, so every emission depends on the one before.  Every run gets its successor once, the first run at
+    least ``hours`` later: it lies in the next slice of that length or is the first of a later slice.  The runs
+    that follow from the first one are then collected by doubling: the known ones plus what a jump over as many
+    steps reaches, with jumps twice as long each round.  The number of joins is the logarithm of the number of
+    slices.  ``run_log``: firm, ts.  Zero hours is off.
     """
     if hours <= 0:
         return run_log.select("firm", "ts").limit(0)
-    span = timedelta(hours=hours)
-    step_us = int(span.total_seconds() * 1_000_000)
-    bounds = run_log.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = int(timedelta(hours=hours).total_seconds() * 1_000_000)
+    runs = run_log.filter("firm is not null and ts is not null").select("firm", F.unix_micros("ts").alias("us")).distinct()
+    bounds = runs.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
     if bounds["lo"] is None:
         return run_log.select("firm", "ts").limit(0)
-    steps = int((bounds["hi"] - bounds["lo"]) / span) + 1
-    log = run_log.select("firm", "ts")
-    none = F.array().cast("array<bigint>")
-    sent = log.select("firm").distinct().withColumn("sent", none)
-    for n in range(steps):
-        lo = bounds["lo"] + n * span
-        here = log.filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(lo + span)))
-        due = F.coalesce(F.try_element_at("sent", F.lit(-1)) + step_us, F.lit(-(1 << 62)))
-        us = F.unix_micros("ts")
-        # "sent" is one value per firm, so any row of the group carries it
-        sent = (
-            sent.join(here, "firm", "left")
-            .groupBy("firm")
-            .agg(F.any_value("sent").alias("sent"), F.min(F.when(us >= due, us)).alias("hit"))
-            .select("firm", F.array_compact(F.array_append("sent", F.col("hit"))).alias("sent"))
-        )
-        if n % 8 == 7:
-            sent = cut_lineage(sent, "heartbeats")
-    return sent.select("firm", F.explode("sent").alias("us")).select(
-        "firm", F.timestamp_micros("us").alias("ts")
+    slices = (bounds["hi"] - bounds["lo"]) // step + 1
+    runs = runs.withColumn("slice", F.floor((F.col("us") - bounds["lo"]) / step))
+    data = runs.select("firm", "slice", F.col("us").alias("at"), F.col("us").alias("found"), F.lit(None).cast("long").alias("us"))
+    asked = runs.select("firm", (F.col("slice") + 1).alias("slice"), (F.col("us") + step).alias("at"), F.lit(None).cast("long").alias("found"), "us")
+    onward = Window.partitionBy("firm", "slice").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    near = data.unionByName(asked).withColumn("near", F.min("found").over(onward)).filter("us is not null").select("firm", "us", "near")
+    later = Window.partitionBy("firm").orderBy("slice").rangeBetween(2, Window.unboundedFollowing)
+    far = runs.groupBy("firm", "slice").agg(F.min("us").alias("first")).withColumn("far", F.min("first").over(later))
+    jumps = (
+        runs.join(near, ["firm", "us"])
+        .join(far.select("firm", "slice", "far"), ["firm", "slice"])
+        .select("firm", "us", F.coalesce("near", "far").alias("to"))
+        .filter("to is not null")
     )
+    jumps = cut_lineage(jumps, "heartbeat-jumps")
+    sent = runs.groupBy("firm").agg(F.min("us").alias("us"))
+    reach = 1
+    while True:
+        sent = cut_lineage(sent.unionByName(sent.join(jumps, ["firm", "us"]).select("firm", F.col("to").alias("us"))), "heartbeats")
+        reach *= 2
+        if reach >= slices:
+            break
+        next_jumps = jumps.select("firm", F.col("us").alias("start"), F.col("to").alias("us")).join(jumps, ["firm", "us"])
+        jumps = cut_lineage(next_jumps.select("firm", F.col("start").alias("us"), "to"), "heartbeat-jumps")
+    return sent.select("firm", F.timestamp_micros("us").alias("ts"))

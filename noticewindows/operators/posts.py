@@ -57,17 +57,28 @@ def changed_posts(posts: DataFrame, post_state: DataFrame) -> DataFrame:
 
 
 def touch_seen(posts: DataFrame, post_state: DataFrame, now: Column) -> DataFrame:
-    """State rows with last sight, firm and URL renewed for every post on the page."""
-    sighted = posts.groupBy("post_key").agg(
-        F.max("firm").alias("seen_firm"), F.max("url").alias("seen_url")
+    """State rows with last sight, firm and URL renewed for every post on the page.
+
+    State belongs to a firm and a post key; a row without a firm takes the one that lists its key (the last in name
+    order where several do).
+    """
+    sighted = posts.groupBy("firm", "post_key").agg(F.max("url").alias("seen_url"), F.lit(True).alias("seen"))
+    listed = sighted.groupBy("post_key").agg(
+        F.max("firm").alias("seen_firm"), F.max_by("seen_url", "firm").alias("seen_url"), F.lit(True).alias("seen")
+    )
+    blank = F.coalesce("firm", F.lit("")) == ""
+    seen = F.coalesce("seen", F.lit(False))
+    joined = (
+        post_state.filter(~blank)
+        .join(sighted, ["firm", "post_key"], "left")
+        .withColumn("seen_firm", F.col("firm"))
+        .unionByName(post_state.filter(blank).join(listed, "post_key", "left"))
     )
-    seen = F.col("seen_url").isNotNull()
     return (
-        post_state.join(sighted, "post_key", "left")
-        .withColumn("last_seen", F.when(seen, now).otherwise(F.col("last_seen")))
+        joined.withColumn("last_seen", F.when(seen, now).otherwise(F.col("last_seen")))
         .withColumn("firm", F.coalesce(F.nullif("seen_firm", F.lit("")), "firm"))
-        .withColumn("url", F.when(seen, F.col("seen_url")).otherwise(F.col("url")))
-        .drop("seen_firm", "seen_url")
+        .withColumn("url", F.when(seen, F.coalesce("seen_url", F.lit(""))).otherwise(F.col("url")))
+        .select(*post_state.columns)
     )
 
 

@@ -7,7 +7,7 @@ a timeline per (firm, window), and the running balance says what each of them me
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
@@ -288,7 +288,7 @@ def reconcile(
     ).select("*", "e.*").drop("e")
     rows = cut_lineage(rows, "diff")
     settled = rows.filter(F.col("step").isin("keep", "refuse", "history")).select(
-        *POST, "proc_ord", "event_key", F.col("old_entry").alias("entry_id"), F.col("step").alias("action"), *_EVENT
+        *POST, "proc_ord", "event_key", F.col("old_entry").alias("entry_id"), F.col("step").alias("action"), "tie", *_EVENT
     )
     moving = rows.filter(F.col("step").isin("add", "drop")).withColumn("delta", F.when(F.col("step") == "add", 1).otherwise(-1))
     if promoted is not None:
@@ -349,7 +349,7 @@ def _decide(moving: DataFrame, opening: DataFrame, inventory: DataFrame) -> Data
         .otherwise(fresh)
     )
     return rows.select(
-        *POST, "proc_ord", "event_key", entry.alias("entry_id"), "action", *_EVENT
+        *POST, "proc_ord", "event_key", entry.alias("entry_id"), "action", "tie", *_EVENT
     )
 
 
@@ -365,7 +365,11 @@ def merge_duplicates(
         (F.coalesce("start_iso", F.lit("")) != "") & future(F.col("end_at"), now)
     )
     order = F.struct(is_placeholder(F.col("entry_id")), F.col("arrival_seq"), F.col("pos"))
-    survivors = live.groupBy(*WINDOW).agg(F.min_by("entry_id", order).alias("survivor"))
+    # most windows have one entry; only the others are joined with anything
+    survivors = live.groupBy(*WINDOW).agg(
+        F.min_by("entry_id", order).alias("survivor"), (F.min("entry_id") != F.max("entry_id")).alias("several")
+    )
+    survivors = survivors.filter("several").drop("several")
     pairs = (
         live.select(*WINDOW, "entry_id")
         .distinct()
@@ -442,6 +446,8 @@ def apply_plan(tracked: DataFrame, plan: DataFrame, extracted: DataFrame, arriva
         .join(last, POST, "left")
         .join(arrivals.select(*POST, "arrival_seq"), POST, "left")
     )
-    place = F.coalesce("pos", F.coalesce("last_pos", F.lit(0)) + F.xxhash64("event_key").bitwiseAND((1 << 40) - 1) + 1)
+    # new windows of a post follow what it holds, in the order in which they were extracted
+    extracted_order = Window.partitionBy(*POST, F.col("pos").isNull()).orderBy("tie", "event_key")
+    place = F.coalesce("pos", F.coalesce("last_pos", F.lit(0)) + F.row_number().over(extracted_order))
     fresh = planned.withColumn("pos", place).select(*tracked.columns)
     return tracked.join(extracted.select(*POST), POST, "left_anti").unionByName(fresh)

@@ -67,6 +67,7 @@ def infer(
     panel = [(name, list(models)) for name, models in voters]
     listed = F.array(*[F.lit(name) for name, _ in panel])
     calls = prompts.select("firm", "post_key", "prompt", F.posexplode(listed).alias("ballot_ord", "voter"))
+    calls = calls.repartition("firm", "post_key", "voter")  # calls are slow: every task gets its share of them
 
     def ask(complete: Callable[[str, str], str], prompt: str, models: list[str]) -> Iterator[tuple]:
         for model_ord, model in enumerate(models):
@@ -81,7 +82,7 @@ def infer(
                 yield model_ord, attempt, raw, None
                 if problem is None:
                     return
-                request = f"{prompt}\nYour last reply was not valid ({problem[:500]}). Send only the corrected array.\n"
+                request = f"{prompt}\nYour last reply was not valid ({problem}). Send only the corrected array.\n"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = make_client()

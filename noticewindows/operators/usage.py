@@ -25,25 +25,37 @@ def access_rows(access_log: DataFrame, monitor: Column) -> DataFrame:
     )
 
 
+def capped(count: Column, cap: int | None) -> Column:
+    return count if cap is None else F.least(count, F.lit(cap))
+
+
+def daily_stats(per_who: DataFrame, cap: int | None = None) -> DataFrame:
+    """One row per day from one row per (day, kind, who) with its count ``n``."""
+    view = F.col("kind") == "view"
+    return per_who.groupBy("day").agg(
+        F.coalesce(F.sum(F.when(view, F.col("n"))), F.lit(0)).alias("views"),
+        capped(F.count_if(view), cap).alias("visitors"),
+        F.coalesce(F.sum(F.when(~view, F.col("n"))), F.lit(0)).alias("feed_hits"),
+        capped(F.count_if(~view), cap).alias("feed_clients"),
+    )
+
+
 def usage_stats(
     access_log: DataFrame,
     monitor: Column,
-    cap: int = fv.USAGE_DISTINCT_CAP,
-    days: int = fv.USAGE_DAYS,
+    cap: int | None = None,
+    days: int | None = None,
 ) -> DataFrame:
-    """Per day: views, visitors, feed_hits, feed_clients; distinct counts capped, newest days kept.
+    """Per day: views, visitors, feed_hits, feed_clients; with ``cap`` distinct counts end there, with ``days`` only
+    the newest days are kept.
 
     First one row per (day, kind, who) with a count, then one row per day: a busy day is reduced in
     every task before it meets, and no distinct set is ever held in one place.
     """
     per_who = access_rows(access_log, monitor).groupBy("day", "kind", "who").agg(F.count("*").alias("n"))
-    view = F.col("kind") == "view"
-    daily = per_who.groupBy("day").agg(
-        F.coalesce(F.sum(F.when(view, F.col("n"))), F.lit(0)).alias("views"),
-        F.least(F.count_if(view), F.lit(cap)).alias("visitors"),
-        F.coalesce(F.sum(F.when(~view, F.col("n"))), F.lit(0)).alias("feed_hits"),
-        F.least(F.count_if(~view), F.lit(cap)).alias("feed_clients"),
-    )
+    daily = daily_stats(per_who, cap)
+    if days is None:
+        return daily
     # one row per day is left here, so this ranking is as long as the calendar
     newest = F.row_number().over(Window.orderBy(F.desc("day")))
     return daily.withColumn("rank", newest).filter(F.col("rank") <= days).drop("rank")

@@ -82,6 +82,16 @@ def check_times(raw: DataFrame, rules: EventRules, now: Column) -> DataFrame:
     return rows.withColumn("time_reason", reason).drop("_s_local", "_e_local", "_s_own", "_e_own", "_stated")
 
 
+def _quotes_found(rows: DataFrame, posts: DataFrame) -> DataFrame:
+    """``firm, post_key, quote_words, quote_found`` of the different quotes of each post: here alone quotes and
+    whole texts meet."""
+    post = ["firm", "post_key"]
+    quotes = rows.select(*post, "quote_words").filter(F.col("quote_words") != "").distinct()
+    texts = with_words(posts.select(*post, "text"))
+    found = textcols.quote_found(F.col("quote_words"), F.col("text"), F.col("text_words"))
+    return quotes.join(texts, post).select(*post, "quote_words", found.alias("quote_found"))
+
+
 def judge_events(
     raw: DataFrame,
     posts: DataFrame,
@@ -95,8 +105,10 @@ def judge_events(
     ``raw``: firm, post_key, event_ord and the extracted fields.  ``posts``: firm, post_key, text,
     url; a post without text accepts its quotes.  ``firms``: firm, timezone, require_stated_offset.
     """
-    texts = with_words(posts.select("firm", "post_key", "text", "url"))
-    rows = raw.join(texts, ["firm", "post_key"], "left").join(
+    post = ["firm", "post_key"]
+    # of a post only its link and the start of its text go onto its rows; one character more than is shown
+    heads = posts.select(*post, "url", F.substring("text", 1, fv.EXCERPT_CHARS + 1).alias("excerpt"))
+    rows = raw.join(heads, post, "left").join(
         firms.select("firm", "timezone", "require_stated_offset"), "firm", "left"
     )
     rows = rows.withColumns(
@@ -108,10 +120,9 @@ def judge_events(
         }
     )
     rows = check_times(rows, rules, now)
-    quote = textcols.evidence_verdict(
-        F.col("evidence"), F.col("quote_words"), F.col("text"), F.col("text_words")
-    )
-    rows = rows.withColumn("quote_verdict", quote).drop("quote_words", "text_words")
+    rows = rows.join(_quotes_found(rows, posts), [*post, "quote_words"], "left")
+    quote = textcols.quote_verdict(F.col("evidence"), F.col("quote_words"), F.coalesce("quote_found", F.lit(True)))
+    rows = rows.withColumn("quote_verdict", quote).drop("quote_words", "quote_found")
     reason = F.coalesce(
         "time_reason",
         F.when((F.col("confidence") == "low") & F.lit(rules.reject_low_confidence), fv.REASON_LOW),
@@ -159,7 +170,7 @@ def accepted(judged: DataFrame) -> DataFrame:
         "event_type",
         "summary",
         textcols.build_description(
-            F.coalesce("text", F.lit("")),
+            F.coalesce("excerpt", F.lit("")),
             F.coalesce("url", F.lit("")),
             F.col("low"),
             F.col("kept_evidence"),

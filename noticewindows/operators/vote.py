@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticewindows.functions import timecols
@@ -142,7 +142,7 @@ def panel(
     counted = (
         tally(ballot_rows(ballots), panel_key())
         .join(failures.select(*POST), list(POST), "left_anti")
-        .withColumn("event_ord", F.col("ord.ballot_ord").cast("long") * 1_000_000 + F.col("ord.event_ord"))
+        .withColumn("event_ord", F.row_number().over(Window.partitionBy(*POST).orderBy("ord", *FIELDS)).cast("long") - 1)
     )
     enough = F.size("voters") >= quorum
     kept = counted.filter(enough).select(*POST, "event_ord", "voters", *FIELDS)

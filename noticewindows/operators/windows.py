@@ -109,7 +109,7 @@ def window_overlap(rows: DataFrame, requests: DataFrame) -> DataFrame:
         & (F.col("day") == F.to_date(F.greatest("start_at", "from_at")))
         & (F.col("types").isNull() | F.array_contains("types", F.col("event_type")))
     )
-    named = asked.filter("firms is not null").withColumn("firm", F.explode("firms"))
+    named = asked.filter("firms is not null").withColumn("firm", F.explode(F.array_distinct("firms")))
     of_firm = dated.join(named, ["firm", "day"]).filter(hit)
     of_all = dated.join(asked.filter("firms is null"), "day").filter(hit)
     columns = ["req_id", *rows.columns]
@@ -227,16 +227,16 @@ def schedule_board(
 def select_feed(rows: DataFrame, selections: DataFrame, salt: int = 32) -> DataFrame:
     """``(feed_id, row)`` for every feed a row belongs to: optional firm set and optional type set.
 
-    ``selections``: feed_id, firms, types; NULL is no filter.  Filters become equality keys, with
+    ``selections``: feed_id, firms, types; NULL is no filter, a value listed twice counts once.  Filters become equality keys, with
     ``*`` for no filter, so this is a hash join of the rows that can match.  The key of unfiltered
     feeds would hold every row, so that key is salted.
     """
     star = F.array(F.lit("*"))
     kinds = selections.select(
         "feed_id",
-        F.explode(F.coalesce("firms", star)).alias("k_firm"),
+        F.explode(F.coalesce(F.array_distinct("firms"), star)).alias("k_firm"),
         "types",
-    ).select("feed_id", "k_firm", F.explode(F.coalesce("types", star)).alias("k_type"))
+    ).select("feed_id", "k_firm", F.explode(F.coalesce(F.array_distinct("types"), star)).alias("k_type"))
     salted = kinds.withColumn(
         "k_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
     )

@@ -11,6 +11,7 @@ from noticewindows import fixed_values as fv
 from noticewindows.functions import postkeys, textcols, timecols
 from noticewindows.operators import (
     evaluate,
+    evidence,
     feed,
     health,
     reconcile,
@@ -23,6 +24,7 @@ from noticewindows.operators import (
 )
 from noticewindows.operators import posts as post_ops
 from noticewindows.plans import adapters as a
+from noticewindows.plans import sync
 from noticewindows.session import cut_lineage, run_folder
 from noticewindows.sources import crawl, pages, profiles, state
 from noticewindows.streaming import streams
@@ -473,6 +475,13 @@ def p7_evidence_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "kind", verdict.alias("verdict"))
 
 
+@query
+def p8_evidence_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark text as a quote, sought in every document."""
+    quotes = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return evidence.evidence_search(quotes, spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
 @query
 def p9_clean_evidence(spark: SparkSession, d: str) -> DataFrame:
     docs = a.documents(spark, d)
@@ -705,6 +714,24 @@ def r7_apply_plan(spark: SparkSession, d: str) -> DataFrame:
     return after.select(*POST, "arrival_seq", "event_key", "entry_id", "event_type", "summary", "start_iso")
 
 
+@query
+def r8_run_firms(spark: SparkSession, d: str) -> DataFrame:
+    """A whole sync over all firms with state; the pages of one firm could not be read, the others go on."""
+    posts = a.notices(spark, d).select(*POST, "text", "url", F.col("arrival_seq").alias("pos"))
+    tables = {
+        "post_state": a.post_state(spark, d),
+        "tracked": a.before(spark, d),
+        "deferred": a.held_rows(spark, d),
+        "rejected_lines": spark.createDataFrame([], state.STATE_TABLES["rejected_lines"]),
+    }
+    firms = a.firms(spark, d).withColumn("keywords", F.array(F.lit("platform")))
+    poisoned = a.firms(spark, d).filter("firm = 'u7'").select("firm", F.lit("listing unreadable").alias("message"))
+    result = sync.sync(
+        posts, a.ballots(spark, d), tables, firms, RULES, a.now(), list(a.MEMBERS), scrape_errors=poisoned, inventory=a.inventory(spark, d), real_calendar=True
+    )
+    return result.outcomes.select("firm", "status", "posts_seen", "posts_relevant", "events_created", "events_deleted", "events_kept", "rejections")
+
+
 @query
 def w7_refcount_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Every window of a firm requested and released along its posts."""
@@ -894,12 +921,12 @@ def w5_notify_once(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def w6_heartbeat_due(spark: SparkSession, d: str) -> DataFrame:
-    return health.heartbeat_due(a.run_log(spark, d), 96.0).select("firm", _utc("ts").alias("sent_utc"))
+    return health.heartbeat_due(a.run_log(spark, d), 1.0).select("firm", _utc("ts").alias("sent_utc"))
 
 
 @query
 def g8_usage_stats(spark: SparkSession, d: str) -> DataFrame:
-    daily = usage.usage_stats(a.access_log(spark, d), a.monitor(), cap=100, days=20)
+    daily = usage.usage_stats(a.access_log(spark, d), a.monitor())
     return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "views", "visitors", "feed_hits", "feed_clients")
 
 
@@ -1108,6 +1135,7 @@ def f2_ics_fold(spark: SparkSession, d: str) -> DataFrame:
     docs = a.documents(spark, d)
     line = F.concat(F.lit("DESCRIPTION:"), textcols.ics_escape(F.col("text")))
     rows = docs.select("doc_id", line.alias("line"), textcols.ics_fold(line).alias("parts"))
+    plain = F.octet_length("line") == F.length("line")
     joined = F.concat(
         F.get("parts", 0), F.array_join(F.transform(F.slice("parts", 2, 1 << 30), lambda p: F.substring(p, 2, 1 << 30)), "")
     )
@@ -1116,6 +1144,8 @@ def f2_ics_fold(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(joined, 256).alias("unfolded_hash"),
         (F.array_max(F.transform("parts", lambda p: F.octet_length(p))) <= 75).alias("short"),
         (F.array_min(F.transform("parts", lambda p: F.octet_length(p))) > 0).alias("filled"),
+        F.when(plain, F.size("parts").cast("bigint")).alias("n_parts"),
+        F.when(plain, F.octet_length(F.element_at("parts", -1)).cast("bigint")).alias("last_octets"),
     )
 
 
@@ -1241,9 +1271,9 @@ def t2_reconcile_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def t6_usage_stats_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Days that are closed once the whole log has been read."""
+    """Every day of the log, those included that the watermark has not closed."""
     access = a.shape_access(a.shape_events(_stream(spark, d, "events")))
-    daily = streams.run_to_table(streams.usage_stats_stream(access, a.monitor()), run_folder(spark, "t6"))
+    daily = streams.usage_stats_so_far(access, a.monitor(), run_folder(spark, "t6"))
     return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "views", "visitors", "feed_hits", "feed_clients")
 
 

@@ -406,6 +406,9 @@ SQL_BODY: dict[str, str] = {
     "p3_touch_seen": f"""SELECT CASE WHEN d.n_chars >= 200 THEN d.firm WHEN d.n_chars < 300 THEN '' ELSE d.firm END AS firm, d.post_key,
         CASE WHEN d.n_chars >= 200 THEN {iso(NOW)} ELSE '2024-01-01T00:00:00+00:00' END AS last_seen,
         CASE WHEN d.n_chars >= 200 THEN d.url ELSE '' END AS url FROM docs d WHERE lang <> 'es'""",
+    "p8_evidence_search": r"""WITH q AS (SELECT item_id AS quote_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS w FROM benchmark),
+        t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS w FROM documents)
+        SELECT quote_id, doc_id FROM q JOIN t ON contains(' ' || t.w || ' ', ' ' || q.w || ' ') WHERE len(string_split(q.w, ' ')) >= 4""",
     "p15_build_prompts": """WITH s AS (SELECT source, max(n_chars) AS x FROM documents GROUP BY source)
         SELECT d.firm, d.post_key, sha256(chr(10) || 'About this source:' || chr(10)
           || trim(CASE WHEN x > 12000 THEN ' Tion , EAUX' ELSE 'ñ, , thering' END) || chr(10) || chr(10)
@@ -567,14 +570,13 @@ SQL_BODY: dict[str, str] = {
     "w5_notify_once": """SELECT firm, run_id, error FROM (SELECT *, lag(error) OVER (PARTITION BY firm ORDER BY ts, run_id) AS p FROM rlog)
         WHERE error IS NOT NULL AND error IS DISTINCT FROM p""",
     "w6_heartbeat_due": f"""WITH RECURSIVE hb AS (SELECT 'u' || user_id AS firm, min(ts) AS ts FROM events GROUP BY 1
-          UNION ALL SELECT h.firm, (SELECT min(e.ts) FROM events e WHERE 'u' || e.user_id = h.firm AND e.ts >= h.ts + INTERVAL 96 HOUR)
+          UNION ALL SELECT h.firm, (SELECT min(e.ts) FROM events e WHERE 'u' || e.user_id = h.firm AND e.ts >= h.ts + INTERVAL 1 HOUR)
           FROM hb h WHERE h.ts IS NOT NULL)
         SELECT firm, {iso('ts')} AS sent_utc FROM hb WHERE ts IS NOT NULL""",
-    "g8_usage_stats": """SELECT * FROM (SELECT strftime(tm, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'view') AS views,
-          least(count(DISTINCT user_id) FILTER (event_type = 'view'), 100) AS visitors,
+    "g8_usage_stats": """SELECT strftime(tm, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'view') AS views,
+          count(DISTINCT user_id) FILTER (event_type = 'view') AS visitors,
           count(*) FILTER (event_type <> 'view' AND k <> 0) AS feed_hits,
-          least(count(DISTINCT 'addr-' || user_id || props) FILTER (event_type <> 'view' AND k <> 0), 100) AS feed_clients FROM ev GROUP BY 1)
-        ORDER BY day DESC LIMIT 20""",
+          count(DISTINCT 'addr-' || user_id || props) FILTER (event_type <> 'view' AND k <> 0) AS feed_clients FROM ev GROUP BY 1""",
     "g8_usage_totals": """SELECT count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type <> 'view' AND k <> 0) AS feed_hits FROM ev""",
     "s7_classify_fetch": f"""SELECT outcome, attempt::BIGINT AS attempt, count(*) AS n, max({iso('next_at')}) AS latest_next FROM fnext GROUP BY ALL""",
     "s7_fetch_outcomes": f"""SELECT url, attempt::BIGINT AS attempts, outcome, {iso('next_at')} AS next_attempt FROM (SELECT *, row_number() OVER (
@@ -612,7 +614,10 @@ SQL_BODY: dict[str, str] = {
         SELECT feed_id, part::BIGINT AS part, arrival_seq::BIGINT AS arrival_seq, pos::BIGINT AS pos, (i - 1)::BIGINT AS line_in_block, line FROM (
           SELECT feed_id, part, arrival_seq, pos, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM h)""",
     "f1_ics_escape": f"""SELECT doc_id, {_esc("(text || '; a,b \\ c' || chr(13) || chr(10) || url)")} AS escaped FROM docs""",
-    "f2_ics_fold": f"""SELECT doc_id, sha256('DESCRIPTION:' || {_esc('text')}) AS unfolded_hash, true AS short, true AS filled FROM documents""",
+    "f2_ics_fold": f"""SELECT doc_id, sha256('DESCRIPTION:' || {_esc('text')}) AS unfolded_hash, true AS short, true AS filled,
+        CASE WHEN n = o THEN CASE WHEN n <= 75 THEN 1 ELSE 1 + (n - 75 + 73) // 74 END END::BIGINT AS n_parts,
+        CASE WHEN n = o THEN CASE WHEN n <= 75 THEN n ELSE 2 + (n - 76) % 74 END END::BIGINT AS last_octets
+        FROM (SELECT *, length('DESCRIPTION:' || {_esc('text')}) AS n, octet_length(encode('DESCRIPTION:' || {_esc('text')})) AS o FROM documents)""",
     "f3_ics_stamp": """SELECT pos, CASE WHEN k >= 20 THEN 'DTSTART;TZID=Etc/GMT-3:' || strftime(start_at + INTERVAL 3 HOUR, '%Y%m%dT%H%M%S')
         ELSE 'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%SZ') END AS start,
         'DTEND;TZID=America/Chicago:' || strftime(end_at - INTERVAL 6 HOUR, '%Y%m%dT%H%M%S') AS "end" FROM w""",
@@ -636,11 +641,6 @@ SQL_BODY: dict[str, str] = {
         SELECT pos, (i - 1)::BIGINT AS line_no, line FROM (SELECT pos, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM b)""",
     "t1_changed_posts_stream": """SELECT firm, post_key, snapshot_id, content_hash FROM (SELECT source AS firm, lang AS post_key, doc_id AS snapshot_id,
         sha256(text) AS content_hash, lag(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS p, text FROM documents) WHERE text IS DISTINCT FROM p""",
-    "t6_usage_stats_stream": """SELECT strftime(tm, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'view') AS views,
-          least(count(DISTINCT user_id) FILTER (event_type = 'view'), 10000) AS visitors,
-          count(*) FILTER (event_type <> 'view' AND k <> 0) AS feed_hits,
-          least(count(DISTINCT 'addr-' || user_id || props) FILTER (event_type <> 'view' AND k <> 0), 10000) AS feed_clients FROM ev GROUP BY 1
-        HAVING max(date_trunc('day', tm)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "s11_export_feed_files": """WITH f AS (SELECT * FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%')
         SELECT feed_id, 18 + CAST(sum(13 + CASE WHEN evidence <> '' OR link <> '' THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) AS events,
           1::BIGINT AS zone_lines, true AS folded FROM f GROUP BY feed_id""",
@@ -665,6 +665,7 @@ SQL_BODY: dict[str, str] = {
 }
 
 SQL_BODY["t2_reconcile_stream"] = SQL_BODY["r7_apply_plan"]
+SQL_BODY["t6_usage_stats_stream"] = SQL_BODY["g8_usage_stats"]
 SQL_BODY["t7_notify_once_stream"] = SQL_BODY["w5_notify_once"]
 
 SQL: dict[str, str] = {name: _full(body) for name, body in SQL_BODY.items()}

@@ -73,6 +73,7 @@ def sync(
     inventory: DataFrame | None = None,
     calendar_zone: str = "UTC",
     failed_deletes: DataFrame | None = None,
+    real_calendar: bool = False,
 ) -> SyncResult:
     """Apply one set of ballots to the state.
 
@@ -125,7 +126,7 @@ def sync(
         now,
         rules.delete_on_empty_extraction,
         promoted=promoted,
-        real_calendar=False,
+        real_calendar=real_calendar,
     )
 
     last = state.agg(F.coalesce(F.max("arrival_seq"), F.lit(0))).scalar()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
 from noticewindows.functions import postkeys, textcols
+from noticewindows.session import cut_lineage
 from noticewindows.sources import htmltree
 
 _POST_OUT = "page_id long, firm string, url string, title string, text string, message string"
@@ -98,7 +99,7 @@ def read_detail_pages(pages: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def extract_posts(pages: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(posts, scrape_errors)`` of detail pages."""
-    rows = read_detail_pages(pages, profiles)
+    rows = cut_lineage(read_detail_pages(pages, profiles), "detail-pages")  # every page is parsed once
     posts = _as_posts(rows.filter("message is null"), profiles)
     return posts, rows.filter("message is not null").select("page_id", "firm", "url", "message")
 
@@ -115,6 +116,7 @@ def extract_listing(pages: DataFrame, profiles: DataFrame) -> tuple[DataFrame, D
         "min_content_chars",
     ]
     rows = _joined(pages, profiles, columns).mapInPandas(_read_listings, _LISTING_OUT)
+    rows = cut_lineage(rows, "listing-pages")  # every page is parsed once
     embedded = _as_posts(rows.filter("href is null"), profiles)
     links = rows.filter("href is not null").select("page_id", "firm", "url", "link_ord", "href")
     return embedded, links

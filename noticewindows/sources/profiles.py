@@ -90,6 +90,12 @@ def with_profile_defaults(profiles: DataFrame, default_name: F.Column | None = N
     )
 
 
+def broken_profiles(profiles: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``name, problem`` of the enabled profiles that cannot be used."""
+    enabled = overrides.filter(F.coalesce("enabled", F.lit(True))).select(F.col("profile").alias("name")).distinct()
+    return profiles.filter("problem is not null").join(enabled, "name", "left_semi").select("name", "problem")
+
+
 def resolve_firms(
     profiles: DataFrame,
     overrides: DataFrame,
@@ -98,6 +104,8 @@ def resolve_firms(
 ) -> DataFrame:
     """Enabled firms with their effective settings; an override that is not NULL wins.
 
+    A profile whose required settings are missing (``problem``) is no firm; :func:`broken_profiles` reports it.
+
     An empty zone or URL falls through to the profile, an empty keyword list overrides the profile
     and then falls to the default gate.
     """
@@ -110,8 +118,9 @@ def resolve_firms(
     ).filter("enabled")
     keywords = F.coalesce("o_keywords", "keywords")
     empty = F.lit("")
+    usable = profiles.filter("problem is null").drop("problem") if "problem" in profiles.columns else profiles
     return (
-        profiles.join(o, "name")
+        usable.join(o, "name")
         .withColumn("url", F.coalesce(F.nullif("o_url", empty), "url"))
         .withColumn(
             "timezone",

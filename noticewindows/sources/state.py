@@ -53,16 +53,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The version in force, or None when there is no state."""
+def _pointer_lines(spark: SparkSession, root: str) -> list[str]:
     pointer = f"{root}/CURRENT"
     if not _exists(spark, pointer):
-        return None
+        return []
     try:
-        rows = spark.read.text(pointer).limit(1).collect()
+        rows = spark.read.text(pointer, wholetext=True).limit(1).collect()
     except Exception:  # noqa: BLE001 - a pointer that cannot be read is a corrupt state
-        return None
-    return int(rows[0][0]) if rows and rows[0][0].strip().isdigit() else None
+        return []
+    return rows[0][0].splitlines() if rows else []
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The version in force, or None when there is no state."""
+    lines = _pointer_lines(spark, root)
+    return int(lines[0]) if lines and lines[0].strip().isdigit() else None
+
+
+def applied_step(spark: SparkSession, root: str) -> str | None:
+    """What the version in force was made from, as its writer named it."""
+    lines = _pointer_lines(spark, root)
+    return lines[1] if len(lines) > 1 else None
 
 
 def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
@@ -99,26 +110,31 @@ def read_state(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], Da
         try:
             tables[name] = upgrade(name, spark.read.option("mergeSchema", "true").parquet(path))
         except Exception as problem:  # noqa: BLE001 - any unreadable table voids the whole state
-            text = str(problem).splitlines()[0][:300]
+            text = str(problem).splitlines()[0]
             warning = [(path, f"state is unreadable; starting empty: {text}")]
             return empty_state(spark), spark.createDataFrame(warning, ddl)
     return tables, spark.createDataFrame([], ddl)
 
 
-def write_state(spark: SparkSession, root: str, version: int, tables: dict[str, DataFrame]) -> None:
-    """All tables of one version, then the pointer: readers see the old state or the new, never a mix."""
+def write_state(
+    spark: SparkSession, root: str, version: int, tables: dict[str, DataFrame], step: str = ""
+) -> None:
+    """All tables of one version, then the pointer: readers see the old state or the new, never a mix.
+
+    ``step`` names what the version was made from; it is kept in the pointer.
+    """
     for name in STATE_TABLES:
         upgrade(name, tables[name]).write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
-    _point(spark, root, version)
+    _point(spark, root, version, step)
 
 
-def _point(spark: SparkSession, root: str, version: int) -> None:
+def _point(spark: SparkSession, root: str, version: int, step: str) -> None:
     """Write the pointer beside its place and rename it over the old one."""
     fs, _ = _filesystem(spark, root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     new = path(f"{root}/CURRENT.{version}.{os.getpid()}")
     stream = fs.create(new, True)
-    stream.write(bytearray(f"{version}\n".encode()))
+    stream.write(bytearray(f"{version}\n{step}\n".encode()))
     stream.close()
     target = path(f"{root}/CURRENT")
     context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(

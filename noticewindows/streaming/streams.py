@@ -7,6 +7,7 @@ The processors need the RocksDB state store (``spark.sql.streaming.stateStore.pr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,45 +147,57 @@ def deferred_release_stream(held: DataFrame, max_days_ahead: int = fv.MAX_DAYS_A
 class _Stale(StatefulProcessor):
     """Pushes one row when a source has had no success for too long."""
 
-    def __init__(self, limit_ms: int) -> None:
-        self._limit = limit_ms
+    def __init__(self, limit_ms: int, started_ms: int | None) -> None:
+        self._limit, self._started = limit_ms, started_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "success_ms long")
+        # the last success (negative: none yet) and the instant from which silence is counted
+        self._last = handle.getValueState("last", "success_ms long, since_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self._last.get()[0] if self._last.exists() else None
+        known = self._last.exists()
+        success, since = self._last.get() if known else (-1, None)
+        newest = success if success >= 0 else None
         for frame in rows:
             good = frame[frame["error"].isna()]
             if len(good):
                 top = int(good["ts"].astype("datetime64[us]").astype("int64").max()) // 1000
                 newest = top if newest is None else max(newest, top)
-        if newest is not None:
-            self._last.update((newest,))
-            now_ms = timerValues.getCurrentProcessingTimeInMs()
-            self._handle.registerTimer(max(newest + self._limit + 1, now_ms + 1))
+        now_ms = timerValues.getCurrentProcessingTimeInMs()
+        if not known or (newest is not None and newest != success):
+            # one timer per source: it moves with every success, a source without one counts from its first run
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+            since = newest if newest is not None else self._started if self._started is not None else now_ms
+            self._last.update((newest if newest is not None else -1, since))
+            self._handle.registerTimer(max(since + self._limit + 1, now_ms + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = self._last.get()[0]
-        if expiredTimerInfo.getExpiryTimeInMs() > newest + self._limit:
-            yield pd.DataFrame(
-                [(key[0], pd.Timestamp(newest, unit="ms"))], columns=["firm", "last_success"]
-            )
+        newest, since = self._last.get()
+        if expiredTimerInfo.getExpiryTimeInMs() > since + self._limit:
+            last = pd.Timestamp(newest, unit="ms") if newest >= 0 else pd.NaT
+            yield pd.DataFrame({"firm": [key[0]], "last_success": pd.Series([last], dtype="datetime64[ns]")})
 
 
-def stale_detector(run_log: DataFrame, interval_seconds: float) -> DataFrame:
-    """A row per source whenever its last success is more than two intervals old."""
+def stale_detector(
+    run_log: DataFrame, interval_seconds: float, started_at: datetime | None = None
+) -> DataFrame:
+    """A row per source whenever its last success is more than two intervals old.
+
+    A source that never succeeded is silent since ``started_at``, or since its first run where that is not given.
+    """
+    started = None if started_at is None else int(started_at.replace(tzinfo=started_at.tzinfo or UTC).timestamp() * 1000)
     limit = int(interval_seconds * fv.STALE_INTERVALS * 1000)
     rows = run_log.select("firm", "ts", "error")
     return rows.groupBy("firm").transformWithStateInPandas(
-        _Stale(limit), "firm string, last_success timestamp", "Append", "ProcessingTime"
+        _Stale(limit, started), "firm string, last_success timestamp", "Append", "ProcessingTime"
     )
 
 
 def usage_stats_stream(
-    access_log: DataFrame, monitor: Column, cap: int = fv.USAGE_DISTINCT_CAP, delay: str = "1 day"
+    access_log: DataFrame, monitor: Column, cap: int | None = None, delay: str = "1 day"
 ) -> DataFrame:
     """Daily usage per tumbling window; a closed day is final and later rows for it are dropped.
 
@@ -199,14 +212,43 @@ def usage_stats_stream(
         per_who.groupBy(F.window("window", "1 day"))
         .agg(
             F.coalesce(F.sum(F.when(view, F.col("n"))), F.lit(0)).alias("views"),
-            F.least(F.count_if(view), F.lit(cap)).alias("visitors"),
+            usage.capped(F.count_if(view), cap).alias("visitors"),
             F.coalesce(F.sum(F.when(~view, F.col("n"))), F.lit(0)).alias("feed_hits"),
-            F.least(F.count_if(~view), F.lit(cap)).alias("feed_clients"),
+            usage.capped(F.count_if(~view), cap).alias("feed_clients"),
         )
         .select(F.to_date("window.start").alias("day"), "views", "visitors", "feed_hits", "feed_clients")
     )
 
 
+def usage_stats_so_far(
+    access_log: DataFrame, monitor: Column, folder: str, cap: int | None = None, delay: str = "1 day"
+) -> DataFrame:
+    """Daily usage after a bounded run of the stream, days that are still open included.
+
+    The stream keeps one count per (day, kind, who) and writes the changed ones of every batch to the batch's own
+    folder, which a replay overwrites; the newest count of each key is the table that days are summed from.
+    """
+    rows = usage.access_rows(access_log, monitor).withWatermark("ts", delay)
+    counts = rows.groupBy(F.window("ts", "1 day"), "kind", "who").agg(F.count("*").alias("n"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.select(F.to_date("window.start").alias("day"), "kind", "who", "n").write.mode("overwrite").parquet(
+            f"{folder}/out/batch={batch_id}"
+        )
+
+    query = (
+        counts.writeStream.outputMode("update")
+        .foreachBatch(step)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    written = access_log.sparkSession.read.schema("day date, kind string, who string, n long, batch long").parquet(f"{folder}/out")
+    newest = written.groupBy("day", "kind", "who").agg(F.max_by("n", "batch").alias("n"))
+    return usage.daily_stats(newest, cap)
+
+
 def reconcile_stream(
     posts: DataFrame,
     root: str,
@@ -215,18 +257,20 @@ def reconcile_stream(
 ) -> StreamingQuery:
     """One micro-batch is one sync: state in, ``sync``, state out.
 
-    ``sync(tables, batch, batch_id)`` returns the new state tables.  The version is the batch's number
-    plus one and is computed from the version before it, so that a replayed batch writes the same
-    version again and never applies twice.
+    ``sync(tables, batch, batch_id)`` returns the new state tables.  The pointer of the state names the
+    query and the batch that made it: only the same batch of the same query is skipped, a query with a new
+    checkpoint goes on from the state there is.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = state.current_version(spark, root)
-        if done is not None and done > batch_id:
+        query_id = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        name = f"{query_id} {batch_id}"
+        if state.applied_step(spark, root) == name:
             return
         tables, _ = state.read_state(spark, root)
-        state.write_state(spark, root, batch_id + 1, sync(tables, batch, batch_id))
+        version = state.current_version(spark, root) or 0
+        state.write_state(spark, root, version + 1, sync(tables, batch, batch_id), name)
 
     return (
         posts.writeStream.foreachBatch(step)

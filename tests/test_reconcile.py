@@ -5,10 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from noticewindows.functions import timecols
+from noticewindows.operators import posts as posts_ops
 from noticewindows.operators import reconcile, windows
 from noticewindows.plans import sync as sync_plan
 from noticewindows.operators import validate
 from noticewindows.sources import state
+from noticewindows.streaming import streams
 
 TRACKED = state.STATE_TABLES["tracked"]
 NEW = (
@@ -285,3 +287,41 @@ def test_first_copy_wins(spark):
     rows = [tracked_row("f", "b", 2, 0, 1, "late"), tracked_row("f", "a", 1, 0, 1, "early"), tracked_row("f", "a", 1, 1, 2, "x", start=False)]
     got = windows.dedup_windows(spark.createDataFrame(rows, TRACKED)).collect()
     assert [(r.post_key, r.entry_id) for r in got] == [("a", "early")]
+
+
+def test_new_windows_keep_the_order_of_extraction(spark):
+    old = [tracked_row("f", "p", 0, 4, 9)]
+    new = [new_row("f", "p", n, w) for n, w in enumerate([3, 1, 5, 2, 4, 9])]
+    *_, after = run(spark, old, new, [("f", "p", 0, False)])
+    rows = sorted(after.collect(), key=lambda r: r.pos)
+    assert [r.event_key.split(":")[1] for r in rows] == ["9", "3", "1", "5", "2", "4"]
+    assert [r.pos for r in rows] == [4, 5, 6, 7, 8, 9]
+
+
+def test_firms_may_share_a_post_key(spark):
+    ddl = state.STATE_TABLES["post_state"]
+    columns = spark.createDataFrame([], ddl).columns
+    base = dict.fromkeys(columns)
+    rows = [
+        tuple({**base, "firm": f, "post_key": "k", "url": f"old-{f}"}[c] for c in columns) for f in ("a", "b", "c", "")
+    ]
+    posts = spark.createDataFrame([("a", "k", "new-a"), ("b", "k", "new-b")], "firm string, post_key string, url string")
+    got = posts_ops.touch_seen(posts, spark.createDataFrame(rows, ddl), timecols.iso_instant(F.lit(NOW))).collect()
+    assert sorted((r.firm, r.url, r.last_seen is not None) for r in got) == [
+        ("a", "new-a", True), ("b", "new-b", True), ("b", "new-b", True), ("c", "old-c", False)
+    ]
+
+
+def test_a_new_checkpoint_goes_on_from_the_state(spark, tmp_path):
+    root, seen = str(tmp_path / "state"), []
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    state.write_state(spark, root, 7, state.empty_state(spark))
+
+    def sync(tables, batch, batch_id):
+        seen.append(batch.count())
+        return tables
+
+    for checkpoint in ("one", "one", "two"):
+        rows = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        streams.reconcile_stream(rows, root, str(tmp_path / checkpoint), sync).awaitTermination()
+    assert seen == [3, 3] and state.current_version(spark, root) == 9

@@ -196,6 +196,15 @@ def test_feed_checker(spark):
     assert codes(GOOD[:14] + ["END:VEVENT"] + GOOD[8:]) != []
     assert codes([GOOD[0], "X:" + "y" * 80, *GOOD[1:]]) == ["folding"]
     assert codes([GOOD[0], "X:a\nb", *GOOD[1:]]) == ["line-endings"]
+    assert codes([*GOOD[:1], *GOOD[1:], "X-STRAY:1", *GOOD]) == ["event", "structure"]  # between two calendars, UIDs twice
+    at = GOOD.index("UID:1")
+    long = ["UID:" + "u" * 71, " tail-1"]
+    other = [x if x != "UID:1" else "UID:" + "u" * 71 for x in GOOD]
+    other.insert(other.index("UID:" + "u" * 71) + 1, " tail-2")
+    both = GOOD[:at] + long + GOOD[at + 1 : -1] + other[other.index("BEGIN:VEVENT") :]
+    assert codes(both) == []
+    problem = feed.feed_problems(feed_frame(spark, GOOD[:-1] + ["BEGIN:X", "END:VCALENDAR"]), block=5).collect()
+    assert [r.code for r in problem] == ["structure"]
 
 
 def test_exported_feed_is_sound_in_every_zone(spark, tmp_path):
@@ -260,10 +269,10 @@ def test_clock_streams_within_bounded_time(spark, tmp_path):
     assert sorted(r.event_key for r in out.collect()) == ["due", "soon"]
     log = tmp_path / "log"
     ddl = "firm string, ts timestamp, error string"
-    rows = [("quiet", datetime(2024, 1, 1), None), ("fresh", datetime.now() + timedelta(days=1), None)]
+    rows = [("quiet", datetime(2024, 1, 1), None), ("fresh", datetime.now() + timedelta(days=1), None), ("never", datetime(2024, 1, 2), "down")]
     spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(log))
-    out = streams.run_for(streams.stale_detector(spark.readStream.schema(ddl).parquet(str(log)), 3600), str(tmp_path / "t5"), 25)
-    assert {r.firm for r in out.collect()} == {"quiet"}
+    out = streams.run_for(streams.stale_detector(spark.readStream.schema(ddl).parquet(str(log)), 3600, datetime(2024, 1, 1)), str(tmp_path / "t5"), 25)
+    assert sorted((r.firm, r.last_success) for r in out.collect()) == [("never", None), ("quiet", datetime(2024, 1, 1))]
 
 
 def test_entry_and_registered_names(spark):
@@ -274,3 +283,15 @@ def test_entry_and_registered_names(spark):
     df = entry.entry(spark)
     assert df.columns == ["firm", "firm_name", "event_key", "start_utc", "status"] and df.count() > 0
     assert adapters.MEMBERS == ("m1", "m2", "m3")
+
+
+def test_a_firm_listed_twice_counts_once(spark):
+    rows = spark.createDataFrame([("f", "other", "k")], "firm string, event_type string, event_key string")
+    asked = spark.createDataFrame([("x", ["f", "f"], ["other", "other"])], "feed_id string, firms array<string>, types array<string>")
+    assert windows.select_feed(rows, asked).count() == 1
+
+
+def test_an_empty_feed_is_named_after_the_only_firm(spark):
+    feeds = spark.createDataFrame([("all", None, None, None, None)], "feed_id string, firms array<string>, types array<string>, n_firms int, one_firm string")
+    names = spark.createDataFrame([("f", "Desk F"), ("", "blank")], "firm string, title string")
+    assert feed.calendar_name(feeds, names).first().name.startswith("Desk F")
