@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where unset, the warehouse, which a cluster shares as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", root.rstrip("/"))
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
