@@ -212,7 +212,9 @@ def keep_known(documents: DataFrame, wanted: tuple[str, ...] | None = None, doc_
     """The rows of ``documents`` that are accepted, by id; rows with a null id are judged by nothing and stay."""
     model = train(documents)
     judged = identify(documents.select(doc_id, "text", "lang", "source"), model, wanted, **options)
-    rejected = judged.where("NOT kept").select(F.col(f"row.{doc_id}").alias("_rejected")).where("_rejected IS NOT NULL").distinct()
+    # written first: a filter on the verdict would be moved down and every use of a posterior written out again
+    judged = store.stored(judged.select(F.col(f"row.{doc_id}").alias("_rejected"), "kept"), "language-verdicts")
+    rejected = judged.where("NOT kept AND _rejected IS NOT NULL").select("_rejected").distinct()
     return documents.join(rejected, F.col(doc_id) == F.col("_rejected"), "left_anti")
 
 
