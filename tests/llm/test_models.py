@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -130,6 +131,47 @@ def test_spans_are_words_of_the_document(spark):
     assert [(r.start_word, r.end_word, r.n_equal) for r in row] == [(2, 32, 30)]
 
 
+def most_equal_without(masks, n_words):
+    """Of all rows of equal (1) and changed (0) words of each length that hold no mask: the most equal words."""
+    span = max(map(len, masks)) - 1
+    state = np.arange(1 << span)
+    longer = 2 * state + 1
+    hit = np.any([longer & int(m, 2) == int(m, 2) for m in masks], axis=0)
+    best, out = np.where(state == 0, 0, -(10**6)), []
+    for _ in range(n_words):
+        step = np.full(1 << span, -(10**6))
+        np.maximum.at(step, 2 * state % (1 << span), best)
+        np.maximum.at(step, longer % (1 << span), np.where(hit, -(10**6), best + 1))
+        best = step
+        out.append(int(best.max()))
+    return out
+
+
+def test_masks_miss_no_overlap_of_any_length():
+    masks = [m for _, m in spaced_seeds.masks_of(600, spaced_seeds.MASKS)]
+    assert all(e < 13 or e < 0.75 * length for length, e in enumerate(most_equal_without(masks, 600), 1))
+
+
+def test_seeds_find_periodic_and_random_substitutions(spark):
+    rng, texts, items = random.Random(6), [], []
+    for k, (n, changed) in enumerate([(50, range(3, 50, 4)), (20, range(3, 20, 4)), (17, range(1, 17, 4))] + [(n, None) for n in (16, 20, 24, 40, 59) for _ in range(40)]):
+        item = text_of(500 + k, n).split()
+        items.append((k, " ".join(item)))
+        for i in changed or rng.sample(range(1, n - 1), n // 4):
+            item[i] = f"changed{i}"
+        texts.append("before it " + " ".join(item) + " after it")
+    found = spaced_seeds.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id == r.item_id} == {(k, k) for k in range(len(items))}
+
+
+def test_longer_run_with_fewer_equal_words_does_not_hide_another():
+    equal = np.array([int(c) for c in "110100110110101111011111"], bool)
+    for hit in np.flatnonzero(equal):
+        a, b = spaced_seeds.aligned_run(equal, hit, 0.75)
+        runs = [(i, j) for i in range(hit + 1) for j in range(hit + 1, len(equal) + 1) if equal[i] and equal[j - 1] and equal[i:j].mean() >= 0.75]
+        assert equal[a:b].sum() == max(equal[i:j].sum() for i, j in runs)
+
+
 # -- Kneser-Ney --------------------------------------------------------------------------------------------
 
 
