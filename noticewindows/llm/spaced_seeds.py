@@ -4,7 +4,7 @@ A seed is a fixed mask over a window of words: the marked words are hashed, the
 windows of the benchmark texts are joined with those of the training texts; a hit fixes a benchmark item and a
 diagonal (document place less item place), and the words of both along that diagonal are compared around the hit.
 A run of aligned words is an overlap when it has at least ``min_words`` equal words, ``min_share`` of the run is equal
-and both ends are equal; items shorter than ``min_words`` must be found whole (``min_share`` of their words).
+and both ends are equal; of an item in which ``min_share`` of its words are fewer than ``min_words``, that many suffice.
 
 The masks are chosen so that with the default rule no overlap is missed, wherever the changed words stand: every row of
 equal and changed words that passes the rule holds at least one mask (the tests walk through all rows of all lengths).
@@ -13,7 +13,7 @@ The seeds of the benchmark are held by every task in blocks of at most ``HELD_SE
 passes, not larger tasks.
 
 Defined results: words are compared in lower case and without punctuation at their ends; null and blank texts and
-items match nothing; items of 4 to 11 words are compared by a mask of their own length.
+items match nothing, nor do items of fewer than four words; shorter items have shorter masks, of less weight.
 Repeated documents each get their rows; rows with a null id are reported under the null id.  Items that repeat are
 reported each.
 """
@@ -35,8 +35,9 @@ from noticewindows.llm.textblocks import BASE, U, Words, mix, slabs, span_hashes
 
 # 1 = the word counts, 0 = the word may differ.  Found by a greedy cover; leaving one out would lose overlaps.
 MASKS = ("1111011", "110010111", "11000100111", "111100011", "1101010101", "11101101", "1010011011", "110100001011", "1101111")
-LONG_WORDS = 12  # an item of so many words has MASKS
-SHORT_MASK_WORDS = 4  # an item of 4 to 11 words is sought as a whole, shorter ones are too short to mean anything
+LONG_WORDS = 12  # an item of so many words has MASKS, a shorter one those of the largest length below, which cover it too
+SHORT_MASKS = {4: ("111", "1101", "1011"), 6: ("1111", "11011"), 8: ("11101", "100111", "1101001")}
+SHORT_MASK_WORDS = min(SHORT_MASKS)  # shorter items are too short to mean anything
 MIN_WORDS = 13
 MIN_SHARE = 0.75
 HELD_SEEDS = 4_000_000  # 32 MB of hashes
@@ -91,12 +92,13 @@ def masks_of(n_words: int, masks: tuple[str, ...]) -> list[tuple[int, str]]:
     fitting = [(i, m) for i, m in enumerate(masks) if len(m) <= n_words and n_words >= LONG_WORDS]
     if fitting or n_words < SHORT_MASK_WORDS:
         return fitting
-    return [(100 + n_words, "1" * n_words)]
+    least = max(n for n in SHORT_MASKS if n <= n_words)
+    return [(1000 + 10 * least + i, m) for i, m in enumerate(SHORT_MASKS[least])]
 
 
 def words_needed(n_words: int, min_words: int, min_share: float) -> int:
     """The equal words that make an overlap with an item of ``n_words`` words."""
-    return min_words if n_words >= min_words else math.ceil(min_share * n_words - 1e-9)
+    return min(min_words, math.ceil(min_share * n_words - 1e-9))
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

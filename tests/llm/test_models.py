@@ -148,6 +148,11 @@ def most_equal_without(masks, n_words):
 
 
 def test_masks_miss_no_overlap_of_any_length():
+    for n in range(4, 60):
+        masks = [m for _, m in spaced_seeds.masks_of(n, spaced_seeds.MASKS)]
+        need = spaced_seeds.words_needed(n, 13, 0.75)
+        equal = most_equal_without(masks, n)
+        assert all(e < need or e < 0.75 * length for length, e in enumerate(equal, 1)), n
     masks = [m for _, m in spaced_seeds.masks_of(600, spaced_seeds.MASKS)]
     assert all(e < 13 or e < 0.75 * length for length, e in enumerate(most_equal_without(masks, 600), 1))
 
