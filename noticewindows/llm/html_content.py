@@ -7,10 +7,12 @@ upward and once downward (sum-product), which is exact on a tree; a run whose co
 part of the main text.  All potentials are smoothed counts over labelled pages.
 
 Text: character references are decoded, white space inside a run becomes one blank, runs are joined in page order by
-one blank.  Comments, scripts, styles, templates and the head are no text.
+one blank.  Comments, scripts, styles, templates, frames, drawings, what stands in for media and the head are no text.
 
 Defined results: null, empty and blank pages give an empty text; broken markup is read as far as it goes (unclosed
-elements end with their parent, unmatched end tags are ignored).  Each row is read on its own, so repeated rows get the
+elements end with their parent, unmatched end tags are ignored).  A head without an end ends at the first tag or text
+that may not stand in it; a media element that is still open where a block around it ends holds nothing.  A quote in a
+tag opens a value only after ``=``.  Each row is read on its own, so repeated rows get the
 same text.
 """
 
@@ -33,16 +35,20 @@ MAX_FEATURES = 50_000  # most frequent features that the model keeps
 RUN_WEIGHT = 0.35  # runs of one box are alike: their potentials are flattened, so that many do not outvote the box
 LABELLED = 1500  # labelled pages to train on
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*)>?""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SENTENCE = tuple(".!?:;。！？…")
 VOID = frozenset("area base col embed img input link meta param source track wbr hr br".split())
-SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video".split())
+SILENT = frozenset("script style template noscript head title svg iframe object canvas audio video".split())
+MEDIA = frozenset("svg object canvas audio video".split())  # what stands in them is shown by old readers only, or drawn
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
 RAW = frozenset("script style template noscript title iframe".split())  # their end is sought as text
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var x-label html".split()
+    "time tt u var x-label html "
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 BLOCKS_END_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
@@ -60,6 +66,9 @@ SIBLINGS = {
 }
 
 
+MEDIA_END = re.compile(rf"</({'|'.join(sorted(MEDIA))})(?=[\s/>]|\Z)", re.I)
+
+
 class Tree:
     """Nodes in document order: parent, features key, tag, and the text of leaves (None for elements)."""
 
@@ -75,6 +84,9 @@ def parse(page: str) -> Tree:
     silent: list[str] = []
     parts: list[str] = []
     link_parts: list[str] = []
+    inside: list[str] = []  # elements open in a media element
+    media_at = void_until = 0  # where that one began; before the second place media tags hold nothing
+    last_end = {m.group(1).lower(): m.start() for m in MEDIA_END.finditer(page)}
     links = labelled = at = 0
 
     def flush() -> None:
@@ -98,11 +110,17 @@ def parse(page: str) -> Tree:
         flush()
         del stack[depth:]
 
-    while at < len(page):
+    while True:
         found = TOKEN.search(page, at)
         if found is None:
+            if silent and silent[0] in MEDIA:  # never closed: read again from behind its tag
+                at, void_until = media_at, len(page)
+                silent.clear()
+                continue
             break
         start, end = found.span()
+        if silent == ["head"] and page[at:start].strip():
+            silent.clear()
         if start > at and not silent:
             parts.append(page[at:start])
             if links:
@@ -117,9 +135,17 @@ def parse(page: str) -> Tree:
         if closing:
             if name in SILENT:
                 if name in silent:
-                    del silent[silent.index(name) :]
+                    del silent[len(silent) - 1 - silent[::-1].index(name) :]
+                if not silent:
+                    inside.clear()
             elif silent:
-                pass
+                if silent[0] in MEDIA and name not in INLINE:
+                    if name in inside:
+                        del inside[len(inside) - 1 - inside[::-1].index(name) :]
+                    elif any(tag == name for _, tag in stack[1:]):
+                        at, void_until = media_at, start
+                        silent.clear()
+                        inside.clear()
             elif name == "a":
                 links = max(0, links - 1)
             elif name == "x-label":
@@ -130,20 +156,32 @@ def parse(page: str) -> Tree:
                 if depth:
                     close_to(depth)
             continue
+        if silent == ["head"] and name not in IN_HEAD:
+            silent.clear()
+        if name == "head" and (len(tree.parent) > 1 or "".join(parts).strip()):
+            continue  # there is a body already
         if name in SILENT:
             if rest.rstrip().endswith("/") and name not in ("script", "style"):
                 continue
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                if not close and name not in ("script", "style"):
+                    continue
                 at = close.start() if close else len(page)
+            elif name in MEDIA:
+                flush()
+                if at <= void_until or last_end.get(name, 0) < at:
+                    continue
+                if not silent:
+                    media_at = at
             silent.append(name)
             flush()
             continue
-        if name == "body" and "head" in silent:
-            silent.clear()
         if silent:
+            if name not in INLINE and name not in VOID and not rest.rstrip().endswith("/"):
+                inside.append(name)
             continue
-        if name == "br":
+        if name in ("br", "mtd"):
             parts.append(" ")
         elif name == "a":
             links += 1
@@ -176,6 +214,8 @@ def parse(page: str) -> Tree:
             tree.text.append(None)
             tree.label.append(False)
             stack.append((len(tree.parent) - 1, name))
+    if silent == ["head"] and page[at:].strip():
+        silent.clear()
     if at < len(page) and not silent:
         parts.append(page[at:])
     flush()

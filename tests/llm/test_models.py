@@ -342,3 +342,30 @@ def test_pages(spark, page_model):
     assert (got[2].text, got[3].text, got[4].text) == ("", "", "") and got[2].n_chars == 0
     assert got[5].n_chars == len("Long text goes on. " * 20_000) - 1
     assert html_content.extract(pages.limit(0), page_model).collect() == []
+
+
+def runs(page):
+    return [t for t in html_content.parse(page).text if t]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><meta charset=a><p>one<p>two", ["one", "two"]),
+        ("<head><title>t</title><style>a</style>plain text", ["plain text"]),
+        ("<head><script>a</script></head><body><p>one</p><head><p>two</p>", ["one", "two"]),
+        *[(f"<div><p>one <{m} src=x> two</p></div><p>three</p>{end}<p>four</p>", ["one", "two", "three", "four"]) for m in ("object", "canvas", "video", "audio", "svg") for end in ("", f"<{m}>old</{m}>")],
+        ("<p>one <video><p>old <b>reader</b></p><source src=a></video> two</p>", ["one", "two"]),
+        ("<p>one <object><object>old</object> old</object> two</p>", ["one", "two"]),
+        ("<p>that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["that x=2 holds"]),
+        ('<p class=a">one</p><p>two "three" four</p>', ["one", 'two "three" four']),
+        ("<p don't>one</p><p title='a > b' id = \"c>\">it's two</p>", ["one", "it's two"]),
+        ("<p>one <iframe src=a> two</p>", ["one two"]),
+    ],
+)
+def test_broken_markup_keeps_its_text(page, want):
+    assert runs(page) == want
+
+
+def test_many_open_media_elements_take_linear_time():
+    assert len(runs("<div>" + "<object>word " * 50_000 + "</div><object></object>")) == 50_000
