@@ -16,6 +16,9 @@ A document is rejected when it has no letters, when its text is of no known lang
 guess by ``MAX_SHORTFALL`` nats), when the best language is not in the wanted set, or when its posterior is
 below ``MIN_POSTERIOR``.
 
+Languages are all labels found, however many, by their first subtag in lower case; counts and likelihoods are held in
+blocks of languages.
+
 Defined results: null or blank texts have no text evidence, language null and are rejected; null declarations and hosts
 add no evidence.  Ties go to the first language in name order.  Repeated rows get equal results.  An empty table gives
 an empty result.
@@ -23,6 +26,7 @@ an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticewindows.llm import store
+from noticewindows.llm.kneser_ney import SharedArrays
 from noticewindows.llm.textblocks import slabs, text_bytes
 
 BUCKETS = 1 << 16
+BLOCK = 64  # languages whose counts a task or the driver holds at a time
+SCORES = 4_000_000  # likelihoods that a task holds at a time
 SLAB_BYTES = 4 << 20
 TEMPER = 20.0  # trigrams that count as one independent observation
 ALPHA = 0.5  # smoothing of trigram counts
@@ -73,66 +80,107 @@ LETTER[97:123] = True
 LETTER[128:] = True
 
 
-def _count(languages: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in slabs(batches, "text", SLAB_BYTES):
-            codes, offsets = trigram_codes(batch.column(1))
-            number = pc.fill_null(pc.index_in(batch.column(0), pa.array(languages, pa.string())), -1).to_numpy(zero_copy_only=False)
-            of = np.repeat(number, np.diff(offsets))
-            for k in range(len(languages)):
-                total[k] += np.bincount(codes[of == k], minlength=BUCKETS)
-        k, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(total[k, bucket])], names=["k", "bucket", "n"])
+def label_of(label: Column) -> Column:
+    """The language of a label: its first subtag in lower case (``EN``, ``en-US`` and ``en_gb`` are ``en``); null if blank."""
+    found = F.regexp_extract(F.lower(label.cast("string")), r"^\s*([^_-]*[^\s_-])", 1)
+    return F.when(found != "", found)
 
-    return run
+
+def plain_label(label: str) -> str:
+    found = re.match(r"\s*([^_-]*[^\s_-])", label.lower())
+    return found.group(1) if found else ""
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, np.ndarray] = {}
+
+    def counted() -> pa.RecordBatch:
+        parts = [(language, np.flatnonzero(n)) for language, n in total.items()]
+        languages = pa.array([language for language, _ in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), [len(at) for _, at in parts])))
+        buckets = np.concatenate([np.zeros(0, np.int64), *[at for _, at in parts]])
+        n = np.concatenate([np.zeros(0, np.int64), *[total[language][at] for language, at in parts]])
+        return pa.RecordBatch.from_arrays([languages, pa.array(buckets), pa.array(n)], names=["lang", "bucket", "n"])
+
+    for batch in slabs(batches, "text", SLAB_BYTES):
+        codes, offsets = trigram_codes(batch.column(1))
+        found = batch.column(0).dictionary_encode()
+        number = pc.fill_null(found.indices, -1).to_numpy(zero_copy_only=False)
+        of = np.repeat(number, np.diff(offsets))
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(len(found.dictionary) + 1))
+        for k, language in enumerate(found.dictionary.to_pylist()):
+            if language not in total:
+                if len(total) >= BLOCK:
+                    yield counted()
+                    total.clear()
+                total[language] = np.zeros(BUCKETS, np.int64)
+            total[language] += np.bincount(codes[order[cuts[k] : cuts[k + 1]]], minlength=BUCKETS)
+    yield counted()
 
 
 class TextModel:
-    """Log likelihoods of trigram buckets: a table of languages x BUCKETS, whatever the corpus."""
+    """Log likelihoods of trigram buckets: blocks of languages x BUCKETS in the shared folder, mapped by tasks."""
 
-    def __init__(self, languages: tuple[str, ...], counts: np.ndarray):
-        self.languages = languages
-        smooth = counts + ALPHA
-        self.logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    def __init__(self, languages: tuple[str, ...], uri: str):
+        self.languages, self.uri = languages, uri
 
 
 def train(labelled: DataFrame, language: str = "lang", text: str = "text", languages: tuple[str, ...] | None = None) -> TextModel:
-    """Count trigrams of all labelled rows per language.  Languages default to the labels found (at most 200)."""
-    rows = labelled.select(F.col(f"`{language}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
+    """Count trigrams of all labelled rows per language.  Languages default to all labels found, by ``label_of``."""
+    spark = labelled.sparkSession
+    rows = labelled.select(label_of(F.col(f"`{language}`")).alias("lang"), F.col(f"`{text}`").alias("text")).where("lang IS NOT NULL")
     if languages is None:
-        found = rows.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
-        languages = tuple(sorted(r.lang for r in found))
-    counts = np.zeros((len(languages), BUCKETS))
-    if languages:
-        per_bucket = rows.mapInArrow(_count(languages), "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
-        for r in per_bucket.toLocalIterator():  # bounded by languages x BUCKETS
-            counts[r.k, r.bucket] = r.n
-    return TextModel(languages, counts)
-
-
-def _likelihoods(held):
+        languages = tuple(sorted(r.lang for r in rows.select("lang").distinct().toLocalIterator()))
+    else:
+        languages = tuple(sorted({plain_label(x) for x in languages}))
+    counts = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = store.stored(counts, "trigrams")
+    arrays = SharedArrays(store.fresh_folder(spark, "language-model"))
+    for b in range(0, len(languages), BLOCK):
+        block = languages[b : b + BLOCK]
+        number = {x: k for k, x in enumerate(block)}
+        smooth = np.full((len(block), BUCKETS), ALPHA)
+        for r in counts.where(F.col("lang").isin(*block)).toLocalIterator():  # bounded by BLOCK x BUCKETS
+            smooth[number[r.lang], r.bucket] += r.n
+        arrays.write(f"logs-{b // BLOCK}", np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32))
+    return TextModel(languages, arrays.uri)
+
+
+def _likelihoods(model: TextModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: TextModel = held.value
-        for batch in slabs(batches, "_text", SLAB_BYTES):
-            codes, offsets = trigram_codes(batch.column(batch.num_columns - 1))
-            n = np.diff(offsets)
-            sums = []
-            for log in model.logs:
-                total = np.concatenate([[0.0], np.cumsum(log[codes], dtype=np.float64)])
-                sums.append(total[offsets[1:]] - total[offsets[:-1]])
-            flat = np.stack(sums, axis=1).ravel() if sums else np.zeros(0)
-            step = len(model.languages)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * step), pa.array(flat))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(n), lists], names=[f.name for f in batch.schema][:-1] + ["n_trigrams", "logs"])
+        step, arrays = len(model.languages), SharedArrays(model.uri)
+        blocks = [arrays.read(f"logs-{b}", "f4").reshape(-1, BUCKETS) for b in range(-(-step // BLOCK))]
+        rows = max(1, SCORES // step)
+        for slab in slabs(batches, "_text", SLAB_BYTES):
+            for batch in (slab.slice(i, rows) for i in range(0, slab.num_rows, rows)):
+                codes, offsets = trigram_codes(batch.column(batch.num_columns - 1))
+                sums = np.empty((batch.num_rows, step))
+                for k, log in enumerate(log for logs in blocks for log in logs):
+                    total = np.concatenate([[0.0], np.cumsum(log[codes], dtype=np.float64)])
+                    sums[:, k] = total[offsets[1:]] - total[offsets[:-1]]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * step), pa.array(sums.ravel()))
+                n = np.diff(offsets)
+                speaks = (n > 0) & (sums.max(axis=1) - n * float(np.log(1.0 / BUCKETS)) > -MAX_SHORTFALL)
+                vote = pa.array(sums.argmax(axis=1).astype(np.int32), mask=~speaks)
+                kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n), lists, pa.array(speaks), vote], names=[f.name for f in batch.schema][:-1] + ["n_trigrams", "logs", "speaks", "vote"])
 
     return run
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not once for every element that needs it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
 def _softmax(logs: Column) -> Column:
-    exps = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(exps, lambda x: x / F.aggregate(exps, F.lit(0.0), lambda a, b: a + b))
+    exps = lambda held: _let(F.array_max(held), lambda top: F.transform(held, lambda x: F.exp(x - top)))
+    shares = lambda held: _let(_sum(held), lambda total: F.transform(held, lambda x: x / total))
+    return _let(_let(logs, exps), shares)
 
 
 def host_of(address: Column) -> Column:
@@ -148,22 +196,18 @@ def suffix_of(host: Column) -> Column:
 def identify(documents: DataFrame, model: TextModel, wanted: tuple[str, ...] | None = None, text: str = "text", declared: str = "lang", address: str = "source", min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """The columns of ``documents`` but the text, as the struct ``row``, with ``language, posterior, text_language,
     n_trigrams, kept``."""
-    spark, languages = documents.sparkSession, model.languages
-    wanted = languages if wanted is None else wanted
+    languages = model.languages
+    wanted = languages if wanted is None else tuple(plain_label(x) for x in wanted)
     if not languages:
         none = documents.select(F.struct(*[f"`{c}`" for c in documents.columns if c != text] or [F.lit(None).alias("none")]).alias("row"))
         return none.selectExpr("row", "CAST(NULL AS string) language", "CAST(NULL AS double) posterior", "CAST(NULL AS string) text_language", "0L n_trigrams", "false kept")
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text])
-    rows = documents.select(row.alias("row"), host_of(F.col(f"`{address}`").cast("string")).alias("host"), F.lower(F.col(f"`{declared}`").cast("string")).alias("declared"), F.col(f"`{text}`").alias("_text"))
-    kinds = f"row {rows.schema['row'].dataType.simpleString()}, host string, declared string, n_trigrams long, logs array<double>"
-    scored = store.stored(rows.mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), kinds), "likelihoods")
+    rows = documents.select(row.alias("row"), host_of(F.col(f"`{address}`").cast("string")).alias("host"), label_of(F.col(f"`{declared}`")).alias("declared"), F.col(f"`{text}`").alias("_text"))
+    kinds = f"row {rows.schema['row'].dataType.simpleString()}, host string, declared string, n_trigrams long, logs array<double>, speaks boolean, vote int"
+    scored = store.stored(rows.mapInArrow(_likelihoods(model), kinds), "likelihoods")
     names = F.array(*[F.lit(x) for x in languages])
     tempered = F.transform("logs", lambda x: x / F.lit(TEMPER))
-    scored = scored.withColumn("suffix", suffix_of(F.col("host"))).withColumn("tempered", tempered).withColumn("text_posterior", _softmax(F.col("tempered")))
-    uniform = float(np.log(1.0 / BUCKETS))
-    speaks = (F.col("n_trigrams") > 0) & (F.array_max("logs") - F.col("n_trigrams") * uniform > -MAX_SHORTFALL)
-    best = F.array_position("text_posterior", F.array_max("text_posterior")).cast("int") - 1
-    scored = scored.withColumn("speaks", speaks).withColumn("vote", F.when(F.col("speaks"), best))
+    scored = scored.withColumn("suffix", suffix_of(F.col("host"))).withColumn("tempered", tempered)
 
     # Shares: soft votes would need floats to add up alike everywhere, whole votes do.
     votes = scored.where("vote IS NOT NULL").groupBy("host", "suffix", "declared", "vote").agg(F.count("*").alias("n"))
@@ -172,20 +216,22 @@ def identify(documents: DataFrame, model: TextModel, wanted: tuple[str, ...] | N
 
     def shares(by: list[str]) -> DataFrame:
         """One row per key with the votes of all languages."""
-        columns = [F.sum(F.when(F.col("vote") == i, F.col("n")).otherwise(0)).alias(f"v{i}") for i in range(k)]
-        return votes.groupBy(*by).agg(*columns).select(*by, F.array(*[F.col(f"v{i}") for i in range(k)]).alias("votes"))
-
-    corpus = shares([]).first()  # one row of languages
-    total = [float(x or 0) for x in corpus.votes]
+        counts = votes.groupBy(*by, "vote").agg(F.sum("n").alias("n")).groupBy(*by)
+        found = counts.agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("found"))  # an entry per language
+        every = F.sequence(F.lit(0), F.lit(k - 1))
+        return found.select(*by, F.transform(every, lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0))).alias("votes"))
+
+    total = [0.0] * k
+    for r in votes.groupBy("vote").agg(F.sum("n").alias("n")).collect():  # a row per language
+        total[r.vote] = float(r.n)
     n_all = sum(total)
     base = F.array(*[F.lit((x + 1.0) / (n_all + k)) for x in total])
     weight = F.lit(HOST_WEIGHT)
 
     def blend(votes: Column, parent: Column) -> Column:
-        n = F.aggregate(votes, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(parent, lambda p, i: (F.get(votes, i) + weight * p) / (n + weight))
+        return _let(_sum(votes), lambda n: F.zip_with(votes, parent, lambda v, p: (v + weight * p) / (n + weight)))
 
-    zero = F.array(*[F.lit(0.0)] * k)
+    zero = F.array_repeat(F.lit(0.0), k)
     hosts = shares(["host"]).where("host IS NOT NULL").withColumnRenamed("votes", "host_votes")
     suffixes = shares(["suffix"]).where("suffix IS NOT NULL").withColumnRenamed("votes", "suffix_votes")
     claims = shares(["declared"]).where("declared IS NOT NULL").withColumnRenamed("votes", "claim_votes")
@@ -196,10 +242,11 @@ def identify(documents: DataFrame, model: TextModel, wanted: tuple[str, ...] | N
     joined = joined.withColumn("prior", blend(F.col("host_votes"), blend(F.col("suffix_votes"), base)))
     # P(declared | language) up to a factor: the share of the language among the claimants over its share in the corpus.
     claim = F.when(F.col("declared").isNull(), zero).otherwise(
-        F.transform(F.col("claim_votes"), lambda v, i: F.log((v + weight * F.get(base, i)) / F.get(base, i)))
+        F.zip_with(F.col("claim_votes"), base, lambda v, b: F.log((v + weight * b) / b))
     )
     joined = joined.withColumn("claim", claim)
-    fused = F.transform("tempered", lambda x, i: F.when(F.col("speaks"), x).otherwise(F.lit(0.0)) + F.log(F.get("prior", i)) + F.get("claim", i))
+    text_part = F.when(F.col("speaks"), F.col("tempered")).otherwise(zero)
+    fused = F.zip_with(F.zip_with(text_part, "prior", lambda x, p: x + F.log(p)), "claim", lambda x, c: x + c)
     joined = joined.withColumn("fused", fused).withColumn("posteriors", _softmax(F.col("fused")))
     top = F.array_max("posteriors")
     language = F.get(names, F.array_position("posteriors", top).cast("int") - 1)

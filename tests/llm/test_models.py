@@ -255,6 +255,22 @@ def test_language_fuses_evidence(spark):
     assert language_id.keep_known(docs.limit(0)).collect() == []
 
 
+def test_more_than_200_labels_and_their_spellings(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SCORES", 1000)
+    rng = np.random.RandomState(9)
+    text = [" ".join("".join(chr(c) for c in rng.randint(97, 123, 5)) for _ in range(40)) for _ in range(205)]
+    rows = [(2 * k + i, f"{text[k]} ", f"l{k:03d}", f"h{k}.example") for k in range(205) for i in range(2)]
+    rows += [(1000 + i, ENGLISH * 3, x, "a.example") for i, x in enumerate(["EN", "en", "en-US", "en_gb ", " En", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.train(docs)
+    assert model.languages == ("en", *[f"l{k:03d}" for k in range(205)])
+    got = {r.row.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert [got[2 * k].language for k in range(205)] == [f"l{k:03d}" for k in range(205)] and all(r.kept for r in got.values())
+    assert {got[1000 + i].language for i in range(7)} == {"en"}
+    only = language_id.train(docs, languages=("en-GB", "l001"))
+    assert only.languages == ("en", "l001")
+
+
 def test_trigrams_stay_in_their_text():
     codes, offsets = language_id.trigram_codes(pa.array(["ab", None, "", "Ab!", "c"]))
     assert offsets.tolist() == [0, 2, 2, 2, 4, 5]
