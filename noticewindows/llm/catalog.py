@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from noticewindows.llm import html_content, kneser_ney, language_id, minhash_join, piece_viterbi, quality_rules, spaced_seeds, token_files, toxicity_chain, warc_revisits
+from noticewindows.llm import (
+    html_content,
+    kneser_ney,
+    language_id,
+    minhash_join,
+    piece_viterbi,
+    quality_rules,
+    spaced_seeds,
+    span_alignment,
+    token_files,
+    toxicity_chain,
+    warc_revisits,
+    window_packing,
+)
 
 QUERIES = {
     "op1_html_content": html_content.op1_html_content,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_toxicity_chain": toxicity_chain.op8_toxicity_chain,
     "op9_piece_viterbi": piece_viterbi.op9_piece_viterbi,
     "op10_warc_revisits": warc_revisits.op10_warc_revisits,
+    "op11_window_packing": window_packing.op11_window_packing,
+    "op13_span_alignment": span_alignment.op13_span_alignment,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,

@@ -6,7 +6,8 @@ positions delta pages.  A reader takes whole columns, or the documents of a rang
 
 Encoding works on chunks: a run of white space and the word after it.  The pre-tokenizer of the byte-level vocabulary
 never joins bytes across the start of such a chunk, so distinct chunks are encoded once per task and put together.
-Texts with white space outside ASCII are encoded whole.
+Texts with white space outside ASCII are encoded whole, and so are texts that spell a special token: the ids are those
+of the library's plain call, which takes such a spelling for the token.  ``special=False`` makes it ordinary text.
 
 Defined results: a null text is an empty one, its only token is the end id.  Rows with equal document ids stay
 neighbours in the order of their texts, a null id comes first.  An empty table gives an empty file set.
@@ -31,7 +32,7 @@ from noticewindows.llm.textblocks import WHITE, slabs, span_hashes, text_bytes
 
 END_ID = 2
 SLAB_BYTES = 4 << 20
-CACHE_CHUNKS = 1_500_000  # chunks a worker remembers; beyond that it starts anew
+CACHE_BYTES = 64 << 20  # of the chunks that a worker remembers; beyond that it starts anew
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
@@ -48,14 +49,18 @@ def default_vocabulary() -> str:
 
 
 class ChunkEncoder:
-    """Encodes text columns with a tokenizer file, distinct chunks once."""
+    """Encodes text columns with a tokenizer file, distinct chunks once.
 
-    def __init__(self, vocabulary: str):
+    With ``special`` the spelling of a special token in a text is that token, as in a plain call of the library."""
+
+    def __init__(self, vocabulary: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their spelling in a text is ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = [t.content.encode() for t in added if t.content and (special or not t.special)]
         self._forget()
 
     def _forget(self) -> None:
@@ -89,7 +94,14 @@ class ChunkEncoder:
         cut[where] = True
         cut[len(data)] = False
         starts = np.flatnonzero(cut)
-        odd = sorted({int(np.searchsorted(where, m.start(), "right")) - 1 for m in ODD_SPACE.finditer(data.tobytes())})
+        raw = data.tobytes()
+        spots = [m.start() for m in ODD_SPACE.finditer(raw)]
+        for spelling in self.whole:
+            at = raw.find(spelling)
+            while at >= 0:
+                spots.append(at)
+                at = raw.find(spelling, at + 1)
+        odd = np.unique(np.searchsorted(where, np.array(spots, np.int64), "right") - 1)
         keep = np.ones(len(starts), dtype=bool)
         for i in odd:  # such a text is one chunk
             a, b = np.searchsorted(starts, (where[i], where[i + 1]))
@@ -104,7 +116,7 @@ class ChunkEncoder:
     def encode_bytes(self, data: np.ndarray, where: np.ndarray, starts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(starts[1:], len(data))[: len(starts)]
         keys, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_CHUNKS:
+        if 24 * len(self.keys) + 4 * len(self.flat) > CACHE_BYTES:
             self._forget()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
@@ -126,19 +138,19 @@ class ChunkEncoder:
         return ids.astype(np.int32), before[chunks].astype(np.int64)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def chunk_encoder(vocabulary: str) -> ChunkEncoder:
+def chunk_encoder(vocabulary: str, special: bool = True) -> ChunkEncoder:
     """One encoder per worker process: later tasks of the worker know the chunks of earlier ones."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = ChunkEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    if (vocabulary, special) not in _ENCODERS:
+        _ENCODERS[vocabulary, special] = ChunkEncoder(vocabulary, special)
+    return _ENCODERS[vocabulary, special]
 
 
-def _encoder(vocabulary: str, end_id: int, text: str):
+def _encoder(vocabulary: str, end_id: int, text: str, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, done = chunk_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, done = chunk_encoder(vocabulary, special), TaskContext.get().partitionId(), 0
         for batch in slabs(batches, text, SLAB_BYTES):
             place = batch.schema.get_field_index(text)
             ids, offsets = encoder.encode(batch.column(place), end_id)
@@ -156,7 +168,7 @@ def _encoder(vocabulary: str, end_id: int, text: str):
     return run
 
 
-def encode(df: DataFrame, order: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), vocabulary: str | None = None, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
+def encode(df: DataFrame, order: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), vocabulary: str | None = None, end_id: int = END_ID, parts: int | None = None, special: bool = True) -> DataFrame:
     """One row per row of ``df`` in ascending ``order``: ``part``, ``part_start`` (ids before it in its part),
     ``n_tokens`` and ``ids``.  ``parts`` ranges of rows become as many files."""
     spark = df.sparkSession
@@ -165,7 +177,7 @@ def encode(df: DataFrame, order: str = "doc_id", text: str = "text", metadata: t
     ranged = kept.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "_text")
     given = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text"]
     schema = ", ".join([*given, "part int, part_start long, n_tokens long, ids array<int>"])
-    return ranged.mapInArrow(_encoder(vocabulary or default_vocabulary(), end_id, "_text"), schema)
+    return ranged.mapInArrow(_encoder(vocabulary or default_vocabulary(), end_id, "_text", special), schema)
 
 
 def write(encoded: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES) -> None:
