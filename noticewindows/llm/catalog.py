@@ -13,6 +13,7 @@ from noticewindows.llm import (
     span_alignment,
     token_files,
     toxicity_chain,
+    turn_repair,
     warc_revisits,
     window_packing,
 )
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_piece_viterbi": piece_viterbi.op9_piece_viterbi,
     "op10_warc_revisits": warc_revisits.op10_warc_revisits,
     "op11_window_packing": window_packing.op11_window_packing,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_span_alignment": span_alignment.op13_span_alignment,
 }
 SQL = {

@@ -34,7 +34,7 @@ from noticewindows.llm.token_files import chunk_encoder, default_vocabulary
 WINDOW = 1024
 END_ID = 0
 SLAB_BYTES = 4 << 20
-BROADCAST_COUNTS = 1_000_000  # rows of (task, length); more than that are joined by a shuffle
+BROADCAST_COUNTS = 200_000  # rows of (task, length), about 160 bytes each; more than that are joined by a shuffle
 
 
 class OpenWindows:

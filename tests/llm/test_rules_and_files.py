@@ -63,7 +63,6 @@ def test_token_files_equal_the_library(spark):
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     rng.shuffle(texts)
     tokenizer = Tokenizer.from_file(token_files.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     path = store.fresh_folder(spark, "tokens")
     token_files.write(token_files.encode(documents(spark, texts).selectExpr("*", "1 AS ids", "2 AS part"), metadata=("lang",), parts=4), path)
     got = {r.doc_id: r for r in token_files.digest(spark, path).collect()}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from noticewindows.llm import span_alignment, token_files, window_packing
+from noticewindows.llm import span_alignment, token_files, turn_repair, window_packing
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -217,3 +218,137 @@ def test_special_tokens_follow_the_plain_call(spark):
     got = token_files.encode(documents(spark, TEXTS)).orderBy("doc_id").collect()
     for r, text in zip(got, TEXTS, strict=True):
         assert r.ids == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
+# -- conversations ---------------------------------------------------------------------------------------------
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def damage_by_hand(rows):
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        out[conv]
+        key = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(key.encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else "".join(c for c in text if c not in ".!?") if kind == 2 else text
+        role = "user" if kind == 4 else role
+        digest = hashlib.sha256(f"{role}\0{text}".encode()).digest()
+        out[conv] += [((turn is not None, turn or 0, role, digest), turn, role, text)] * (2 if kind == 3 else 1)
+    return {c: [r[1:] for r in sorted(rows, key=lambda r: r[0])] for c, rows in out.items()}
+
+
+def cheapest(rows, i, state, known):
+    """(cost, audit) of the least way from row ``i`` in role state ``state`` to the end."""
+    if (i, state) in known:
+        return known[i, state]
+    known[i, state] = (10**9, "")  # a way back to here is no way
+    found = [(0, "")] if i == len(rows) and state in "0a" else []
+    asks = {"0": "u", "s": "u", "u": "a", "a": "u"}[state]
+    moves = [(5, "I", i, asks)]
+    if i < len(rows):
+        fault, initial = rows[i]
+        moves.append((2, "D", i + 1, state))
+        if fault not in ("blank", "duplicate"):
+            extra = 5 if fault == "truncated" else 0
+            moves.append((1 + extra, "R", i + 1, asks))
+            if initial == asks or (initial == "s" and state == "0"):
+                moves.append((extra, "K", i + 1, initial))
+    found += [(c + rest[0], e + rest[1]) for c, e, k, s in moves for rest in [cheapest(rows, k, s, known)]]
+    known[i, state] = min(found)
+    return known[i, state]
+
+
+def repair_by_hand(rows):
+    seen, faults = set(), []
+    for _, role, text in rows:
+        solid = text.rstrip(BLANKS)
+        fault = "blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else ""
+        seen.add((role, text))
+        faults.append(fault)
+    cost, audit = min(cheapest([(f, r[1][:1]) for f, r in zip(faults, rows, strict=True)], i, "0", {}) for i in [0])
+    made, at, state = [], 0, "0"
+    for edit in audit:
+        asks = "a" if state == "u" else "u"
+        if edit in "KRI":
+            role = rows[at][1] if edit == "K" else {"u": "user", "a": "assistant"}[asks]
+            made.append((role, "" if edit == "I" else rows[at][2]))
+            state = role[0]
+        at += edit != "I"
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:], strict=False)]
+    n = Counter(faults)
+    text = "\n".join(f"{r}:{t}" for r, t in made)
+    return (gaps, n["blank"], n["duplicate"], n["truncated"], sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256(text.encode()).hexdigest()), made
+
+
+def random_conversations(seed, n, longest=9):
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(n):
+        for turn in range(rng.randint(1, longest)):
+            role = rng.choice(["system", "user", "assistant", "user", "assistant", "tool", "", None, "agent"])
+            text = rng.choice(["Yes.", "No!", "so", "", " \n", None, "Why?", "a b. ", "tail\x0b", "é.", f"n{turn}."])
+            rows.append((conv, rng.choice([turn, turn, turn, turn + 3, None, -2]), role, text))
+    return rows + rows[: n // 3] + [(None, 1, "user", "Yes."), (None, None, "assistant", "No!"), (None, 5, "user", "x")]
+
+
+def conversation_table(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_repair_equals_brute_force(spark, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(turn_repair, "BLOCK", block)
+    rows = random_conversations(5, 250)
+    table = conversation_table(spark, rows).selectExpr("*", "1 AS pos", "2 AS code", "3 AS digest").repartition(4)
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: tuple(r)[1:] for r in turn_repair.op12_turn_repair(spark, str(tmp_path)).collect()}
+    want = damage_by_hand(rows)
+    assert got.keys() == want.keys()
+    for conv, given in want.items():
+        assert got[conv] == repair_by_hand(given)[0], (conv, given)
+
+
+def test_repaired_turns_are_right_conversations(spark):
+    rows = [r for r in random_conversations(6, 120) if r[0] is not None]
+    rows = [(c, t, r or " ", x or " ") for c, t, r, x in rows]
+    _, turns = turn_repair.repair(conversation_table(spark, rows))
+    got = defaultdict(list)
+    for r in turns.orderBy("conv_id", "place").collect():
+        got[r.conv_id].append((r.role, r.text))
+    sorted_rows = defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2], hashlib.sha256(f"{r[2]}\0{r[3]}".encode()).digest())):
+        sorted_rows[c].append((t, r, x))
+    for conv, given in sorted_rows.items():
+        assert got[conv] == repair_by_hand(given)[1], given
+        assert re.fullmatch("(s?(ua)+)?", "".join(r[0] for r, _ in got[conv]))
+
+
+def test_crossings_of_long_conversations_equal_a_whole_pass():
+    rng = random.Random(8)
+    for n in (1, 2, 3, 17, 400):
+        codes = bytes(rng.choice([0, 1, 1, 2, 2, 3, 5, 9, 10, 6]) for _ in range(n))
+        rows = [("blank" if c & 4 else "truncated" if c & 8 else "", "suax"[c & 3]) for c in codes]
+        known = {}
+        for i in range(n, -1, -1):  # from the end, so that recursion stays flat
+            for state in "0sua":
+                cheapest(rows, i, state, known)
+        states = turn_repair.crossings([*[turn_repair.TABLES[c] for c in codes], turn_repair.CLOSE], 0, 0)
+        audit = "".join(turn_repair.WAYS[c][p, q][1] for c, p, q in zip(codes, states, states[1:], strict=False))
+        assert audit + turn_repair.CLOSING[states[-2], 0][1] == known[0, "0"][1]
+
+
+def test_repair_of_nothing_and_of_one_long_conversation(spark, monkeypatch):
+    conversations, turns = turn_repair.repair(conversation_table(spark, []))
+    assert conversations.collect() == [] and turns.collect() == []
+    monkeypatch.setattr(turn_repair, "BLOCK", 64)
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"n{t}.") for t in range(3000)]
+    conversations, turns = turn_repair.repair(conversation_table(spark, rows).repartition(3))
+    r = conversations.collect()[0]
+    assert (r.cost, r.audit, r.gaps, r.illegal) == (0, "K" * 3000, 0, 0)
+    assert turns.count() == 3000
