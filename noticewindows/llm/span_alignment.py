@@ -10,7 +10,8 @@ The work is done once per distinct chunk of a worker.  A chunk is a run of blank
 no token of either vocabulary could cross (that is read from the vocabularies), so tokens, groups and links of a text
 are those of its chunks in order.
 
-Counts of id pairs cover the whole corpus: each task sums its own, Spark adds them up.  The pair table is broadcast
+Counts of id pairs cover the whole corpus: each task sums its own, Spark adds them up.  Documents are aligned once;
+their links are written to the shared folder and read again when the counts are known.  The pair table is broadcast
 while it has at most ``BROADCAST_PAIRS`` rows; a larger one is joined with the links of the documents.
 
 Defined results: null and empty texts, and texts that the tokens do not spell byte by byte, have no tokens.  Rows stand
@@ -25,6 +26,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -354,61 +356,81 @@ def _spans(files: tuple[str, str], text: str):
     return run
 
 
-def _pair_counts(files: tuple[str, str], text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, pairs, counts = aligner(files), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slabs(batches, text, SLAB_BYTES):
-            chunk, offsets, _, _ = align.chunks(batch.column(batch.schema.get_field_index(text)))
-            good = np.repeat(align.spelled(chunk, offsets), np.diff(offsets))
-            seen, times = np.unique(chunk[good], return_counts=True)
-            n = align.n["links"][seen]
-            links = align.flat["links"][ragged(align.place["links"][seen], n)]
-            found, inverse = np.unique(np.concatenate([pairs, links]), return_inverse=True)
-            weight = np.concatenate([counts, np.repeat(times, n)])
-            pairs, counts = found, np.bincount(inverse, weights=weight, minlength=len(found)).astype(np.int64)
-        a, b = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
-        for k in range(0, len(pairs), 1 << 16):
-            part = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(a[part]), pa.array(b[part]), pa.array(counts[part])], names=["a_id", "b_id", "n"])
+class _Counts:
+    """Links of id pairs, summed over what a task has seen."""
 
-    return run
+    def __init__(self):
+        self.pairs, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, align: Aligner, chunk: np.ndarray) -> None:
+        seen, times = np.unique(chunk, return_counts=True)
+        n = align.n["links"][seen]
+        links = align.flat["links"][ragged(align.place["links"][seen], n)]
+        found, inverse = np.unique(np.concatenate([self.pairs, links]), return_inverse=True)
+        weight = np.concatenate([self.counts, np.repeat(times, n)])
+        self.pairs, self.counts = found, np.bincount(inverse, weights=weight, minlength=len(found)).astype(np.int64)
 
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(self.pairs), 1 << 16):
+            yield self.pairs[k : k + (1 << 16)], self.counts[k : k + (1 << 16)]
 
-def _summaries(files: tuple[str, str], text: str, table):
-    """Figures of every row; ``table`` holds the corpus counts, without it the links are listed instead."""
+
+def _listed(files: tuple[str, str], text: str, rows: bool):
+    """Figures and links of every row, then rows of their own with the task's counts of id pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(files)
+        align, sums, kept = aligner(files), _Counts(), []
         for batch in slabs(batches, text, SLAB_BYTES):
             place = batch.schema.get_field_index(text)
             chunk, offsets, _, _ = align.chunks(batch.column(place))
             good = align.spelled(chunk, offsets)
-            figure = {f"n_{k}": _sums(align.n[k][chunk], offsets) * good for k in ("a", "b", "groups", "links")}
-            digits, size = align.flat["text"], align.n["text"]
-            hashes = []
-            for i in range(len(good)):
-                if not good[i]:
-                    hashes.append("")
-                    continue
-                own = chunk[offsets[i] : offsets[i + 1]]
-                shown = digits[ragged(align.place["text"][own], size[own])]
-                hashes.append(hashlib.sha256(shown[:-1].data).hexdigest())
-            made = [(k, pa.array(v)) for k, v in figure.items()] + [("groups_sha256", pa.array(hashes, pa.string()))]
-            if table is not None:
-                pairs, counts, best = table.value
-                seen, number = np.unique(chunk, return_inverse=True)
-                n = align.n["links"][seen]
-                at = np.searchsorted(pairs, align.flat["links"][ragged(align.place["links"][seen], n)])
-                at = np.minimum(at, max(0, len(pairs) - 1))  # links of texts that are not spelled may be unknown
-                ends = np.append(0, np.cumsum(n))
-                of_chunk = lambda values: _sums(values[at] if len(pairs) else np.zeros(len(at), np.int64), ends)  # noqa: B023, E731
-                for name, values in (("n_best", best), ("count_sum", counts)):
-                    made.append((name, pa.array(_sums(of_chunk(values)[number], offsets) * good)))
-            else:
-                n = align.n["links"][chunk] * np.repeat(good, np.diff(offsets))
-                made.append(("links", pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(figure["n_links"])).astype(np.int32)), pa.array(align.flat["links"][ragged(align.place["links"][chunk], n)]))))
-            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if i != place]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept + made], names=[n for n, _ in kept + made])
+            kept = [(f.name, f.type, batch.column(i)) for i, f in enumerate(batch.schema) if i != place]
+            sums.add(align, chunk[np.repeat(good, np.diff(offsets))])
+            if rows:
+                yield _figures(align, chunk, offsets, good, kept)
+        for pairs, counts in sums.blocks():
+            none = [(name, pa.nulls(1, kind)) for name, kind, _ in kept]
+            zero = [(f"n_{k}", pa.array([0], pa.int64())) for k in ("a", "b", "groups", "links")]
+            made = [*none, *zero, ("groups_sha256", pa.array([""], pa.string()))]
+            made += [("links", pa.array([pairs], pa.list_(pa.int64()))), ("counts", pa.array([counts], pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([c for _, c in made], names=[n for n, _ in made])
+
+    return run
+
+
+def _figures(align: Aligner, chunk: np.ndarray, offsets: np.ndarray, good: np.ndarray, kept: list) -> pa.RecordBatch:
+    figure = {f"n_{k}": _sums(align.n[k][chunk], offsets) * good for k in ("a", "b", "groups", "links")}
+    digits, size = align.flat["text"], align.n["text"]
+    hashes = []
+    for i in range(len(good)):
+        if not good[i]:
+            hashes.append("")
+            continue
+        own = chunk[offsets[i] : offsets[i + 1]]
+        shown = digits[ragged(align.place["text"][own], size[own])]
+        hashes.append(hashlib.sha256(shown[:-1].data).hexdigest())
+    n = align.n["links"][chunk] * np.repeat(good, np.diff(offsets))
+    links = align.flat["links"][ragged(align.place["links"][chunk], n)]
+    made = [*[(name, column) for name, _, column in kept], *[(k, pa.array(v)) for k, v in figure.items()], ("groups_sha256", pa.array(hashes, pa.string()))]
+    made.append(("links", pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(figure["n_links"])).astype(np.int32)), pa.array(links))))
+    made.append(("counts", pa.nulls(len(good), pa.list_(pa.int64()))))
+    return pa.RecordBatch.from_arrays([c for _, c in made], names=[n for n, _ in made])
+
+
+def _looked_up(table):
+    """Sums over the links of each row from the broadcast counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counts, best = table.value
+        index = pd.Index(pairs)
+        for batch in batches:
+            column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            links = column.pop("links")
+            ends = links.offsets.to_numpy().astype(np.int64)
+            at = index.get_indexer(links.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]])
+            for name, values in (("n_best", best), ("count_sum", counts)):
+                column[name] = pa.array(_sums(values[at].astype(np.int64), ends - ends[0]))
+            yield pa.RecordBatch.from_arrays(list(column.values()), names=list(column))
 
     return run
 
@@ -425,34 +447,46 @@ def align(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     return kept.mapInArrow(_spans(files or default_files(), "_aligned text"), given + lists)
 
 
+FIGURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+
+
+def _list(df: DataFrame, text: str, keep: tuple[str, ...], files: tuple[str, str], rows: bool) -> DataFrame:
+    kept, given = _input(df, text, keep)
+    found = kept.mapInArrow(_listed(files, "_aligned text", rows), given + FIGURES + ", links array<bigint>, counts array<bigint>")
+    return store.stored(found.withColumn("_row", F.monotonically_increasing_id()), "links")
+
+
+def _pairs(listed: DataFrame) -> DataFrame:
+    each = listed.filter("counts IS NOT NULL").select(F.explode(F.arrays_zip("links", "counts")).alias("x")).select(F.col("x.links").alias("pair"), F.col("x.counts").alias("n"))
+    pairs = store.stored(each.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    b_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    pairs = pairs.select(F.shiftright("pair", 32).cast("int").alias("a_id"), b_id.alias("b_id"), "n", "pair")
+    most = pairs.groupBy("b_id").agg(F.max("n").alias("most"))
+    return pairs.join(most, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).alias("best"), "pair")
+
+
 def pair_counts(df: DataFrame, text: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
     """``a_id, b_id, n, best``: links of each id pair in the whole corpus; ``best``: the most that the B id has."""
-    kept, _ = _input(df, text, ())
-    found = kept.mapInArrow(_pair_counts(files or default_files(), "_aligned text"), "a_id int, b_id int, n long")
-    pairs = store.stored(found.groupBy("a_id", "b_id").agg(F.sum("n").alias("n")), "pairs")
-    most = pairs.groupBy("b_id").agg(F.max("n").alias("most"))
-    return pairs.join(most, "b_id").select("a_id", "b_id", "n", (F.col("n") == F.col("most")).alias("best"))
+    return _pairs(_list(df, text, (), files or default_files(), rows=False)).drop("pair")
 
 
 def summarise(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), files: tuple[str, str] | None = None, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """Kept columns, ``n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every row."""
-    spark, files = df.sparkSession, files or default_files()
-    kept, given = _input(df, text, keep)
-    pairs = store.stored(pair_counts(df, text, files), "pair-counts")
-    figures = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    key = F.shiftleft(F.col("a_id").cast("long"), 32).bitwiseOR(F.col("b_id").cast("long")).alias("pair")
+    """Kept columns, ``n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum`` of every row.
+
+    Texts are aligned once; their links wait in the shared folder until the corpus counts are known."""
+    spark = df.sparkSession
+    listed = _list(df, text, keep, files or default_files(), rows=True)
+    pairs = store.stored(_pairs(listed).select("pair", "n", "best"), "pair-counts")
+    rows = listed.filter("counts IS NULL").drop("counts")
     if pairs.count() <= broadcast_pairs:
-        rows = pairs.select(key, "n", "best").toArrow().combine_chunks()
-        found, n, best = (rows.column(i).to_numpy() for i in range(3))
-        order = np.argsort(found)
-        table = spark.sparkContext.broadcast((found[order], n[order], best[order].astype(np.int8)))
-        return kept.mapInArrow(_summaries(files, "_aligned text", table), given + figures + "n_best long, count_sum long")
-    listed = kept.mapInArrow(_summaries(files, "_aligned text", None), given + figures + "links array<bigint>")
-    listed = store.stored(listed.withColumn("_row", F.monotonically_increasing_id()), "links")
-    links = listed.select("_row", F.explode("links").alias("pair")).groupBy("_row", "pair").agg(F.count("*").alias("times"))
-    sums = links.join(pairs.select(key, "n", "best"), "pair").groupBy("_row")
+        found, n, best = (pairs.toArrow().combine_chunks().column(i).to_numpy() for i in range(3))
+        table = spark.sparkContext.broadcast((found, n, best.astype(np.int8)))
+        schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("links", "_row")]
+        return rows.drop("_row").mapInArrow(_looked_up(table), ", ".join([*schema, "n_best long, count_sum long"]))
+    links = rows.select("_row", F.explode("links").alias("pair")).groupBy("_row", "pair").agg(F.count("*").alias("times"))
+    sums = links.join(pairs, "pair").groupBy("_row")
     sums = sums.agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    out = listed.drop("links").join(sums, "_row", "left").drop("_row")
+    out = rows.drop("links").join(sums, "_row", "left").drop("_row")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")})
 
 
