@@ -27,7 +27,7 @@ from noticewindows.plans import adapters as a
 from noticewindows.plans import sync
 from noticewindows.session import cut_lineage, run_folder
 from noticewindows.sources import crawl, pages, profiles, state
-from noticewindows.streaming import streams
+from noticewindows.streaming import streams, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1269,6 +1269,75 @@ def t2_reconcile_stream(spark: SparkSession, d: str) -> DataFrame:
     return tracked.select(*POST, "arrival_seq", "event_key", "entry_id", "event_type", "summary", "start_iso")
 
 
+def _between(rows: DataFrame, bounds: list[str | None]) -> list[DataFrame]:
+    """All rows in steps: those before each bound (ISO) and after the one before it."""
+    at = F.col("at")
+    cuts = [None, *[timecols.iso_instant(F.lit(b)) for b in bounds], None]
+    out = []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        step = rows if low is None else rows.filter(at >= low)
+        out.append(step if high is None else step.filter(at < high))
+    return out
+
+
+def _with_clock(rows: DataFrame, tick: str) -> DataFrame:
+    """``rows`` and a clock row."""
+    clock = rows.sparkSession.range(1).select(*[
+        (timecols.iso_instant(F.lit(tick)) if f.name == "at" else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema
+    ])
+    return rows.unionByName(clock)
+
+
+HELD_SINCE = "2024-01-01T00:00:00"
+CLOCKS = (HELD_SINCE, "2024-01-08T06:00:00", a.NOW)
+
+
+@query
+def t3_deferred_release_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are too far ahead at the first clock, released by the clocks after it."""
+    streams.use_rocksdb(spark)
+    no_text = a.notices(spark, d).withColumn("text", F.lit(""))
+    first = timecols.iso_instant(F.lit(HELD_SINCE))
+    judged = validate.judge_events(a.held_rows(spark, d), no_text, a.firms(spark, d), RULES, first, a.CALENDAR_ZONE)
+    held = judged.filter("retryable").select(*POST, "event_ord", "start_at", "end_at", first.alias("at"))
+    later = [_with_clock(held.limit(0), tick) for tick in CLOCKS[1:]]
+    out = streams.run_in_steps(
+        [_with_clock(held, HELD_SINCE), *later], lambda rows: timers.deferred_release(rows, RULES.max_days_ahead), run_folder(spark, "t3")
+    )
+    return out.select(*POST, "event_ord", "outcome", timecols.utc_text(F.col("clock")).alias("clock"))
+
+
+@query
+def t4_state_expiry(spark: SparkSession, d: str) -> DataFrame:
+    """Every window of the log is a sighting of its post; what is left at a late clock is what pruning would keep."""
+    streams.use_rocksdb(spark)
+    w = a.windows(spark, d)
+    held = F.when((F.col("event_type") == "crypto_closure") & F.col("affected").isNull(), 1).otherwise(0)
+    sightings = w.select(*POST, "at", "end_at", held.cast("long").alias("held"))
+    steps = _between(sightings, ["2024-01-11T00:00:00", "2024-01-21T00:00:00"])
+    steps[-1] = _with_clock(steps[-1], a.LATER)
+    gone = streams.run_in_steps(steps, timers.state_expiry, run_folder(spark, "t4"))
+    gone = gone.groupBy(*POST).agg(F.max("last_seen").alias("gone_seen"))
+    posts = a.post_state(spark, d).join(gone, POST, "left")
+    kept = posts.filter(F.col("gone_seen").isNull() | (F.col("last_seen") > timecols.shift(F.col("gone_seen"), F.lit(1))))
+    return kept.select(*POST, "arrival_seq")
+
+
+@query
+def t5_stale_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that are silent at the last clock: users, and nations, which never had a run."""
+    streams.use_rocksdb(spark)
+    log = a.run_log(spark, d).select("firm", F.col("ts").alias("at"), "error")
+    nations = a.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("firm"))
+    started = timecols.iso_instant(F.lit("2024-01-01T00:00:00")).alias("started_at")
+    sources = a.firms(spark, d).select("firm").unionByName(nations).select("firm", started)
+    steps = _between(log, ["2024-01-11T00:00:00", "2024-01-21T00:00:00"])
+    steps[-1] = _with_clock(steps[-1], "2024-01-31T06:00:00")
+    told = streams.run_in_steps(steps, lambda rows: timers.stale_sources(rows, sources, 10 * 3600), run_folder(spark, "t5"))
+    last = told.groupBy("firm").agg(F.max_by(F.struct("stale", "last_success"), "at").alias("last"))
+    return last.filter("last.stale").select("firm", timecols.utc_text(F.col("last.last_success")).alias("last_success"))
+
+
 @query
 def t6_usage_stats_stream(spark: SparkSession, d: str) -> DataFrame:
     """Every day of the log, those included that the watermark has not closed."""

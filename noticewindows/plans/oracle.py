@@ -665,6 +665,16 @@ SQL_BODY: dict[str, str] = {
 }
 
 SQL_BODY["t2_reconcile_stream"] = SQL_BODY["r7_apply_plan"]
+SQL_BODY["t3_deferred_release_stream"] = f"""WITH h AS (SELECT *, start_at - INTERVAL 10 DAY AS release FROM judged0
+      WHERE event_type = 'crypto_closure' AND s0 IS NOT NULL AND e0 > s0 AND e0 - s0 <= INTERVAL 48 HOUR
+        AND NOT (require_stated_offset AND stated_min IS NULL AND own_min IS NULL)
+        AND start_at > TIMESTAMP '2024-01-11 00:00:00'),
+    c AS (SELECT *, CASE WHEN release <= TIMESTAMP '2024-01-08 06:00:00' THEN TIMESTAMP '2024-01-08 06:00:00' ELSE {NOW} END AS clock
+      FROM h WHERE release <= {NOW})
+    SELECT firm, post_key, event_ord, CASE WHEN end_at <= clock THEN 'rejected' ELSE 'publish' END AS outcome, {iso('clock')} AS clock FROM c"""
+SQL_BODY["t4_state_expiry"] = SQL_BODY["r6_prune"]
+SQL_BODY["t5_stale_sources"] = f"""SELECT firm, {iso('last_success')} AS last_success FROM hstat WHERE stale
+    UNION ALL SELECT 'n' || n_nationkey, NULL FROM nation"""
 SQL_BODY["t6_usage_stats_stream"] = SQL_BODY["g8_usage_stats"]
 SQL_BODY["t7_notify_once_stream"] = SQL_BODY["w5_notify_once"]
 

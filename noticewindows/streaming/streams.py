@@ -1,4 +1,4 @@
-"""The same operators over streams: change detection, reconcile, release, usage, notifications.
+"""The same operators over streams: change detection, reconcile, usage, notifications (timers: ``timers``).
 
 State is keyed, watermarked or written as versioned tables, so a query continues where it stopped.
 The processors need the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
@@ -6,8 +6,7 @@ The processors need the RocksDB state store (``spark.sql.streaming.stateStore.pr
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from datetime import UTC, datetime
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from noticewindows import fixed_values as fv
 from noticewindows.functions import textcols
 from noticewindows.operators import usage
 from noticewindows.sources import state
@@ -96,106 +94,6 @@ def notify_once_stream(run_log: DataFrame) -> DataFrame:
     )
 
 
-class _Release(StatefulProcessor):
-    """Holds windows that are too far ahead and lets each go when its time has come."""
-
-    def __init__(self, days: int) -> None:
-        self._days = days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._held = handle.getMapState("held", "event_key string", "release_ms long, payload string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now_ms = timerValues.getCurrentProcessingTimeInMs()
-        for frame in rows:
-            due = frame["start_at"].astype("datetime64[us]").astype("int64") // 1000
-            due = due - self._days * 86_400_000
-            ready = frame[(due <= now_ms).to_numpy()]
-            if len(ready):
-                yield ready[["firm", "post_key", "event_key", "payload"]]
-            for release, r in zip(due, frame.itertuples(index=False), strict=True):
-                if release > now_ms:
-                    self._held.updateValue((r.event_key,), (int(release), r.payload))
-                    self._handle.registerTimer(int(release))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_ms = expiredTimerInfo.getExpiryTimeInMs()
-        due = [(k[0], v[1]) for k, v in self._held.iterator() if v[0] <= now_ms]
-        for event_key, _ in due:
-            self._held.removeKey((event_key,))
-        if due:
-            yield pd.DataFrame(
-                [(key[0], key[1], k, payload) for k, payload in due],
-                columns=["firm", "post_key", "event_key", "payload"],
-            )
-
-
-def deferred_release_stream(held: DataFrame, max_days_ahead: int = fv.MAX_DAYS_AHEAD) -> DataFrame:
-    """Windows as they come within range, by the clock alone.
-
-    ``held``: firm, post_key, event_key, start_at, payload.
-    """
-    return held.groupBy("firm", "post_key").transformWithStateInPandas(
-        _Release(max_days_ahead),
-        "firm string, post_key string, event_key string, payload string",
-        "Append",
-        "ProcessingTime",
-    )
-
-
-class _Stale(StatefulProcessor):
-    """Pushes one row when a source has had no success for too long."""
-
-    def __init__(self, limit_ms: int, started_ms: int | None) -> None:
-        self._limit, self._started = limit_ms, started_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        # the last success (negative: none yet) and the instant from which silence is counted
-        self._last = handle.getValueState("last", "success_ms long, since_ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self._last.exists()
-        success, since = self._last.get() if known else (-1, None)
-        newest = success if success >= 0 else None
-        for frame in rows:
-            good = frame[frame["error"].isna()]
-            if len(good):
-                top = int(good["ts"].astype("datetime64[us]").astype("int64").max()) // 1000
-                newest = top if newest is None else max(newest, top)
-        now_ms = timerValues.getCurrentProcessingTimeInMs()
-        if not known or (newest is not None and newest != success):
-            # one timer per source: it moves with every success, a source without one counts from its first run
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
-            since = newest if newest is not None else self._started if self._started is not None else now_ms
-            self._last.update((newest if newest is not None else -1, since))
-            self._handle.registerTimer(max(since + self._limit + 1, now_ms + 1))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest, since = self._last.get()
-        if expiredTimerInfo.getExpiryTimeInMs() > since + self._limit:
-            last = pd.Timestamp(newest, unit="ms") if newest >= 0 else pd.NaT
-            yield pd.DataFrame({"firm": [key[0]], "last_success": pd.Series([last], dtype="datetime64[ns]")})
-
-
-def stale_detector(
-    run_log: DataFrame, interval_seconds: float, started_at: datetime | None = None
-) -> DataFrame:
-    """A row per source whenever its last success is more than two intervals old.
-
-    A source that never succeeded is silent since ``started_at``, or since its first run where that is not given.
-    """
-    started = None if started_at is None else int(started_at.replace(tzinfo=started_at.tzinfo or UTC).timestamp() * 1000)
-    limit = int(interval_seconds * fv.STALE_INTERVALS * 1000)
-    rows = run_log.select("firm", "ts", "error")
-    return rows.groupBy("firm").transformWithStateInPandas(
-        _Stale(limit, started), "firm string, last_success timestamp", "Append", "ProcessingTime"
-    )
-
-
 def usage_stats_stream(
     access_log: DataFrame, monitor: Column, cap: int | None = None, delay: str = "1 day"
 ) -> DataFrame:
@@ -280,22 +178,6 @@ def reconcile_stream(
     )
 
 
-def run_for(stream: DataFrame, folder: str, seconds: int) -> DataFrame:
-    """Run a stream that waits for the clock for a while, then stop it and read its output folder."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(processingTime="1 second")
-        .start()
-    )
-    try:
-        query.awaitTermination(seconds)
-    finally:
-        query.stop()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a bounded stream to its end into a Parquet folder, and read that folder."""
     spark = stream.sparkSession
@@ -309,3 +191,15 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_in_steps(steps: Sequence[DataFrame], shape: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Run a stream to its end after each of ``steps`` has arrived, always from the same checkpoint.
+
+    What one step brings, in however many files, is one micro-batch; its output follows the clock that it brings."""
+    spark = steps[0].sparkSession
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = shape(spark.readStream.schema(steps[0].schema).parquet(f"{folder}/in"))
+        out = run_to_table(stream, folder)
+    return out

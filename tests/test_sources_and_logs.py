@@ -11,7 +11,7 @@ from noticewindows.functions import timecols
 from noticewindows.operators import feed, health, usage, windows
 from noticewindows.plans import adapters
 from noticewindows.sources import crawl, pages, profiles
-from noticewindows.streaming import streams
+from noticewindows.streaming import streams, timers
 
 LONG = "word " * 60
 DETAIL = f"""<html><body><main><nav>menu</nav><div class="content tu"><h1>Update  28 May 2026</h1><p>{LONG}<b>bold
@@ -258,21 +258,66 @@ def test_overlap_equals_brute_force(spark):
     assert got == want
 
 
-def test_clock_streams_within_bounded_time(spark, tmp_path):
+def steps_of(spark, ddl, steps):
+    return [spark.createDataFrame(rows, ddl) for rows in steps]
+
+
+def test_release_follows_the_clock(spark, tmp_path):
     streams.use_rocksdb(spark)
-    src = tmp_path / "held"
-    soon = datetime.now() + timedelta(days=120, seconds=6)
-    rows = [("f", "p", "due", datetime(2024, 1, 1), "a"), ("f", "p", "soon", soon, "b"), ("f", "p", "far", datetime(2099, 1, 1), "c")]
-    ddl = "firm string, post_key string, event_key string, start_at timestamp, payload string"
-    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(src))
-    out = streams.run_for(streams.deferred_release_stream(spark.readStream.schema(ddl).parquet(str(src))), str(tmp_path / "t3"), 40)
-    assert sorted(r.event_key for r in out.collect()) == ["due", "soon"]
-    log = tmp_path / "log"
-    ddl = "firm string, ts timestamp, error string"
-    rows = [("quiet", datetime(2024, 1, 1), None), ("fresh", datetime.now() + timedelta(days=1), None), ("never", datetime(2024, 1, 2), "down")]
-    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(log))
-    out = streams.run_for(streams.stale_detector(spark.readStream.schema(ddl).parquet(str(log)), 3600, datetime(2024, 1, 1)), str(tmp_path / "t5"), 25)
-    assert sorted((r.firm, r.last_success) for r in out.collect()) == [("never", None), ("quiet", datetime(2024, 1, 1))]
+    day = lambda n, h=0: datetime(2024, 1, 1) + timedelta(days=n, hours=h)
+    tick = lambda at: (None, None, None, None, None, at)
+    held = [
+        ("f", "p", 1, day(11), day(12), day(0)),  # in range from day 1
+        ("f", "p", 2, day(11), day(11, 1), day(0)),  # same instant, has ended by the only later clock
+        ("f", "p", 3, day(40), day(41), day(0)),
+        ("g", "q", 4, day(9), day(10), day(0)),  # within range when it arrives
+        ("g", "q", 5, day(15), day(16), day(0)),  # in range at the clock itself
+    ]
+    ddl = "firm string, post_key string, event_ord long, start_at timestamp, end_at timestamp, at timestamp"
+    run = lambda rows: timers.deferred_release(rows, 10)
+    for clocks in ([day(5), day(11, 12)], [day(11, 12)]):
+        steps = steps_of(spark, ddl, [[*held, tick(day(0))], *[[tick(c)] for c in clocks]])
+        out = streams.run_in_steps(steps, run, str(tmp_path / f"t3-{len(clocks)}"))
+        got = {r.event_ord: (r.outcome, r.clock) for r in out.collect()}
+        want = {}
+        for _, _, n, start, end, _ in held:
+            due = [c for c in [day(0), *clocks] if c >= start - timedelta(days=10)]
+            if due:
+                want[n] = ("rejected" if end <= due[0] else "publish", due[0])
+        assert got == want and 3 not in got
+
+
+def test_state_expires_unless_something_keeps_it(spark, tmp_path):
+    streams.use_rocksdb(spark)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    tick = lambda at: (None, None, at, None, None)
+    steps = [
+        [("f", "gone", day(0), day(1), 0), ("f", "window", day(0), day(60), 0), ("f", "held", day(0), day(1), 1), ("f", "freed", day(0), None, 1), ("f", "again", day(0), None, 0), tick(day(1))],
+        [("f", "seen", day(20), day(1), 0), ("f", "freed", day(30), None, -1), tick(day(46))],
+        [("f", "again", day(50), None, 0), tick(day(60))],
+        [tick(day(61))],
+        [tick(day(80))],
+    ]
+    ddl = "firm string, post_key string, at timestamp, end_at timestamp, held long"
+    out = streams.run_in_steps(steps_of(spark, ddl, steps), timers.state_expiry, str(tmp_path / "t4"))
+    # seen on day 20: gone after day 65; freed on day 30: after day 75; the window ends on day 60: still there on it
+    got = sorted((r.post_key, r.last_seen, r.expired_at - timedelta(milliseconds=1)) for r in out.collect())
+    assert got == [("again", day(0), day(45)), ("freed", day(30), day(75)), ("gone", day(0), day(45)), ("seen", day(20), day(65)), ("window", day(0), day(60))]
+
+
+def test_silent_sources_are_told_once_and_when_they_are_back(spark, tmp_path):
+    streams.use_rocksdb(spark)
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    catalog = spark.createDataFrame([(f, at(0)) for f in ("never", "back", "fresh", "down")], "firm string, started_at timestamp")
+    steps = [
+        [("back", at(1), None), ("fresh", at(1), None), ("down", at(1), "x"), ("unlisted", at(1), "x"), (None, at(3), None)],
+        [("fresh", at(3.5), None), ("down", at(3.5), "x"), (None, at(4), None)],
+        [("back", at(5), None), ("fresh", at(5), None), (None, at(6), None)],
+    ]
+    ddl = "firm string, at timestamp, error string"
+    out = streams.run_in_steps(steps_of(spark, ddl, steps), lambda rows: timers.stale_sources(rows, catalog, 3600), str(tmp_path / "t5"))
+    got = sorted((r.firm, r.stale, r.last_success) for r in out.collect())
+    assert got == [("back", False, at(5)), ("back", True, at(1)), ("down", True, None), ("never", True, None), ("unlisted", True, None)]
 
 
 def test_entry_and_registered_names(spark):
