@@ -112,42 +112,38 @@ def _guard_text() -> Column:
     )
 
 
-def _days(start: Column, end: Column) -> Column:
-    return F.explode(
-        F.sequence(F.to_date(F.least(start, end)), F.to_date(F.greatest(start, end)))
-    )
-
-
 def overlap_anti(new: DataFrame, tracked: DataFrame) -> DataFrame:
     """New windows that overlap nothing of their own post: not the same key, and no closed overlap
     with a tracked window of the same (or no) type.
 
-    Both sides are cut into days, so that the join has a full equality key (post and day) and a post
-    with very many windows is spread over its days.
+    Both sides meet in aligned cells of time (:mod:`cells`), so the join has a full equality key (post and cell), a
+    window of any length is a few rows, and a post with very many windows is spread over its cells.  Only tracked
+    windows of the posts in ``new`` are read further.
     """
-    left = new.select(*POST, "event_key", "event_type", "start_at", "end_at")
-    right = with_instants(tracked).select(
-        F.col("firm").alias("t_firm"),
-        F.col("post_key").alias("t_post"),
-        F.col("event_key").alias("t_key"),
-        F.col("event_type").alias("t_type"),
-        F.col("start_at").alias("t_start"),
-        F.col("end_at").alias("t_end"),
-    )
-    own = (F.col("firm").eqNullSafe(F.col("t_firm"))) & (F.col("post_key") == F.col("t_post"))
-    same = left.select(*POST, "event_key").join(
-        right.select("t_firm", "t_post", "t_key"), own & (F.col("event_key") == F.col("t_key")), "left_semi"
-    )
-    by_day = left.withColumn("day", _days(F.col("start_at"), F.col("end_at")))
-    t_day = right.filter("t_start is not null and t_end is not null").withColumn(
-        "t_day", _days(F.col("t_start"), F.col("t_end"))
+    left = cut_lineage(new.select(*POST, "event_key", "event_type", "start_at", "end_at"), "overlap-new")
+    here = left.select(*POST).distinct()
+    old = tracked.select(*POST, "event_key", "event_type", "start_iso", "end_iso").alias("o").join(
+        here.alias("h"), F.col("o.firm").eqNullSafe(F.col("h.firm")) & (F.col("o.post_key") == F.col("h.post_key")), "left_semi"
+    )
+    right = cut_lineage(
+        with_instants(old).select(
+            *POST,
+            F.col("event_key").alias("t_key"),
+            F.col("event_type").alias("t_type"),
+            F.col("start_at").alias("t_start"),
+            F.col("end_at").alias("t_end"),
+        ),
+        "overlap-old",
     )
+    t_key = right.select(F.col("firm").alias("t_firm"), F.col("post_key").alias("t_post"), "t_key")
+    own = F.col("firm").eqNullSafe(F.col("t_firm")) & (F.col("post_key") == F.col("t_post"))
+    hit = left.select(*POST, "event_key").join(t_key, own & (F.col("event_key") == F.col("t_key")), "left_semi")
     kind = (F.coalesce("t_type", F.lit("")) == "") | (F.col("t_type") == F.col("event_type"))
     touch = (F.col("start_at") <= F.col("t_end")) & (F.col("t_start") <= F.col("end_at"))
-    on = own & (F.col("day") == F.col("t_day")) & kind & touch
-    overlapping = by_day.join(t_day, on, "left_semi").select(*POST, "event_key")
-    hit = same.unionByName(overlapping).distinct()
-    return new.join(hit, [*POST, "event_key"], "left_anti")
+    timed = right.filter("t_start is not null and t_end is not null")
+    for part in cells.overlaps(left, timed, POST, ("start_at", "end_at"), ("t_start", "t_end"), kind & touch, "left_semi"):
+        hit = hit.unionByName(part.select(*POST, "event_key"))
+    return new.join(hit.distinct(), [*POST, "event_key"], "left_anti")
 
 
 def shared_window(new: DataFrame, tracked: DataFrame) -> DataFrame:

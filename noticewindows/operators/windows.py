@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
-from noticewindows.functions import timecols
+from noticewindows.functions import cells, timecols
 from noticewindows.operators.reconcile import WINDOW, with_instants
+from noticewindows.session import cut_lineage
 
 _ORDER = ("arrival_seq", "pos")
 
@@ -94,26 +95,24 @@ def window_overlap(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Windows for each of many requests: ``end > from and (to is null or start < to)``.
 
     ``requests``: req_id, firms, types (NULL arrays are no filter), from_at, to_at (may be NULL).
-    Both sides are cut into days; a pair meets on the later of its two first days only, so nothing is
-    found twice.  Requests that name firms join on firm and day, the others on the day alone.
+    Windows and requests meet in aligned cells of time (:mod:`cells`): a range of any length, or without an end, is a
+    few rows, and a pair is found once.  Requests that name firms join on firm and cell, the others on the cell.
     """
-    horizon = rows.agg(F.max("end_at")).scalar()
-    asked = requests.withColumn("_until", F.coalesce("to_at", F.greatest(horizon, F.col("from_at"))))
-    asked = asked.withColumn(
-        "day", F.explode(F.sequence(F.to_date("from_at"), F.to_date(F.greatest("from_at", "_until"))))
-    ).drop("_until")
-    dated = rows.withColumn("day", F.explode(F.sequence(F.to_date("start_at"), F.to_date("end_at"))))
+    rows = cut_lineage(rows, "visible")  # read for both cases of both kinds of requests
+    asked = requests.select("req_id", "firms", F.col("types").alias("_types"), "from_at", "to_at")
     hit = (
         (F.col("end_at") > F.col("from_at"))
         & (F.col("to_at").isNull() | (F.col("start_at") < F.col("to_at")))
-        & (F.col("day") == F.to_date(F.greatest("start_at", "from_at")))
-        & (F.col("types").isNull() | F.array_contains("types", F.col("event_type")))
+        & (F.col("_types").isNull() | F.array_contains("_types", F.col("event_type")))
     )
-    named = asked.filter("firms is not null").withColumn("firm", F.explode(F.array_distinct("firms")))
-    of_firm = dated.join(named, ["firm", "day"]).filter(hit)
-    of_all = dated.join(asked.filter("firms is null"), "day").filter(hit)
-    columns = ["req_id", *rows.columns]
-    return of_firm.select(*columns).unionByName(of_all.select(*columns))
+    named = asked.filter("firms is not null").withColumn("firm", F.explode(F.array_distinct("firms"))).drop("firms")
+    of_all = asked.filter("firms is null").drop("firms")
+    found = None
+    for side, keys in ((named, ["firm"]), (of_all, [])):
+        for pairs in cells.overlaps(rows, side, keys, ("start_at", "end_at"), ("from_at", "to_at"), hit):
+            pairs = pairs.select("req_id", *rows.columns)
+            found = pairs if found is None else found.unionByName(pairs)
+    return found
 
 
 def parse_requests(requests: DataFrame, firms: DataFrame, types: Sequence[str], now: Column) -> DataFrame:

@@ -128,22 +128,24 @@ def j6_window_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
-    """Every sign-up asks what overlaps its next hours for its own firm; some leave the end open."""
+    """Every sign-up asks what overlaps its next hours for its own firm; some leave the end open, some begin with the
+    calendar, some end with it."""
     ev = a.events(spark, d).filter("event_type = 'signup'")
     to_at = timecols.shift(F.col("at"), (F.floor(F.col("value")) + 1) * 3600)
+    first, last = F.lit("0001-01-02 00:00:00").cast("timestamp"), F.lit("9999-12-30 00:00:00").cast("timestamp")
     return ev.select(
         F.col("event_id").alias("req_id"),
         F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("firms"),
         F.when(F.col("k") < 50, F.array(F.lit("maintenance"), F.lit("late_open"))).alias("types"),
-        F.col("at").alias("from_at"),
-        F.when(F.col("k") < 80, to_at).alias("to_at"),
+        F.when(F.col("k") >= 98, first).otherwise(F.col("at")).alias("from_at"),
+        F.when(F.col("k") < 80, to_at).when(F.col("k") == 97, last).alias("to_at"),
     )
 
 
 @query
 def j6_window_overlap_all_firms(spark: SparkSession, d: str) -> DataFrame:
-    """Requests without a firm: those of the largest purchases, over every firm."""
-    ev = a.events(spark, d).filter("event_type = 'purchase' and value >= 150")
+    """Requests without a firm: every purchase asks over every firm."""
+    ev = a.events(spark, d).filter("event_type = 'purchase'")
     asked = ev.select(
         F.col("event_id").alias("req_id"),
         F.lit(None).cast("array<string>").alias("firms"),
@@ -380,7 +382,8 @@ def p2_changed_posts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_touch_seen(spark: SparkSession, d: str) -> DataFrame:
-    seen = a.documents(spark, d).filter("n_chars >= 200")
+    """The page lists every document but the French ones."""
+    seen = a.documents(spark, d).filter("lang <> 'fr'")
     touched = post_ops.touch_seen(seen, a.document_state(spark, d), a.now())
     return touched.select("firm", "post_key", timecols.utc_text(F.col("last_seen")).alias("last_seen"), "url")
 
@@ -848,7 +851,7 @@ def s12_calendar_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def s13_payload_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = report.payload_lines(_plan(spark, d), _anomalies(spark, d).filter("code = 'gate'"))
+    lines = report.payload_lines(_plan(spark, d), _anomalies(spark, d))
     return lines.select("firm", "kind", "post_key", "line")
 
 
@@ -1249,22 +1252,33 @@ def t1_changed_posts_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def t2_reconcile_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The state before a run, one micro-batch of events, the state after it."""
-    root = run_folder(spark, "t2-state")
+    """The state before a run, then a micro-batch for each quarter of the firms, and the state after all of them.
+
+    A batch reads and writes the state partitions of its firms: plan, duplicates, expired posts."""
+    root, folder = run_folder(spark, "t2-state"), run_folder(spark, "t2")
     tables = {**state.empty_state(spark), "post_state": a.post_state(spark, d), "tracked": a.before(spark, d)}
     state.write_state(spark, root, 0, tables)
     inventory = a.inventory(spark, d)
 
+    def firms_of(batch: DataFrame) -> DataFrame:
+        return batch.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("firm")).distinct()
+
     def sync(old: dict[str, DataFrame], batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
         w = a.shape_windows(a.shape_events(batch))
         extracted = a.shape_extracted_posts(w)
         plan = reconcile.reconcile(
             old["tracked"], a.shape_extraction(w), extracted, inventory, a.now(), real_calendar=True
         )
-        after = reconcile.apply_plan(old["tracked"], plan, extracted, old["post_state"])
-        return {**old, "tracked": after}
-
-    streams.reconcile_stream(_stream(spark, d, "events"), root, run_folder(spark, "t2"), sync).awaitTermination()
+        after = cut_lineage(reconcile.apply_plan(old["tracked"], plan, extracted, old["post_state"]), "tracked")
+        after, _ = reconcile.merge_duplicates(after, a.now())
+        posts = reconcile.prune(old["post_state"], after, old["deferred"], a.now())
+        return {**old, "post_state": posts, "tracked": after.join(posts.select(*POST), POST, "left_semi")}
+
+    events = a.table(spark, d, "events")
+    for quarter in range(4):
+        events.filter(F.pmod("user_id", F.lit(4)) == quarter).write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        streams.reconcile_stream(rows, root, f"{folder}/checkpoint", sync, firms_of).awaitTermination()
     tracked = state.read_state(spark, root)[0]["tracked"]
     return tracked.select(*POST, "arrival_seq", "event_key", "entry_id", "event_type", "summary", "start_iso")
 

@@ -326,11 +326,11 @@ SQL_BODY: dict[str, str] = {
     "p13_event_status": f"""SELECT firm, CASE WHEN end_at <= {NOW} THEN 'past' WHEN start_at <= {NOW} THEN 'live' ELSE 'upcoming' END
         AS status, count(*) AS n FROM w GROUP BY ALL""",
     "j6_window_overlap": """SELECT e.event_id AS req_id, r.event_key, r.firm, r.event_type, r.start_utc, r.end_utc
-        FROM ev e JOIN rws r ON r.firm = 'u' || e.user_id AND r.end_at > e.tm
-          AND (e.k >= 80 OR r.start_at < e.tm + to_hours(CAST(1 + floor(e.value) AS INTEGER)))
+        FROM ev e JOIN rws r ON r.firm = 'u' || e.user_id AND r.end_at > CASE WHEN e.k >= 98 THEN TIMESTAMP '0001-01-02' ELSE e.tm END
+          AND (e.k = 97 AND r.start_at < TIMESTAMP '9999-12-30' OR e.k >= 80 AND e.k <> 97 OR r.start_at < e.tm + to_hours(CAST(1 + floor(e.value) AS INTEGER)))
           AND (e.k >= 50 OR r.event_type IN ('maintenance', 'late_open')) WHERE e.event_type = 'signup'""",
     "j6_window_overlap_all_firms": """SELECT e.event_id AS req_id, r.event_key, r.firm FROM ev e JOIN rws r
-        ON r.end_at > e.tm AND r.start_at < e.tm + INTERVAL 2 HOUR WHERE e.event_type = 'purchase' AND e.value >= 150""",
+        ON r.end_at > e.tm AND r.start_at < e.tm + INTERVAL 2 HOUR WHERE e.event_type = 'purchase'""",
     "j6_overlap_literal": f"""SELECT event_key, pos, {iso('start_at')} AS start_utc FROM w
         WHERE end_at > TIMESTAMP '2024-01-10' AND start_at < TIMESTAMP '2024-01-12 06:00:00'""",
     "j7_next_per_firm": """SELECT c.firm, coalesce(c.title, c.firm) AS firm_name, n.event_key, n.start_utc, n.status FROM catalog c
@@ -403,9 +403,9 @@ SQL_BODY: dict[str, str] = {
         SELECT d.firm, d.post_key FROM docs d JOIN s ON s.source = d.firm WHERE CASE WHEN x > 12000
         THEN contains(lower(text), 'tion') OR contains(lower(text), 'eaux') ELSE contains(lower(text), 'ñ') OR contains(lower(text), 'thering') END""",
     "p2_changed_posts": "SELECT firm, post_key, content_hash, status FROM doc_status",
-    "p3_touch_seen": f"""SELECT CASE WHEN d.n_chars >= 200 THEN d.firm WHEN d.n_chars < 300 THEN '' ELSE d.firm END AS firm, d.post_key,
-        CASE WHEN d.n_chars >= 200 THEN {iso(NOW)} ELSE '2024-01-01T00:00:00+00:00' END AS last_seen,
-        CASE WHEN d.n_chars >= 200 THEN d.url ELSE '' END AS url FROM docs d WHERE lang <> 'es'""",
+    "p3_touch_seen": f"""SELECT CASE WHEN d.lang <> 'fr' THEN d.firm WHEN d.n_chars < 300 THEN '' ELSE d.firm END AS firm, d.post_key,
+        CASE WHEN d.lang <> 'fr' THEN {iso(NOW)} ELSE '2024-01-01T00:00:00+00:00' END AS last_seen,
+        CASE WHEN d.lang <> 'fr' THEN d.url ELSE '' END AS url FROM docs d WHERE lang <> 'es'""",
     "p8_evidence_search": r"""WITH q AS (SELECT item_id AS quote_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS w FROM benchmark),
         t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS w FROM documents)
         SELECT quote_id, doc_id FROM q JOIN t ON contains(' ' || t.w || ' ', ' ' || q.w || ' ') WHERE len(string_split(q.w, ' ')) >= 4""",
@@ -550,9 +550,7 @@ SQL_BODY: dict[str, str] = {
         end_iso || ' Etc/GMT-3' AS "end", false AS default_reminders, 'popup:30,popup:10' AS reminders FROM w""",
     "s13_payload_lines": """SELECT firm, CASE WHEN action = 'create' THEN 'created' ELSE 'removed' END AS kind, post_key,
           CASE WHEN action = 'create' THEN '➕ ' ELSE '➖ ' END || summary || ' — '
-            || strftime(strptime(substr(start_iso, 1, 19), '%Y-%m-%dT%H:%M:%S'), '%a %d %b %H:%M') AS line FROM plan WHERE action IN ('create', 'delete')
-        UNION ALL SELECT firm, 'anomaly', '', '• keyword gate matched none of ' || count(*) || ' scraped post(s)' FROM pstat GROUP BY firm
-          HAVING count(*) FILTER (relevant) = 0""",
+            || strftime(strptime(substr(start_iso, 1, 19), '%Y-%m-%dT%H:%M:%S'), '%a %d %b %H:%M') AS line FROM plan WHERE action IN ('create', 'delete')""",
     "f9_describe": """SELECT pos, summary || ' — ' || strftime(start_at + INTERVAL 3 HOUR, '%a %d %b %H:%M') || '–' || strftime(end_at + INTERVAL 3 HOUR, '%H:%M') AS event,
         CASE WHEN k < 50 THEN summary ELSE event_key END || ' — ' || CASE WHEN k >= 10 THEN strftime(start_at + INTERVAL 3 HOUR, '%a %d %b %H:%M')
           WHEN k >= 5 THEN strftime(end_at + INTERVAL 3 HOUR, '%a %d %b %H:%M') ELSE 'later' END AS tracked FROM w""",
@@ -664,7 +662,15 @@ SQL_BODY: dict[str, str] = {
           UNION ALL SELECT firm, 1698541200, 'BEGIN:STANDARD|DTSTART:20231029T020000|TZOFFSETFROM:+0100|TZOFFSETTO:+0000|TZNAME:GMT|END:STANDARD' FROM firms WHERE timezone = 'Europe/London')""",
 }
 
-SQL_BODY["t2_reconcile_stream"] = SQL_BODY["r7_apply_plan"]
+SQL_BODY["t2_reconcile_stream"] = f"""WITH after AS ({SQL_BODY["r7_apply_plan"]}),
+    key_ends AS (SELECT DISTINCT event_key, end_iso, end_at FROM w),
+    standing AS (SELECT firm, event_type, start_iso, end_iso, summary, arg_min(entry_id, (starts_with(entry_id, 'ics:'), arrival_seq)) AS survivor
+      FROM after JOIN key_ends USING (event_key) WHERE end_at > {NOW} GROUP BY firm, event_type, start_iso, end_iso, summary)
+    SELECT a.firm, a.post_key, a.arrival_seq, a.event_key, CASE WHEN e.end_at > {NOW} THEN l.survivor ELSE a.entry_id END AS entry_id,
+      a.event_type, a.summary, a.start_iso
+    FROM after a JOIN key_ends e USING (event_key) LEFT JOIN standing l ON l.firm = a.firm AND l.event_type = a.event_type
+      AND l.start_iso = a.start_iso AND l.end_iso = e.end_iso AND l.summary = a.summary"""
+SQL_BODY["s13_payload_lines"] += f""" UNION ALL SELECT firm, 'anomaly', post_key, '• ' || anomaly FROM ({SQL_BODY["g4_detect_anomalies"]})"""
 SQL_BODY["t3_deferred_release_stream"] = f"""WITH h AS (SELECT *, start_at - INTERVAL 10 DAY AS release FROM judged0
       WHERE event_type = 'crypto_closure' AND s0 IS NOT NULL AND e0 > s0 AND e0 - s0 <= INTERVAL 48 HOUR
         AND NOT (require_stated_offset AND stated_min IS NULL AND own_min IS NULL)

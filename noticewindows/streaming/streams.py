@@ -152,12 +152,14 @@ def reconcile_stream(
     root: str,
     checkpoint: str,
     sync: Callable[[dict[str, DataFrame], DataFrame, int], dict[str, DataFrame]],
+    firms_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """One micro-batch is one sync: state in, ``sync``, state out.
 
-    ``sync(tables, batch, batch_id)`` returns the new state tables.  The pointer of the state names the
-    query and the batch that made it: only the same batch of the same query is skipped, a query with a new
-    checkpoint goes on from the state there is.
+    ``sync(tables, batch, batch_id)`` returns the new state tables.  With ``firms_of(batch)``, a table of ``firm``, it
+    gets the rows of these firms (and rows without a firm), and only their partitions are read and written.  The
+    pointer of the state names the query and the batch that made it: only the same batch of the same query is skipped,
+    a query with a new checkpoint goes on from the state there is.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -166,9 +168,17 @@ def reconcile_stream(
         name = f"{query_id} {batch_id}"
         if state.applied_step(spark, root) == name:
             return
-        tables, _ = state.read_state(spark, root)
-        version = state.current_version(spark, root) or 0
-        state.write_state(spark, root, version + 1, sync(tables, batch, batch_id), name)
+        version = (state.current_version(spark, root) or 0) + 1
+        if firms_of is None:
+            tables, _ = state.read_state(spark, root)
+            state.write_state(spark, root, version, sync(tables, batch, batch_id), name)
+            return
+        mine = firms_of(batch).select("firm").union(spark.range(1).select(F.lit("").alias("firm"))).distinct()
+        parts = state.parts_of(spark, root, firms_of(batch))
+        tables, _ = state.read_state(spark, root, parts)
+        new = sync({n: t.join(mine, "firm", "left_semi") for n, t in tables.items()}, batch, batch_id)
+        others = {n: t.join(mine, "firm", "left_anti") for n, t in tables.items()}
+        state.write_state(spark, root, version, {n: new[n].select(*t.columns).unionByName(t) for n, t in others.items()}, name, parts)
 
     return (
         posts.writeStream.foreachBatch(step)

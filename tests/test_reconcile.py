@@ -2,6 +2,8 @@
 
 import random
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from noticewindows.functions import timecols
@@ -325,3 +327,72 @@ def test_a_new_checkpoint_goes_on_from_the_state(spark, tmp_path):
         rows = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
         streams.reconcile_stream(rows, root, str(tmp_path / checkpoint), sync).awaitTermination()
     assert seen == [3, 3] and state.current_version(spark, root) == 9
+
+
+def windows_of(n_firms, n_posts, moved=0):
+    """Raw answers of two members for every post: windows whose days depend on the firm, the post and ``moved``."""
+    found = {}
+    for f in range(n_firms):
+        for p in range(n_posts):
+            day = 2 + (f + 2 * p + moved) % 5
+            found[f"f{f}", f"p{p}"] = [(n, f"2026-06-{day + n:02d}T08:00:00", f"2026-06-{day + n:02d}T10:00:00") for n in range(2)]
+    return found
+
+
+def test_stream_of_batches_equals_as_many_syncs(spark, tmp_path):
+    """Whole syncs: new, changed and unchanged posts, duplicates, held rows, expired posts; two firms a batch."""
+    rules = validate.EventRules(max_days_ahead=4, max_duration_hours=48)
+    now = timecols.iso_instant(F.lit("2026-06-01T00:00:00"))
+    firms = spark.createDataFrame([(f"f{n}", ["closed"], "UTC", False) for n in range(4)], "firm string, keywords array<string>, timezone string, require_stated_offset boolean")
+    ddl = "firm string, post_key string, text string, url string, pos long, answer string"
+
+    def batch(numbers, moved):
+        rows = []
+        for (firm, post), found in windows_of(4, 3, moved).items():
+            if int(firm[1:]) in numbers:
+                answer = ";".join(f"{n},{s},{e}" for n, s, e in found)
+                rows.append((firm, post, f"closed {firm} {post} {moved}", f"https://e.org/{post}", int(post[1:]), answer))
+        return spark.createDataFrame(rows, ddl)
+
+    steps = [batch((0, 1), 0), batch((0, 3), 1), batch((3,), 2)]
+    kind = "array<struct<event_ord:bigint,event_type:string,start_time:string,end_time:string,stated_utc_offset:string,affected:string,confidence:string,evidence:string>>"
+
+    def run_sync(tables, rows, batch_id=0):
+        item = F.transform(F.split("answer", ";"), lambda x: F.split(x, ","))
+        events = F.transform(item, lambda x: F.struct(
+            x[0].cast("long").alias("event_ord"), F.lit("maintenance").alias("event_type"), x[1].alias("start_time"), x[2].alias("end_time"),
+            F.lit(None).cast("string").alias("stated_utc_offset"), F.lit(None).cast("string").alias("affected"), F.lit("high").alias("confidence"), F.lit(None).cast("string").alias("evidence"),
+        )).cast(kind)
+        ballots = rows.select("firm", "post_key", F.posexplode(F.array(F.lit("m1"), F.lit("m2"))).alias("ballot_ord", "voter"), events.alias("events"), F.lit(None).cast("string").alias("error"))
+        posts = rows.select("firm", "post_key", "text", "url", "pos")
+        mine = firms.join(rows.select("firm").distinct(), "firm", "left_semi")
+        return sync_plan.sync(posts, ballots, tables, mine, rules, now, ["m1", "m2"]).tables
+
+    old_post = ("f0", "long gone", "x", datetime(2026, 1, 1), "", -5, True)
+    first = {**state.empty_state(spark), "post_state": spark.createDataFrame([old_post], state.STATE_TABLES["post_state"])}
+    root, plain = str(tmp_path / "state"), str(tmp_path / "plain")
+    state.write_state(spark, root, 0, first)
+    state.write_state(spark, plain, 0, first)
+    for n, rows in enumerate(steps):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+        streams.reconcile_stream(stream, root, str(tmp_path / "checkpoint"), run_sync, lambda b: b.select("firm").distinct()).awaitTermination()
+        tables, _ = state.read_state(spark, plain)
+        here = [r.firm for r in rows.select("firm").distinct().collect()]
+        new = run_sync({t: x.filter(F.col("firm").isin(here)) for t, x in tables.items()}, rows)
+        state.write_state(spark, plain, n + 1, {t: new[t].select(*x.columns).unionByName(x.filter(~F.col("firm").isin(here))) for t, x in tables.items()})
+    got, want = state.read_state(spark, root)[0], state.read_state(spark, plain)[0]
+    for name in state.STATE_TABLES:
+        rows = [sorted(map(str, t[name].collect())) for t in (got, want)]
+        assert rows[0] == rows[1], name
+    assert got["tracked"].count() > 0 and got["deferred"].count() > 0
+    assert got["post_state"].filter("post_key = 'long gone'").isEmpty()
+    # the last batch was one firm: one partition of its own, all others as before
+    manifest = state._manifest(spark, root, 3)
+    for of in manifest["tables"].values():
+        assert sum(v == 3 for v in of.values()) <= 1
+    left = {p.name for p in (tmp_path / "state").glob("MANIFEST.*")}
+    assert left == {"MANIFEST.2", "MANIFEST.3"}
+    kept = {(p.parent.parent.name, int(p.parent.name[2:]), int(p.name[5:])) for p in (tmp_path / "state" / "data").glob("*/w=*/part=*")}
+    named = {(t, v, p) for m in (2, 3) for t, of in state._manifest(spark, root, m)["tables"].items() for p, v in of.items()}
+    assert kept == named

@@ -248,6 +248,9 @@ def test_overlap_equals_brute_force(spark):
     for n in range(40):
         s, e = span(80)
         rq.append((n, rng.choice([None, ["f0"], ["f1", "f2"]]), rng.choice([None, ["other"]]), s, rng.choice([e, None])))
+    # ranges of any length: to the end of the calendar, from its beginning, empty and reversed ones
+    ev += [("f0", "other", "far", base, datetime(9999, 12, 30)), ("f1", "other", "early", datetime(1, 1, 2), base + timedelta(hours=30)), ("f0", "other", "point", base, base)]
+    rq += [(100, None, None, datetime(1, 1, 2), None), (101, ["f1"], None, datetime(1, 1, 2), datetime(9999, 12, 30)), (102, None, None, base + timedelta(hours=50), base + timedelta(hours=10)), (103, ["f0", "f1"], None, datetime(9999, 1, 1), None)]
     events = spark.createDataFrame(ev, "firm string, event_type string, event_key string, start_at timestamp, end_at timestamp")
     asked = spark.createDataFrame(rq, "req_id long, firms array<string>, types array<string>, from_at timestamp, to_at timestamp")
     got = sorted((r.req_id, r.event_key) for r in windows.window_overlap(events, asked).collect())
