@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
-from noticewindows.functions import running, timecols
+from noticewindows.functions import cells, running, timecols
 from noticewindows.session import cut_lineage
 
 POST = ["firm", "post_key"]

@@ -1094,26 +1094,21 @@ def _feed_rows(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d)
 
 
-def _type_feeds(spark: SparkSession, d: str) -> DataFrame:
-    """One feed over everything and one per firm."""
-    return _selections(spark, d).filter("feed_id = 'all' or feed_id like 'firm-%'")
-
-
 @query
 def s11_export_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Every selection as a feed: all windows, one type, one firm, two types of one firm; folded, with a zone block."""
     lines = feed.feed_lines(
-        _feed_rows(spark, d), _type_feeds(spark, d), a.catalog(spark, d), a.now(), fold=False
-    )
-    return lines.select("feed_id", "part", "arrival_seq", "pos", F.col("line_in_block").cast("long").alias("line_in_block"), "line").withColumn(
-        "part", F.col("part").cast("long")
+        _feed_rows(spark, d), _selections(spark, d), a.catalog(spark, d), a.now(), a.CALENDAR_ZONE
     )
+    numbers = [F.col(c).cast("long").alias(c) for c in ("part", "line_in_block", "fold_no")]
+    return lines.select("feed_id", "arrival_seq", "pos", *numbers, "line")
 
 
 @query
 def s11_export_feed_files(spark: SparkSession, d: str) -> DataFrame:
     """Feeds written as text and read back: lines and octets per feed, in a zone with a zone block."""
     lines = feed.feed_lines(
-        _feed_rows(spark, d), _type_feeds(spark, d), a.catalog(spark, d), a.now(), a.CALENDAR_ZONE, (15,), 60
+        _feed_rows(spark, d), _selections(spark, d), a.catalog(spark, d), a.now(), a.CALENDAR_ZONE, (15,), 60
     )
     path = run_folder(spark, "feeds")
     feed.export_feed(lines, path)
@@ -1204,7 +1199,7 @@ def f7_event_block(spark: SparkSession, d: str) -> DataFrame:
 def f8_feed_problems(spark: SparkSession, d: str) -> DataFrame:
     """The exported feeds of every firm, each damaged in a way that its name decides."""
     lines = feed.feed_lines(
-        _feed_rows(spark, d), _type_feeds(spark, d), a.catalog(spark, d), a.now(), "America/Chicago"
+        _feed_rows(spark, d), _selections(spark, d), a.catalog(spark, d), a.now(), "America/Chicago"
     )
     numbered = feed.number_lines(lines)
     last = F.substring("feed_id", -1, 1)

@@ -599,18 +599,6 @@ SQL_BODY: dict[str, str] = {
         max(offset_mismatches) AS offset_mismatches, count(*) FILTER (error IS NOT NULL) AS errors FROM passed GROUP BY case_id, voter""",
     "g13_extraction_cost": """SELECT firm, count(*) FILTER (status <> 'unchanged') AS posts, count(*) FILTER (status <> 'unchanged') * 3 AS calls FROM doc_status GROUP BY firm""",
     "w9_key_sets": """SELECT case_id, run::BIGINT AS run, event_type, start_time, end_time, CASE WHEN in_e AND in_g THEN 'matched' WHEN in_e THEN 'missing' ELSE 'extra' END AS side FROM sides""",
-    "s11_export_feed": f"""WITH f AS (SELECT * FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%'),
-        s AS (SELECT feed_id, one FROM sel WHERE feed_id = 'all' OR feed_id LIKE 'firm-%'),
-        nm AS (SELECT s.feed_id, CASE WHEN s.one IS NOT NULL OR (SELECT count(DISTINCT firm) FROM f) = 1 THEN coalesce(c.title, upper(s.one)) || ' Trading Updates' ELSE 'All Trading Updates' END AS name
-          FROM s LEFT JOIN catalog c ON c.firm = s.one),
-        h AS (SELECT feed_id, 0 AS part, 0 AS arrival_seq, 0 AS pos, ['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:{fv.FEED_PRODID}', 'CALSCALE:GREGORIAN', 'X-WR-CALNAME:' || name] AS lines FROM nm
-          UNION ALL SELECT feed_id, 3, 0, 0, ['END:VCALENDAR'] FROM s
-          UNION ALL SELECT feed_id, 2, arrival_seq, pos, list_filter(['BEGIN:VEVENT', 'UID:' || event_key || '@noticewindows', 'DTSTAMP:20240115T120000Z',
-            'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%SZ'), 'DTEND:' || strftime(end_at, '%Y%m%dT%H%M%SZ'), 'TRANSP:TRANSPARENT', 'SUMMARY:' || {_esc('summary')},
-            CASE WHEN evidence <> '' OR link <> '' THEN 'DESCRIPTION:' || CASE WHEN evidence <> '' THEN '“' || {_esc('evidence')} || '”\\n' ELSE '' END
-              || CASE WHEN link <> '' THEN 'Source: ' || {_esc('link')} || '\\n' ELSE '' END || '{fv.ATTRIBUTION}' END, 'END:VEVENT'], lambda x: x IS NOT NULL) FROM f)
-        SELECT feed_id, part::BIGINT AS part, arrival_seq::BIGINT AS arrival_seq, pos::BIGINT AS pos, (i - 1)::BIGINT AS line_in_block, line FROM (
-          SELECT feed_id, part, arrival_seq, pos, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM h)""",
     "f1_ics_escape": f"""SELECT doc_id, {_esc("(text || '; a,b \\ c' || chr(13) || chr(10) || url)")} AS escaped FROM docs""",
     "f2_ics_fold": f"""SELECT doc_id, sha256('DESCRIPTION:' || {_esc('text')}) AS unfolded_hash, true AS short, true AS filled,
         CASE WHEN n = o THEN CASE WHEN n <= 75 THEN 1 ELSE 1 + (n - 75 + 73) // 74 END END::BIGINT AS n_parts,
@@ -639,10 +627,10 @@ SQL_BODY: dict[str, str] = {
         SELECT pos, (i - 1)::BIGINT AS line_no, line FROM (SELECT pos, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM b)""",
     "t1_changed_posts_stream": """SELECT firm, post_key, snapshot_id, content_hash FROM (SELECT source AS firm, lang AS post_key, doc_id AS snapshot_id,
         sha256(text) AS content_hash, lag(text) OVER (PARTITION BY source, lang ORDER BY doc_id) AS p, text FROM documents) WHERE text IS DISTINCT FROM p""",
-    "s11_export_feed_files": """WITH f AS (SELECT * FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%')
+    "s11_export_feed_files": """WITH f AS (SELECT * FROM feed)
         SELECT feed_id, 18 + CAST(sum(13 + CASE WHEN evidence <> '' OR link <> '' THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) AS events,
           1::BIGINT AS zone_lines, true AS folded FROM f GROUP BY feed_id""",
-    "f8_feed_problems": f"""WITH f AS (SELECT *, right(feed_id, 1) AS c FROM feed WHERE feed_id = 'all' OR feed_id LIKE 'firm-%'),
+    "f8_feed_problems": f"""WITH f AS (SELECT *, right(feed_id, 1) AS c FROM feed),
         g AS (SELECT feed_id, c, count(*) AS n, count(DISTINCT event_key) AS keys, max(octet_length(encode('SUMMARY:' || {_esc('summary')}))) AS wide FROM f GROUP BY ALL),
         nums AS (SELECT feed_id, max('event ' || i || ' needs exactly one DTSTAMP') AS detail FROM (SELECT feed_id, unnest(range(1, n + 1)) AS i FROM g WHERE c = '2') GROUP BY 1)
         SELECT feed_id, 'event' AS code, 1::BIGINT AS n, 'duplicate UIDs' AS detail FROM g WHERE ((c = '1' AND n > 1) OR keys < n) AND c NOT IN ('2', '3', '7')
@@ -662,6 +650,25 @@ SQL_BODY: dict[str, str] = {
           UNION ALL SELECT firm, 1698541200, 'BEGIN:STANDARD|DTSTART:20231029T020000|TZOFFSETFROM:+0100|TZOFFSETTO:+0000|TZNAME:GMT|END:STANDARD' FROM firms WHERE timezone = 'Europe/London')""",
 }
 
+# non-ASCII characters stand in the first 60 octets of these lines, so later parts count characters
+_HEAD = "75 - (octet_length(encode(line)) - length(line))"
+SQL_BODY["s11_export_feed"] = f"""WITH nm AS ({SQL_BODY["f6_calendar_name"]}), has AS (SELECT DISTINCT feed_id FROM feed),
+    h AS (SELECT feed_id, 0 AS part, 0 AS arrival_seq, 0 AS pos, list_filter(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:{fv.FEED_PRODID}', 'CALSCALE:GREGORIAN',
+        'X-WR-CALNAME:' || {_esc('name')}, CASE WHEN feed_id IN (SELECT feed_id FROM has) THEN 'X-WR-TIMEZONE:Etc/GMT-3' END], lambda x: x IS NOT NULL) AS lines FROM nm
+      UNION ALL SELECT feed_id, 1, -(1::BIGINT << 60), 0, ['BEGIN:VTIMEZONE', 'TZID:Etc/GMT-3'] FROM has
+      UNION ALL SELECT feed_id, 1, 0, 0, ['BEGIN:STANDARD', 'DTSTART:19700101T000000', 'TZOFFSETFROM:+0300', 'TZOFFSETTO:+0300', 'TZNAME:+03', 'END:STANDARD'] FROM has
+      UNION ALL SELECT feed_id, 1, 1::BIGINT << 60, 0, ['END:VTIMEZONE'] FROM has
+      UNION ALL SELECT feed_id, 3, 0, 0, ['END:VCALENDAR'] FROM sel
+      UNION ALL SELECT feed_id, 2, arrival_seq, pos, list_filter(['BEGIN:VEVENT', 'UID:' || event_key || '@noticewindows', 'DTSTAMP:20240115T120000Z',
+        'DTSTART;TZID=Etc/GMT-3:' || strftime(start_at + INTERVAL 3 HOUR, '%Y%m%dT%H%M%S'), 'DTEND;TZID=Etc/GMT-3:' || strftime(end_at + INTERVAL 3 HOUR, '%Y%m%dT%H%M%S'),
+        'TRANSP:TRANSPARENT', 'SUMMARY:' || {_esc('summary')},
+        CASE WHEN evidence <> '' OR link <> '' THEN 'DESCRIPTION:' || CASE WHEN evidence <> '' THEN '“' || {_esc('evidence')} || '”\\n' ELSE '' END
+          || CASE WHEN link <> '' THEN 'Source: ' || {_esc('link')} || '\\n' ELSE '' END || '{fv.ATTRIBUTION}' END, 'END:VEVENT'], lambda x: x IS NOT NULL) FROM feed),
+    l AS (SELECT feed_id, part, arrival_seq, pos, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_in_block FROM h),
+    p AS (SELECT *, CASE WHEN octet_length(encode(line)) <= 75 THEN [line] ELSE list_concat([substr(line, 1, {_HEAD})],
+        list_transform(range(0, (length(line) - ({_HEAD}) + 73) // 74), lambda i: ' ' || substr(line, {_HEAD} + 1 + 74 * i, 74))) END AS parts FROM l)
+    SELECT feed_id, part::BIGINT AS part, arrival_seq::BIGINT AS arrival_seq, pos::BIGINT AS pos, line_in_block::BIGINT AS line_in_block,
+      (generate_subscripts(parts, 1) - 1)::BIGINT AS fold_no, unnest(parts) AS line FROM p"""
 SQL_BODY["t2_reconcile_stream"] = f"""WITH after AS ({SQL_BODY["r7_apply_plan"]}),
     key_ends AS (SELECT DISTINCT event_key, end_iso, end_at FROM w),
     standing AS (SELECT firm, event_type, start_iso, end_iso, summary, arg_min(entry_id, (starts_with(entry_id, 'ics:'), arrival_seq)) AS survivor
