@@ -1,9 +1,11 @@
 """Ordered scans that stay spread out when one key holds a large share of the rows.
 
 A plain ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task.  Here the order is
-cut into buckets (a day, a block of positions): every bucket is scanned on its own, one summary row
-per (key, bucket) is scanned across buckets, and the two are put together.  The second scan sees
-buckets, never rows.
+cut into buckets: every bucket is scanned on its own, one summary row per (key, bucket) is scanned across
+buckets, and the two are put together.  The second scan sees buckets, never rows.
+
+:func:`in_ranges` makes buckets of even size whatever the values are: it sorts all rows once into ranges of
+(key, order) and numbers the ranges.  A column of the rows will do as bucket where it cannot pile up.
 """
 
 from __future__ import annotations
@@ -13,6 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticewindows.session import cut_lineage
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: str, label: str = "ordered") -> DataFrame:
+    """``df`` with ``bucket``, the number of the range of (key, order) that a row falls into.
+
+    ``order`` should be unique within a key: rows that are equal in it stay together.  The ranges are written to the
+    shared folder, because they follow from a sample and all later steps must see the same ones.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(tasks, *keys, *order).withColumn(bucket, F.spark_partition_id().cast("long"))
+    return cut_lineage(placed, label)
+
 
 def _scan(
     df: DataFrame,

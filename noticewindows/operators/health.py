@@ -96,13 +96,18 @@ def overall_health(
     )
 
 
-def notify_once(run_log: DataFrame, bucket: str = "day") -> DataFrame:
+def unhealthy(firms: DataFrame) -> DataFrame:
+    """``firm, status, since`` of every firm that is not ok, from :func:`firm_health`; ``since``: its last success."""
+    return firms.filter("status <> 'ok'").select("firm", "status", F.col("last_success").alias("since"))
+
+
+def notify_once(run_log: DataFrame) -> DataFrame:
     """Errors worth a message: those that differ from the run before; a success resets.
 
-    ``run_log``: firm, run_id, ts, error (NULL on success).  The log of a firm is scanned in buckets
-    of time, so a firm with very many runs is not one task.
+    ``run_log``: firm, run_id, ts, error (NULL on success).  The log of a firm is scanned in even
+    ranges, so a firm with very many runs is not one task.
     """
-    rows = run_log.withColumn("bucket", F.date_trunc(bucket, "ts"))
+    rows = running.in_ranges(run_log, ["firm"], ["ts", "run_id"], "bucket", "run-log")
     rows = running.previous_value(rows, ["firm"], "bucket", ["ts", "run_id"], "error", "previous_error")
     fresh = F.col("error").isNotNull() & ~F.col("error").eqNullSafe(F.col("previous_error"))
     return rows.filter(fresh).drop("bucket")

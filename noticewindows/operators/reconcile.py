@@ -192,9 +192,7 @@ def adopt_existing(new: DataFrame, calendar_inventory: DataFrame) -> DataFrame:
     return new.join(known, "event_key", "left")
 
 
-def refcount_timeline(
-    refs: DataFrame, opening: DataFrame, block: int = 10_000
-) -> DataFrame:
+def refcount_timeline(refs: DataFrame, opening: DataFrame) -> DataFrame:
     """Running reference count per (firm, window) in processing order.
 
     ``refs``: the window's columns, proc_ord, step (0 release, 1 request), tie, delta.  ``opening``:
@@ -204,8 +202,8 @@ def refcount_timeline(
     rows = (
         refs.join(start, WINDOW, "left")
         .withColumn("held", F.coalesce("held", F.lit(0)).cast("long"))
-        .withColumn("block", F.floor(F.col("proc_ord") / block))
     )
+    rows = running.in_ranges(rows, WINDOW, ["proc_ord", "step", "tie"], "block", "references")
     rows = running.running_sum(
         rows, WINDOW, "block", ["proc_ord", "step", "tie"], {"moved": F.col("delta").cast("long")}
     )

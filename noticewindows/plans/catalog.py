@@ -748,7 +748,7 @@ def w7_refcount_timeline(spark: SparkSession, d: str) -> DataFrame:
         F.when(adds, 1).otherwise(-1).alias("delta"),
     )
     opening = reconcile.opening_balance(a.before(spark, d), True)
-    rows = reconcile.refcount_timeline(refs, opening, block=100)
+    rows = reconcile.refcount_timeline(refs, opening)
     return rows.select("firm", F.col("tie").alias("pos"), "before", "balance")
 
 
@@ -910,6 +910,12 @@ def g7_overall_health(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def g7_unhealthy_firms(spark: SparkSession, d: str) -> DataFrame:
+    rows = health.unhealthy(_health(spark, d))
+    return rows.select("firm", "status", timecols.utc_text(F.col("since")).alias("since"))
+
+
 @query
 def f11_humanize(spark: SparkSession, d: str) -> DataFrame:
     age = (F.unix_micros(a.now()) - F.unix_micros("at")) / 1_000_000

@@ -685,6 +685,7 @@ SQL_BODY["t3_deferred_release_stream"] = f"""WITH h AS (SELECT *, start_at - INT
     c AS (SELECT *, CASE WHEN release <= TIMESTAMP '2024-01-08 06:00:00' THEN TIMESTAMP '2024-01-08 06:00:00' ELSE {NOW} END AS clock
       FROM h WHERE release <= {NOW})
     SELECT firm, post_key, event_ord, CASE WHEN end_at <= clock THEN 'rejected' ELSE 'publish' END AS outcome, {iso('clock')} AS clock FROM c"""
+SQL_BODY["g7_unhealthy_firms"] = f"SELECT firm, status, {iso('last_success')} AS since FROM hfin WHERE status <> 'ok'"
 SQL_BODY["t4_state_expiry"] = SQL_BODY["r6_prune"]
 SQL_BODY["t5_stale_sources"] = f"""SELECT firm, {iso('last_success')} AS last_success FROM hstat WHERE stale
     UNION ALL SELECT 'n' || n_nationkey, NULL FROM nation"""

@@ -178,22 +178,21 @@ def plan_crawl(
     frontier: DataFrame,
     delays: DataFrame,
     min_interval: float = fv.MIN_INTERVAL_SECONDS,
-    bucket: str = "day",
 ) -> DataFrame:
     """Start times per host that keep its interval: ``slot_at`` for every request.
 
     ``frontier``: host, req_id, requested_at.  ``delays``: host, crawl_delay.  With ``i`` the place of
     a request in its host's queue and ``d`` the interval, ``slot_i = max_{j<=i}(req_j - j d) + i d``,
-    so both the place and the maximum are ordered scans, cut by ``bucket`` of the request time.
+    so both the place and the maximum are ordered scans over even ranges of the queue.
     """
     step = F.greatest(F.lit(min_interval), F.coalesce("crawl_delay", F.lit(0.0)))
     rows = (
         frontier.join(delays.select("host", "crawl_delay"), "host", "left")
         .withColumn("step_us", (step * 1_000_000).cast("long"))
-        .withColumn("bucket", F.date_trunc(bucket, "requested_at"))
         .withColumn("one", F.lit(1).cast("long"))
     )
     order = ["requested_at", "req_id"]
+    rows = running.in_ranges(rows, ["host"], order, "bucket", "queue")
     rows = running.running_sum(rows, ["host"], "bucket", order, {"place": F.col("one")})
     free = F.unix_micros("requested_at") - F.col("place") * F.col("step_us")
     rows = running.running_max(rows, ["host"], "bucket", order, {"head": free})

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
-from noticewindows.functions import timecols
+from noticewindows.functions import running, timecols
 from noticewindows.operators import feed, health, usage, windows
 from noticewindows.plans import adapters
 from noticewindows.sources import crawl, pages, profiles
@@ -125,7 +125,7 @@ def test_crawl_slots_equal_a_queue(spark):
     rows = [(rng.choice("ab"), n, datetime(2026, 1, 1) + timedelta(seconds=rng.randint(0, 400))) for n in range(120)]
     frontier = spark.createDataFrame(rows, "host string, req_id long, requested_at timestamp")
     delays = spark.createDataFrame([("b", 7.0)], "host string, crawl_delay double")
-    got = {r.req_id: r.slot_at for r in crawl.plan_crawl(frontier, delays, bucket="minute").collect()}
+    got = {r.req_id: r.slot_at for r in crawl.plan_crawl(frontier, delays).collect()}
     for host, step in (("a", 2), ("b", 7)):
         last = None
         for _, n, at in sorted((r for r in rows if r[0] == host), key=lambda r: (r[2], r[1])):
@@ -139,7 +139,7 @@ def test_heartbeats_and_notifications_equal_loops(spark):
     rows = [(rng.choice("abc"), n, start + timedelta(minutes=rng.randint(0, 60 * 24 * 6)), rng.choice([None, "A", "B"])) for n in range(150)]
     log = spark.createDataFrame(rows, "firm string, run_id long, ts timestamp, error string")
     sent = {(r.firm, r.ts) for r in health.heartbeat_due(log, 24).collect()}
-    noted = {r.run_id for r in health.notify_once(log, "hour").collect()}
+    noted = {r.run_id for r in health.notify_once(log).collect()}
     want_sent, want_noted = set(), set()
     for firm in "abc":
         last, before = None, None
@@ -261,6 +261,22 @@ def test_overlap_equals_brute_force(spark):
     assert got == want
 
 
+def test_one_moment_is_spread_over_all_ranges(spark):
+    """Every request of one host at the same instant: ranges stay even and the slots are right."""
+    n, at = 4000, datetime(2026, 1, 1)
+    frontier = spark.range(n).select(F.lit("https://h").alias("host"), F.col("id").alias("req_id"), F.lit(at).cast("timestamp").alias("requested_at"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        ranged = running.in_ranges(frontier, ["host"], ["requested_at", "req_id"], "bucket")
+        sizes = [r["count"] for r in ranged.groupBy("bucket").count().collect()]
+        assert len(sizes) == 8 and max(sizes) <= 2 * n / 8
+        delays = spark.createDataFrame([], "host string, crawl_delay double")
+        slots = crawl.plan_crawl(frontier, delays).orderBy("req_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert [r.slot_at for r in slots] == [at + timedelta(seconds=2 * k) for k in range(n)]
+
+
 def steps_of(spark, ddl, steps):
     return [spark.createDataFrame(rows, ddl) for rows in steps]
 
