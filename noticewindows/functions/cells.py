@@ -50,25 +50,33 @@ def point_cells(at: Column, levels: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: _code(k, F.call_function("shiftright", base, k)))
 
 
-def _span(df: DataFrame, column: str) -> tuple[int | None, int | None]:
-    """The seconds between which a column lies."""
-    seconds = F.unix_seconds(column)
-    return tuple(df.agg(F.min(seconds), F.max(seconds) + 1).first())
+def _spans(left: DataFrame, right: DataFrame, starts: tuple[str, str]) -> list[tuple[int | None, int | None]]:
+    """The seconds between which the starts of each side lie, in one job."""
+    rows = None
+    for n, (side, start) in enumerate(zip((left, right), starts, strict=True)):
+        seconds = F.unix_seconds(start)
+        row = side.agg(F.min(seconds).alias("first"), (F.max(seconds) + 1).alias("last")).withColumn("n", F.lit(n))
+        rows = row if rows is None else rows.unionByName(row)
+    found = {r["n"]: (r["first"], r["last"]) for r in rows.collect()}
+    return [found[0], found[1]]
 
 
 def overlaps(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_ends: tuple[str, str], right_ends: tuple[str, str], hit: Column, how: str = "inner"
 ) -> list[DataFrame]:
     """Two joins that together hold every pair with equal ``keys`` and ``hit`` once, or for ``left_semi`` every left row
-    that has a partner (in one or both).
+    that has a partner (in one or both).  No joins at all when a side is empty.
 
     ``hit`` must imply that the intervals share an instant; an end may be NULL for "open".  The columns of the two
     sides must differ, but for the keys.  Intervals are cut to where the points of the other side lie: the extent of
     those is asked for beforehand, so both sides should be tables.
     """
     out = []
-    for inside, around, point, (low, high) in ((left, right, left_ends[0], right_ends), (right, left, right_ends[0], left_ends)):
-        first, last = _span(inside, point)
+    spans = _spans(left, right, (left_ends[0], right_ends[0]))
+    if spans[0][0] is None or spans[1][0] is None:
+        return out
+    cases = ((left, right, left_ends[0], right_ends, spans[0]), (right, left, right_ends[0], left_ends, spans[1]))
+    for inside, around, point, (low, high), (first, last) in cases:
         levels = min(LEVELS, int(((last or 0) - (first or 0)) // UNIT + 2).bit_length())
         start = F.greatest(F.col(low), F.timestamp_seconds(F.lit(first).cast("long")))
         end = F.least(F.col(high), F.timestamp_seconds(F.lit(last).cast("long")))  # NULL is passed over: an open end is the last point

@@ -107,11 +107,10 @@ def window_overlap(rows: DataFrame, requests: DataFrame) -> DataFrame:
     )
     named = asked.filter("firms is not null").withColumn("firm", F.explode(F.array_distinct("firms"))).drop("firms")
     of_all = asked.filter("firms is null").drop("firms")
-    found = None
+    found = rows.limit(0).select(F.lit(None).cast(requests.schema["req_id"].dataType).alias("req_id"), *rows.columns)
     for side, keys in ((named, ["firm"]), (of_all, [])):
         for pairs in cells.overlaps(rows, side, keys, ("start_at", "end_at"), ("from_at", "to_at"), hit):
-            pairs = pairs.select("req_id", *rows.columns)
-            found = pairs if found is None else found.unionByName(pairs)
+            found = found.unionByName(pairs.select("req_id", *rows.columns))
     return found
 
 
