@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,11 +45,11 @@ SILENT = frozenset("script style template noscript head title svg iframe object
 MEDIA = frozenset("svg object canvas audio video".split())  # what stands in them is shown by old readers only, or drawn
 IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
 RAW = frozenset("script style template noscript title iframe".split())  # their end is sought as text
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var x-label html "
-    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom "
-    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+# Elements that begin a new run of text.  All others, unknown ones too, stand in the line.
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure "
+    "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section select "
+    "summary table tbody td textarea tfoot th thead tr ul".split()
 )
 BLOCKS_END_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
@@ -66,16 +67,25 @@ SIBLINGS = {
 }
 
 
-MEDIA_END = re.compile(rf"</({'|'.join(sorted(MEDIA))})(?=[\s/>]|\Z)", re.I)
+SOUGHT_END = re.compile(rf"</({'|'.join(sorted(MEDIA | RAW))})(?=[\s/>]|\Z)", re.I)
+P_STAYS = ("td", "th", "button", "table")  # a paragraph around one of these is not ended from inside it
 
 
 class Tree:
     """Nodes in document order: parent, features key, tag, and the text of leaves (None for elements)."""
 
-    __slots__ = ("parent", "key", "tag", "text", "label")
+    __slots__ = ("parent", "key", "tag", "text", "label", "children")
 
     def __init__(self) -> None:
         self.parent, self.key, self.tag, self.text, self.label = [-1], [("root", "")], ["root"], [None], [False]
+        self.children: list[int] = []  # number of children, counted when first asked for
+
+    def alone(self, i: int) -> bool:
+        if len(self.children) != len(self.parent):
+            self.children = [0] * len(self.parent)
+            for p in self.parent[1:]:
+                self.children[p] += 1
+        return self.children[self.parent[i]] == 1
 
 
 def parse(page: str) -> Tree:
@@ -84,9 +94,11 @@ def parse(page: str) -> Tree:
     silent: list[str] = []
     parts: list[str] = []
     link_parts: list[str] = []
+    where: dict[str, list[int]] = {}  # places of the open elements of each tag in the stack
     inside: list[str] = []  # elements open in a media element
+    inside_of: Counter = Counter()
     media_at = void_until = 0  # where that one began; before the second place media tags hold nothing
-    last_end = {m.group(1).lower(): m.start() for m in MEDIA_END.finditer(page)}
+    last_end = {m.group(1).lower(): m.start() for m in SOUGHT_END.finditer(page)}
     links = labelled = at = 0
 
     def flush() -> None:
@@ -108,7 +120,12 @@ def parse(page: str) -> Tree:
 
     def close_to(depth: int) -> None:
         flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            where[stack.pop()[1]].pop()
+
+    def nearest(*tags: str) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     while True:
         found = TOKEN.search(page, at)
@@ -138,23 +155,27 @@ def parse(page: str) -> Tree:
                     del silent[len(silent) - 1 - silent[::-1].index(name) :]
                 if not silent:
                     inside.clear()
+                    inside_of.clear()
             elif silent:
-                if silent[0] in MEDIA and name not in INLINE:
-                    if name in inside:
-                        del inside[len(inside) - 1 - inside[::-1].index(name) :]
-                    elif any(tag == name for _, tag in stack[1:]):
+                if silent[0] in MEDIA and name in BLOCK:
+                    if inside_of[name]:
+                        while inside_of[name]:
+                            last = inside.pop()
+                            inside_of[last] -= 1
+                            if last == name:
+                                break
+                    elif where.get(name):
                         at, void_until = media_at, start
                         silent.clear()
                         inside.clear()
+                        inside_of.clear()
             elif name == "a":
                 links = max(0, links - 1)
             elif name == "x-label":
                 flush()
                 labelled = max(0, labelled - 1)
-            elif name not in INLINE:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == name), 0)
-                if depth:
-                    close_to(depth)
+            elif nearest(name):
+                close_to(nearest(name))
             continue
         if silent == ["head"] and name not in IN_HEAD:
             silent.clear()
@@ -164,7 +185,7 @@ def parse(page: str) -> Tree:
             if rest.rstrip().endswith("/") and name not in ("script", "style"):
                 continue
             if name in RAW:
-                close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+                close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at) if last_end.get(name, -1) >= at else None
                 if not close and name not in ("script", "style"):
                     continue
                 at = close.start() if close else len(page)
@@ -178,8 +199,9 @@ def parse(page: str) -> Tree:
             flush()
             continue
         if silent:
-            if name not in INLINE and name not in VOID and not rest.rstrip().endswith("/"):
+            if name in BLOCK and name not in VOID and not rest.rstrip().endswith("/"):
                 inside.append(name)
+                inside_of[name] += 1
             continue
         if name in ("br", "mtd"):
             parts.append(" ")
@@ -188,21 +210,15 @@ def parse(page: str) -> Tree:
         elif name == "x-label":
             flush()
             labelled += 1
-        elif name in INLINE and not (name == "ins" and rest):
+        elif name not in BLOCK and not (name == "ins" and rest.strip()):
             continue
         else:
-            if name in BLOCKS_END_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == "p"), 0)
-                if depth and not any(t in ("td", "th", "button", "table") for _, t in stack[depth:]):
-                    close_to(depth)
+            if name in BLOCKS_END_P and nearest("p") > nearest(*P_STAYS):
+                close_to(nearest("p"))
             if name in SIBLINGS:
                 ends, stop = SIBLINGS[name]
-                depth = 0
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][1] in stop:
-                        break
-                    if stack[i][1] in ends:
-                        depth = i
+                around = nearest(*stop)
+                depth = min((places[k] for t in ends if (places := where.get(t)) and (k := bisect_right(places, around)) < len(places)), default=0)
                 if depth:
                     close_to(depth)
             flush()
@@ -213,6 +229,7 @@ def parse(page: str) -> Tree:
             tree.tag.append(name)
             tree.text.append(None)
             tree.label.append(False)
+            where.setdefault(name, []).append(len(stack))
             stack.append((len(tree.parent) - 1, name))
     if silent == ["head"] and page[at:].strip():
         silent.clear()
@@ -231,12 +248,14 @@ def features(key: tuple) -> list[str]:
     for name, value in ATTRIBUTE.findall(key[1]):
         if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
             found += sorted({f"name:{w.lower()}" for w in NAME_WORD.findall(value)})
-    return found
+    return found or [f"plain:{key[0]}"]
 
 
 def edge_tag(tree: Tree, i: int) -> str:
-    """What the potential between node ``i`` and its parent depends on: its tag, or the tag around a run."""
-    return tree.tag[i] if tree.text[i] is None else "run " + tree.tag[tree.parent[i]]
+    """What the potential between node ``i`` and its parent depends on: its tag, or the tag around a run, and whether it
+    is all that its parent holds."""
+    tag = tree.tag[i] if tree.text[i] is None else "run " + tree.tag[tree.parent[i]]
+    return f"only {tag}" if tree.alone(i) else tag
 
 
 def states(tree: Tree) -> list[bool]:
@@ -276,6 +295,9 @@ class Model:
         self.cached: dict[tuple, float] = {}
         self.edges: dict[str, tuple[float, float]] = {}
 
+    def _seen(self, kind: str, feature: str) -> bool:
+        return (kind, feature, True) in self.counts or (kind, feature, False) in self.counts
+
     def _ratio(self, kind: str, feature: str) -> float:
         yes, no = (self.counts.get((kind, feature, s), 0) + SMOOTH for s in (True, False))
         all_yes, all_no = (self.counts.get((kind, "", s), 0) + 2 * SMOOTH for s in (True, False))
@@ -287,7 +309,9 @@ class Model:
             if len(self.cached) > 100_000:
                 self.cached.clear()
             kind = "run" if len(key) == 4 else "element"
-            known = [f for f in features(key) if (kind, f, True) in self.counts or (kind, f, False) in self.counts]
+            known = [f for f in features(key) if self._seen(kind, f)]
+            if not known and self._seen(kind, f"plain:{key[0]}"):
+                known = [f"plain:{key[0]}"]  # names that no labelled page has say no more than none
             self.cached[key] = sum(self._ratio(kind, f) for f in known) * (RUN_WEIGHT if kind == "run" else 1.0)
         return self.cached[key]
 

@@ -58,6 +58,11 @@ class _Page:
         text = self.words(low, high)
         return self.random.choice([text, f"<p>{text}</p>", f"<span>{text}</span>"])
 
+    def unnamed(self, inside: str) -> str:
+        """A box without a telling name: none at all, or a made-up one."""
+        name = self.random.choice(["", "", f' class="{self.word()}"', f' id="{self.word()}{self.random.randint(1, 99)}"'])
+        return f"<div{name}>{inside}</div>"
+
     def heading(self) -> str:
         tag = self.random.choice(["h2", "h2", "h3", "h4", "strong"])
         return f"<{tag}>{self.words(1, 3, False)}</{tag}>"
@@ -104,13 +109,19 @@ class _Page:
         title = f"<h1>{self.words(2, 12, False)}</h1>"
         parts = [self.random.choice([title, title, f"<header>{title}</header>", ""])]
         for _ in range(self.random.choice([1, 1, 2, 2, 3, 4, 5, 6, 8, 10, 12])):
-            parts.append(self.block())
+            block = self.block()
+            parts.append(self.unnamed(block) if self.random.random() < 0.15 else block)
         marked = [f'<x-label data-label="content">{p}</x-label>' for p in parts if p]
         for _ in range(self.random.choice([0, 0, 1, 2, 3, 4])):
             marked.insert(self.random.randint(1, len(marked)), self.other(self.random.choice([3, 4, 5, 6, 7, 8])))
         if self.random.random() < 0.25:
             marked.append(self.comments())
-        return self.box(CONTENT_BOXES, "".join(marked))
+        if self.random.random() < 0.65:
+            return self.box(CONTENT_BOXES, "".join(marked))
+        inside = "".join(marked)  # a page that names nothing: up to four plain boxes around one another
+        for _ in range(self.random.randint(1, 4)):
+            inside = self.unnamed(inside)
+        return inside
 
     def html(self) -> str:
         if self.random.random() < 0.08:  # a fragment without a page around it
@@ -119,6 +130,9 @@ class _Page:
             return f'<x-label data-label="content">{inside}</x-label>'
         top = [self.other(self.random.choice([0, 1, 4, 5])) for _ in range(self.random.randint(0, 3))]
         low = [self.other(self.random.choice([2, 3, 4, 6, 7, 8])) for _ in range(self.random.randint(0, 4))]
+        if self.random.random() < 0.15:  # little more than the text
+            top, low = top[:1], low[:1]
+            return f"<html><body>{''.join(top)}{self.article()}{''.join(low)}</body></html>"
         middle = self.article()
         if self.random.random() < 0.4:
             middle = self.box(WRAPPERS, middle + self.random.choice(["", self.other(3), self.comments()]))

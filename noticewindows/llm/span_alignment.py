@@ -36,8 +36,9 @@ from noticewindows.llm.textblocks import WHITE, slabs, span_hashes, text_bytes
 from noticewindows.llm.token_files import ODD_SPACE
 
 MARK = "▁"
-SLAB_BYTES = 4 << 20
-CACHE_BYTES = 160 << 20  # of aligned chunks in a worker; beyond that it starts anew
+SLAB_BYTES = 2 << 20
+ROW_GROUP_BYTES = 16 << 20  # of the links on disk, so that writers hold little
+CACHE_BYTES = 96 << 20  # of aligned chunks in a worker; beyond that it starts anew
 BATCH = 20_000  # chunks that the libraries encode at once
 BROADCAST_PAIRS = 2_000_000  # rows of 17 bytes
 
@@ -453,7 +454,9 @@ FIGURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string
 def _list(df: DataFrame, text: str, keep: tuple[str, ...], files: tuple[str, str], rows: bool) -> DataFrame:
     kept, given = _input(df, text, keep)
     found = kept.mapInArrow(_listed(files, "_aligned text", rows), given + FIGURES + ", links array<bigint>, counts array<bigint>")
-    return store.stored(found.withColumn("_row", F.monotonically_increasing_id()), "links")
+    found, path = found.withColumn("_row", F.monotonically_increasing_id()), store.fresh_folder(df.sparkSession, "links")
+    found.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    return df.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def _pairs(listed: DataFrame) -> DataFrame:

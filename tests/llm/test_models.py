@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -385,3 +386,60 @@ def test_broken_markup_keeps_its_text(page, want):
 
 def test_many_open_media_elements_take_linear_time():
     assert len(runs("<div>" + "<object>word " * 50_000 + "</div><object></object>")) == 50_000
+
+
+WORDS = " ".join(f"word{i}" for i in range(30)) + "."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><div class=xq1><p>{WORDS}</p><p>{WORDS}</p></div></body>", f"{WORDS} {WORDS}"),
+        (f"<div><div><div><p>{WORDS}</p><p>{WORDS}</p></div></div></div>", f"{WORDS} {WORDS}"),
+        (f"<div><p>{WORDS}</p></div>", WORDS),
+        (f"<article><p>{WORDS}</p><p>before <nobr>two words</nobr> after them.</p></article>", f"{WORDS} before two words after them."),
+        (f"<article><p>{WORDS}</p><p>long<wbr>word, H<custom-x>2</custom-x>O, <img src=x>picture <label>here</label>.</p></article>", f"{WORDS} longword, H2O, picture here."),
+        (f"<article><p>{WORDS}</p><div class=notes><p>{WORDS}</p></div><p>{WORDS}</p></article>", f"{WORDS} {WORDS} {WORDS}"),
+    ],
+)
+def test_plain_boxes_and_unknown_elements_keep_their_text(page_model, page, want):
+    assert html_content.main_text(page, page_model) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<iframe>" * 100_000, "<ul>" + "<div>" * 100_000 + "<li>x" * 100_000, "<p><table><td>" + "<div>" * 100_000, "<svg>" + "<g><div>" * 50_000 + "</b></section>" * 50_000],
+)
+def test_broken_nesting_takes_linear_time(page):
+    began = time.process_time()
+    html_content.parse(page)
+    assert time.process_time() - began < 20
+
+
+def other_layout(seed):
+    """Pages of a kind that the training rule does not make: other names, other nesting, other order."""
+    rng = random.Random(seed)
+    words = "river stone cloud winter people garden house between under light morning".split()
+    text = lambda low, high: (" ".join(rng.choice(words) for _ in range(rng.randint(low, high)))).capitalize() + "."
+    parts = [text(12, 60) for _ in range(rng.randint(1, 6))]
+    tagged = [rng.choice([f"<p>{p}</p>", f"<div>{p}</div>", f"<p><span data-x=1>{p}</span></p>", f"<div><div>{p}</div></div>"]) for p in parts]
+    body = "".join(tagged)
+    for _ in range(rng.randint(0, 3)):
+        name = rng.choice(["", ' class="lx-prose"', ' class="c-9f2"', ' id="region-b"', ' data-role="copy"'])
+        body = f"<{(tag := rng.choice(['div', 'section', 'div']))}{name}>{body}</{tag}>"
+    menu = "".join(f'<a href="/{w}">{w}</a> ' for w in rng.sample(words, 4))
+    before = rng.choice(["", f"<nav>{menu}</nav>", f'<div class="nav-strip">{menu}</div>', f"<header><ul>{''.join(f'<li>{a}</li>' for a in menu.split('> ') if a)}</ul></header>"])
+    after = rng.choice(["", f"<footer><small>{text(3, 8)}</small></footer>", f'<div class="footer-links">{menu}</div>'])
+    return f"<!doctype html><html><body>{before}{body}{after}</body></html>", parts
+
+
+def test_layouts_outside_the_training_rule(page_model):
+    found = wanted = extra = 0
+    for seed in range(300):
+        page, parts = other_layout(seed)
+        got, want = Counter(html_content.main_text(page, page_model).split()), Counter(" ".join(parts).split())
+        found += sum((got & want).values())
+        wanted += sum(want.values())
+        extra += sum((got - want).values())
+    print("recall", found / wanted, "extra", extra / wanted)
+    assert found / wanted > 0.97 and extra / wanted < 0.03
