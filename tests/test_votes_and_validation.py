@@ -1,12 +1,13 @@
 """Validation, replies and votes: the edge cases as small tables."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
-from noticewindows.functions import timecols
-from noticewindows.operators import replies, validate, vote
+from noticewindows.functions import textcols, timecols
+from noticewindows.operators import evidence, replies, validate, vote
 
 RAW = (
     "firm string, post_key string, event_ord long, event_type string, start_time string, end_time string, "
@@ -218,3 +219,34 @@ def test_consensus(spark):
     assert kept.count() == 0 and failures.first().error == "down"
     alone = ballots(spark, ("r1", [ROW, ROW]))
     assert vote.consensus(alone, 1)[0].count() == 2
+
+
+def test_quotes_are_found_and_other_runs_never_become_rows(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(0, 400))) for _ in range(60)]
+    hot = "the same footer on every page of all"
+    texts = [f"{t} {hot}" for t in texts] + [None, "", "one two three", f"{hot} {hot}"]
+    quotes = [" ".join(t.split()[5:14]) for t in texts[:20]] + [hot.upper(), "w1 w2", None, "", "not in any text at all", texts[3], "page of all w"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+
+    def plain(t):
+        return " ".join((t or "").lower().split())
+
+    want = {
+        (q, i)
+        for q, quote in enumerate(quotes)
+        for i, text in enumerate(texts)
+        if len(plain(quote).split()) >= evidence.RUN and f" {plain(quote)} " in f" {plain(text)} "
+    }
+    assert {(r.quote_id, r.doc_id) for r in evidence.evidence_search(asked, docs).collect()} == want
+    assert evidence.evidence_search(asked.limit(0), docs).collect() == []
+    assert evidence.evidence_search(asked, docs.limit(0)).collect() == []
+
+    held = docs.select("doc_id", textcols.words(F.col("text")).alias("text_words")).filter("text_words <> ''")
+    runs = asked.select(F.explode(evidence._runs(textcols.words(F.col("quote")))).alias("run"))
+    passed = evidence.wanted_runs(held, runs)
+    true = held.select("doc_id", F.explode(evidence._runs(F.col("text_words"))).alias("run")).join(runs.distinct(), "run", "left_semi").select("doc_id", "run")
+    assert true.exceptAll(passed).isEmpty()
+    assert true.count() <= passed.count() <= 1.02 * true.count()
+    assert "getbit" in passed._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[1].splitlines()[0]
