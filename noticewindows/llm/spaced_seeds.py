@@ -2,7 +2,8 @@
 
 A seed is a fixed mask over a window of words: the marked words are hashed, the others may differ.  The hashes of all
 windows of the benchmark texts are joined with those of the training texts; a hit fixes a benchmark item and a
-diagonal (document place less item place), and the words of both along that diagonal are compared around the hit.
+diagonal (document place less item place).  Every diagonal is taken once, however many hits it has, and the words of both
+along it are compared around its hits.
 A run of aligned words is an overlap when it has at least ``min_words`` equal words, ``min_share`` of the run is equal
 and both ends are equal; of an item in which ``min_share`` of its words are fewer than ``min_words``, that many suffice.
 
@@ -40,9 +41,9 @@ SHORT_MASKS = {4: ("111", "1101", "1011"), 6: ("1111", "11011"), 8: ("11101", "1
 SHORT_MASK_WORDS = min(SHORT_MASKS)  # shorter items are too short to mean anything
 MIN_WORDS = 13
 MIN_SHARE = 0.75
-HELD_SEEDS = 4_000_000  # 32 MB of hashes
+HELD_SEEDS = 4_000_000  # about 130 MB in a worker: hash, item and place of a seed, 16 MB of first bits
 SLAB_BYTES = 8 << 20
-COMPARED = 1 << 20  # words compared at a time
+COMPARED = 1 << 20  # words compared, or pairs of places made, at a time
 
 PUNCTUATION = np.zeros(256, dtype=bool)
 PUNCTUATION[list(b"!\"'(),-.:;?[]{}`*_")] = True
@@ -133,30 +134,41 @@ class Seeds:
         self.first_bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)  # most words of a text have no seed's first bits
         self.first_bits[self.seeds >> self.shift] = True
 
-    def hits(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows (text, item, diagonal, place in the item) of all places of the texts whose seed an item has."""
-        rows = [np.zeros((0, 4), np.int64)]
+    def diagonals(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows (text, item, diagonal), each once, on which some place of a text has a seed of the item.
+
+        Pairs of a place and an item place are made ``COMPARED`` at a time and become diagonals at once, so a word that
+        repeats in a text and in an item costs memory by its diagonals, not by its pairs."""
+        longest = int(self.lengths.max(initial=0))
+        begins = offsets + longest * np.arange(1, len(offsets) + 1)  # of each text's diagonals in one row of numbers
+        span = int(begins[-1])
+        found = np.zeros(0, np.int64)
         for number, mask in self.used.items():
-            found = seed_hashes(hashes, mask, number)
-            place = np.flatnonzero(self.first_bits[found >> self.shift])
-            low = np.minimum(np.searchsorted(self.seeds, found[place]), len(self.seeds) - 1)
-            same = self.seeds[low] == found[place]
+            seeds = seed_hashes(hashes, mask, number)
+            place = np.flatnonzero(self.first_bits[seeds >> self.shift])
+            low = np.minimum(np.searchsorted(self.seeds, seeds[place]), len(self.seeds) - 1)
+            same = self.seeds[low] == seeds[place]
             place, low = place[same], low[same]
             text = np.searchsorted(offsets, place, "right") - 1
             inside = place + len(mask) <= offsets[text + 1]  # windows do not run into the next text
             place, text, low = place[inside], text[inside], low[inside]
-            n = np.searchsorted(self.seeds, found[place], "right") - low
-            which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            item_at = self.at[which]
-            rows.append(np.stack([np.repeat(text, n), self.item[which], np.repeat(place - offsets[text], n) - item_at, item_at], axis=1))
-        return np.unique(np.concatenate(rows), axis=0)
-
-    def enough(self, hits: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, needed: np.ndarray) -> np.ndarray:
-        """The hits on whose diagonal at least the ``needed`` words of the item are equal."""
-        if not len(hits):
-            return hits
-        new = np.concatenate([[True], (hits[1:, :3] != hits[:-1, :3]).any(axis=1)])
-        text, item, diagonal = hits[new, :3].T
+            n = np.searchsorted(self.seeds, seeds[place], "right") - low
+            done = np.cumsum(n) - n  # pairs before each place
+            for first in range(0, int(n.sum()), COMPARED):
+                pair = np.arange(first, min(first + COMPARED, int(n.sum())))
+                of = np.searchsorted(done, pair, "right") - 1
+                which = low[of] + pair - done[of]
+                line = begins[text[of]] + place[of] - offsets[text[of]] - self.at[which]
+                found = np.union1d(found, self.item[which] * span + line)
+        item, line = found // span, found % span
+        text = np.searchsorted(begins - longest, line, "right") - 1
+        return np.stack([text, item, line - begins[text]], axis=1)
+
+    def enough(self, lines: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, needed: np.ndarray) -> np.ndarray:
+        """The diagonals on which at least the ``needed`` words of the item are equal."""
+        if not len(lines):
+            return lines
+        text, item, diagonal = lines.T
         low = np.maximum(0, -diagonal)
         n = np.minimum(self.lengths[item], offsets[text + 1] - offsets[text] - diagonal) - low
         good = np.zeros(len(text), dtype=bool)
@@ -167,7 +179,17 @@ class Seeds:
             own = np.repeat(offsets[text[rows]] + low[rows] + diagonal[rows] - begin, n[rows]) + place
             other = np.repeat(self.starts[item[rows]] + low[rows] - begin, n[rows]) + place
             good[rows] = np.add.reduceat((hashes[own] == self.all_words[other]).astype(np.int64), begin) >= needed[item[rows]]
-        return hits[good[np.cumsum(new) - 1]]
+        return lines[good]
+
+
+def mask_places(equal: np.ndarray, masks: list[tuple[int, str]]) -> np.ndarray:
+    """The places of one diagonal at which some mask finds all its words equal, in order."""
+    hit = np.zeros(len(equal), dtype=bool)
+    for _, mask in masks:
+        n = len(equal) - len(mask) + 1
+        if n > 0:
+            hit[:n] |= np.logical_and.reduce([equal[k : k + n] for k, used in enumerate(mask) if used == "1"])
+    return np.flatnonzero(hit)
 
 
 def aligned_run(equal: np.ndarray, hit: int, min_share: float) -> tuple[int, int]:
@@ -188,28 +210,27 @@ def aligned_run(equal: np.ndarray, hit: int, min_share: float) -> tuple[int, int
     return best
 
 
-def _overlaps(held, min_words: int, min_share: float):
+def _overlaps(held, masks: tuple[str, ...], min_words: int, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = held.value
         needed = np.array([words_needed(n, min_words, min_share) for n in seeds.lengths.tolist()], np.int64)
         for batch in slabs(batches, "text", SLAB_BYTES):
             hashes, offsets = plain_words(batch.column(1))
             kept = []
-            last, covered = None, 0
-            for text, item, diagonal, at in seeds.enough(seeds.hits(hashes, offsets), hashes, offsets, needed).tolist():
-                if (text, item, diagonal) != last:
-                    last, covered = (text, item, diagonal), 0
-                    words, own = seeds.words[item], hashes[offsets[text] : offsets[text + 1]]
-                    low, high = max(0, -diagonal), min(len(words), len(own) - diagonal)
-                    equal = words[low:high] == own[low + diagonal : high + diagonal]
-                if at < covered:
-                    continue
-                a, b = aligned_run(equal, at - low, min_share)
-                same = int(equal[a:b].sum())
-                if same >= needed[item]:
-                    covered = b + low
-                    start = diagonal + low + a
-                    kept.append((text, seeds.ids[item], start, start + b - a, same))
+            for text, item, diagonal in seeds.enough(seeds.diagonals(hashes, offsets), hashes, offsets, needed).tolist():
+                words, own = seeds.words[item], hashes[offsets[text] : offsets[text + 1]]
+                low, high = max(0, -diagonal), min(len(words), len(own) - diagonal)
+                equal = words[low:high] == own[low + diagonal : high + diagonal]
+                covered = 0
+                for at in mask_places(equal, masks_of(len(words), masks)).tolist():
+                    if at < covered:
+                        continue
+                    a, b = aligned_run(equal, at, min_share)
+                    same = int(equal[a:b].sum())
+                    if same >= needed[item]:
+                        covered = b
+                        start = diagonal + low + a
+                        kept.append((text, seeds.ids[item], start, start + b - a, same))
             kept = list(dict.fromkeys(kept))
             place = pa.array([k[0] for k in kept], pa.int64())
             columns = [batch.column(0).take(place), *[pa.array([k[i] for k in kept], pa.int64()) for i in range(1, 5)]]
@@ -234,7 +255,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         rows = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).toLocalIterator()
         seeds = Seeds(sorted(((r.item_id, bytes(r.words)) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])), masks)
         if len(seeds.seeds):
-            found = docs.mapInArrow(_overlaps(spark.sparkContext.broadcast(seeds), min_words, min_share), kind)
+            found = docs.mapInArrow(_overlaps(spark.sparkContext.broadcast(seeds), masks, min_words, min_share), kind)
             parts.append(found if blocks == 1 else store.stored(found, "overlaps"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
 

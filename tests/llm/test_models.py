@@ -3,10 +3,12 @@
 import itertools
 import math
 import random
-import time
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +172,53 @@ def test_seeds_find_periodic_and_random_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in found if r.doc_id == r.item_id} == {(k, k) for k in range(len(items))}
 
 
+def passing_run(equal, need):
+    """Whether some run of the row passes the rule, by trying all runs."""
+    total = np.concatenate([[0], np.cumsum(equal)])
+    return any(total[j] - total[i] >= max(need, 0.75 * (j - i)) for i in range(len(equal)) for j in range(i + need, len(equal) + 1) if equal[i] and equal[j - 1])
+
+
+def test_overlaps_equal_a_comparison_of_all_places(spark, monkeypatch):
+    """Few different words, so that seeds repeat in texts and items; small blocks of pairs."""
+    monkeypatch.setattr(spaced_seeds, "COMPARED", 50)
+    rng = random.Random(12)
+    items = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (4, 5, 7, 9, 11, 12, 13, 15, 16, 18, 22, 30)]
+    items.append("a " * 40)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 50))) for _ in range(25)] + ["a " * 60, None, ""]
+    for item in items * 4:
+        w = item.split()
+        for k in rng.sample(range(len(w)), len(w) // 4 + rng.randrange(2)):
+            w[k] = "x"
+        texts.append(" ".join([rng.choice("efg") for _ in range(rng.randrange(9))] + w))
+    want = set()
+    for d, text in enumerate(texts):
+        own = np.array((text or "").split(), "U9")
+        for i, item in enumerate(items):
+            other = np.array(item.split())
+            need = spaced_seeds.words_needed(len(other), 13, 0.75)
+            lines = range(1 - len(other), len(own))
+            if any(passing_run(other[max(0, -g) : len(own) - g] == own[max(0, g) : g + len(other)], need) for g in lines):
+                want.add((d, i))
+    found = spaced_seeds.contaminated(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 30
+
+
+def test_one_word_repeated_in_text_and_item_takes_bounded_work():
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array(["same " * 20_000])], names=["doc_id", "text"])
+    own, _ = spaced_seeds.plain_words(batch.column(1))
+    held = SimpleNamespace(value=spaced_seeds.Seeds([(1, np.full(200, own[0]).tobytes())], spaced_seeds.MASKS))
+    find = spaced_seeds._overlaps(held, spaced_seeds.MASKS, 13, 0.75)
+    start = time.perf_counter()
+    rows = sum(b.num_rows for b in find([batch]))
+    took = time.perf_counter() - start
+    tracemalloc.start()
+    assert sum(b.num_rows for b in find([batch])) == rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 20_000 + 200 - 1 - 2 * 12  # all diagonals on which 13 words or more meet
+    assert peak < 500 << 20 and took < 20
+
+
 def test_longer_run_with_fewer_equal_words_does_not_hide_another():
     equal = np.array([int(c) for c in "110100110110101111011111"], bool)
     for hit in np.flatnonzero(equal):
