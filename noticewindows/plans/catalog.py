@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1235,19 +1235,29 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def _in_four(rows: DataFrame, by: str, folder: str) -> Iterator[DataFrame]:
+    """A stream of all rows as they stand after each of four steps in the order of ``by`` (a long)."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    step = F.floor((F.col(by) - F.lit(low or 0)) * 4 / F.lit((high or 0) - (low or 0) + 1))
+    for n in range(4):
+        rows.filter(F.coalesce(step, F.lit(0)) == n).write.mode("append").parquet(f"{folder}/in")
+        yield rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")
+
+
 @query
 def t1_changed_posts_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as snapshots of one post per (source, language), in the order of their ids."""
-    streams.use_rocksdb(spark)
-    docs = _stream(spark, d, "documents")
-    snapshots = docs.select(
-        F.col("source").alias("firm"),
-        F.col("lang").alias("post_key"),
-        F.col("doc_id").alias("snapshot_id"),
-        timecols.iso_instant(F.lit("2024-01-01")).alias("seen_at"),
-        "text",
-    )
-    out = streams.run_to_table(streams.changed_posts_stream(snapshots), run_folder(spark, "t1"))
+    """Documents as snapshots of one post per (source, language), in the order of their ids, in four steps."""
+    folder = run_folder(spark, "t1")
+    for docs in _in_four(a.table(spark, d, "documents"), "doc_id", folder):
+        snapshots = docs.select(
+            F.col("source").alias("firm"),
+            F.col("lang").alias("post_key"),
+            F.col("doc_id").alias("snapshot_id"),
+            timecols.iso_instant(F.lit("2024-01-01")).alias("seen_at"),
+            "text",
+        )
+        streams.changed_posts_stream(snapshots, folder).awaitTermination()
+    out = streams.changes_so_far(streams.snapshot_rows(snapshots), folder)
     return out.select("firm", "post_key", "snapshot_id", "content_hash")
 
 
@@ -1363,7 +1373,9 @@ def t6_usage_stats_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def t7_notify_once_stream(spark: SparkSession, d: str) -> DataFrame:
-    streams.use_rocksdb(spark)
-    log = a.shape_runs(a.shape_events(_stream(spark, d, "events")))
-    out = streams.run_to_table(streams.notify_once_stream(log), run_folder(spark, "t7"))
-    return out.select("firm", "run_id", "error")
+    """The runs of all firms in four steps of time."""
+    folder = run_folder(spark, "t7")
+    for events in _in_four(a.table(spark, d, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))), "_at", folder):
+        log = a.shape_runs(a.shape_events(events.drop("_at"))).select("firm", "run_id", "ts", "error")
+        streams.notify_once_stream(log, folder).awaitTermination()
+    return streams.changes_so_far(log, folder).select("firm", "run_id", "error")

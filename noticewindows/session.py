@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,19 +41,48 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_FOLDERS: dict[str, SparkSession] = {}
+
+
 def run_folder(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder of the shared folder, for one run's tables and checkpoints; removed when the driver ends."""
+    """A fresh sub-folder of the shared folder, for one run's tables and checkpoints; removed when the driver ends, or
+    at the end of ``released``."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    _FOLDERS[path] = spark
+    for held in getattr(_STEPS, "open", []):
+        held.append(path)
     return path
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+_STEPS = threading.local()
+
+
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """What this thread writes to fresh folders inside is removed at the end: for the steps of a run without an end."""
+    mine: list[str] = []
+    _STEPS.open = [*getattr(_STEPS, "open", []), mine]
+    try:
+        yield
+    finally:
+        _STEPS.open = _STEPS.open[:-1]
+        for path in mine:
+            _forget(path)
+
+
+def _forget(path: str) -> None:
+    spark = _FOLDERS.pop(path, None)
     with contextlib.suppress(Exception):  # the session may be gone already
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@atexit.register
+def _forget_all() -> None:
+    for path in list(_FOLDERS):
+        _forget(path)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors lose nothing."""
     spark = df.sparkSession

@@ -209,17 +209,17 @@ def _clean(spark: SparkSession, root: str, version: int, before: int | None) ->
             if v > version:
                 continue  # a later run is writing it
             if not any(u == v for u, _ in used):
-                _remove(spark, f"{root}/data/{name}/{folder}")
+                remove(spark, f"{root}/data/{name}/{folder}")
                 continue
             for part in _names(spark, f"{root}/data/{name}/{folder}"):
                 if part.startswith("part=") and (v, int(part.removeprefix("part="))) not in used:
-                    _remove(spark, f"{root}/data/{name}/{folder}/{part}")
+                    remove(spark, f"{root}/data/{name}/{folder}/{part}")
     for file in _names(spark, root):
         if file.startswith("MANIFEST.") and int(file.removeprefix("MANIFEST.")) < version and int(file.removeprefix("MANIFEST.")) not in live:
-            _remove(spark, f"{root}/{file}")
+            remove(spark, f"{root}/{file}")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     fs, target = _filesystem(spark, path)
     fs.delete(target, True)
 

@@ -1,23 +1,23 @@
 """The same operators over streams: change detection, reconcile, usage, notifications (timers: ``timers``).
 
-State is keyed, watermarked or written as versioned tables, so a query continues where it stopped.
-The processors need the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+State is watermarked or written as versioned tables, so a query continues where it stopped.
+The keyed processors of ``timers`` need the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from noticewindows.functions import textcols
+from noticewindows.functions import running, textcols
 from noticewindows.operators import usage
+from noticewindows.session import cut_lineage, released
 from noticewindows.sources import state
 
+FULL_STATE_EVERY = 16  # batches
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,73 +25,87 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class _ChangedPosts(StatefulProcessor):
-    """Remembers one hash per post and lets a snapshot through when it differs."""
+def _last_values(spark: SparkSession, folder: str, batch_id: int, ddl: str) -> DataFrame:
+    """The last value of every key before a batch: the newest row of each since the last batch that held all keys."""
+    first = max(batch_id - 1, 0) // FULL_STATE_EVERY * FULL_STATE_EVERY
+    paths = [f"{folder}/state/batch={n}" for n in range(first, batch_id)]
+    if not paths:
+        return spark.createDataFrame([], ddl)
+    rows = spark.read.schema(f"{ddl}, batch int").option("basePath", f"{folder}/state").parquet(*paths)
+    keys = rows.columns[:-2]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(rows.columns[-2]), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "content_hash string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
-        if not frames:
-            return
-        found = pd.concat(frames).sort_values(["seen_at", "snapshot_id"], kind="stable")
-        before = self._last.get()[0] if self._last.exists() else None
-        previous = found["content_hash"].shift(1, fill_value=before)
-        changed = found[found["content_hash"] != previous]
-        self._last.update((found["content_hash"].iloc[-1],))
-        if len(changed):
-            yield changed[["firm", "post_key", "snapshot_id", "seen_at", "content_hash"]]
+def changes_query(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, folder: str, cleared: bool = False, **trigger
+) -> StreamingQuery:
+    """Append to ``folder``/out the rows whose ``value`` differs from the row before of the same key, across batches.
 
+    A micro-batch is sorted once into even ranges of (key, order), so a key with most of the rows is spread over all
+    tasks; what goes from range to range is one row per key and range, what goes from batch to batch one row per
+    key, the last value.  It stands before the rows of the batch as one more row.  Every ``FULL_STATE_EVERY`` batches
+    the state is written whole, in between the keys of the batch.  A batch that runs again overwrites what it wrote.
+    Rows of a later batch count as later.  With ``cleared`` a NULL is never reported, it only ends the value before.
+    """
+    kinds = rows.schema
+    ddl = ", ".join(f"`{c}` {kinds[c].dataType.simpleString()}" for c in (*keys, value))
 
-def changed_posts_stream(snapshots: DataFrame) -> DataFrame:
-    """Snapshots whose text differs from the one before, per (firm, post_key).
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with released():
+            given = cut_lineage(batch, "stream-batch")
+            last = _last_values(spark, folder, batch_id, ddl)
+            here = given.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            both = given.withColumn("_new", F.lit(True)).unionByName(
+                last.join(here, same, "left_semi").withColumn("_new", F.lit(False)), allowMissingColumns=True
+            )
+            by = ["_new", *order]
+            placed = running.in_ranges(both, keys, by, "_range", "stream-ranges")
+            scanned = running.previous_value(placed, keys, "_range", by, value, "_before")
+            changed = F.col("_new") & ~F.col(value).eqNullSafe(F.col("_before"))
+            if cleared:
+                changed = changed & F.col(value).isNotNull()
+            scanned.filter(changed).select(*rows.columns).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+            newest = placed.groupBy(*keys).agg(F.max_by(F.struct(value), F.struct(*by)).alias("_row")).select(*keys, "_row.*")
+            if batch_id % FULL_STATE_EVERY == 0:
+                newest = newest.unionByName(last.join(here, same, "left_anti"))
+            newest.write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
+            if batch_id % FULL_STATE_EVERY == 1:  # the batch that wrote the state whole is done for good
+                for n in range(max(0, batch_id - 1 - FULL_STATE_EVERY), batch_id - 1):
+                    state.remove(spark, f"{folder}/state/batch={n}")
 
-    ``snapshots``: firm, post_key, snapshot_id, seen_at, text.  Only the hash enters the state and the
-    shuffle.
-    """
-    rows = snapshots.select(
-        "firm", "post_key", "snapshot_id", "seen_at", textcols.content_hash(F.col("text")).alias("content_hash")
+    return (
+        rows.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    return rows.groupBy("firm", "post_key").transformWithStateInPandas(
-        _ChangedPosts(),
-        "firm string, post_key string, snapshot_id long, seen_at timestamp, content_hash string",
-        "Append",
-        "None",
+
+
+def changes_so_far(rows: DataFrame, folder: str) -> DataFrame:
+    """What a ``changes_query`` over ``rows`` has written to ``folder``."""
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out").select(*rows.columns)
+
+
+def snapshot_rows(snapshots: DataFrame) -> DataFrame:
+    """``snapshots``: firm, post_key, snapshot_id, seen_at, text.  Only the hash goes on."""
+    return snapshots.select(
+        "firm", "post_key", "snapshot_id", "seen_at", textcols.content_hash(F.col("text")).alias("content_hash")
     )
 
 
-class _NotifyOnce(StatefulProcessor):
-    """Keeps the last error per source; a success clears it."""
+def changed_posts_stream(snapshots: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Snapshots whose text differs from the one before, per (firm, post_key)."""
+    rows = snapshot_rows(snapshots)
+    return changes_query(rows, ["firm", "post_key"], ["seen_at", "snapshot_id"], "content_hash", folder, **trigger)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "error string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
-        if not frames:
-            return
-        log = pd.concat(frames).sort_values(["ts", "run_id"], kind="stable")
-        before = self._last.get()[0] if self._last.exists() else None
-        errors = log["error"].astype(object).where(log["error"].notna(), None)
-        previous = errors.shift(1)
-        previous.iloc[0] = before
-        due = errors.notna() & (errors != previous)
-        last = errors.iloc[-1]
-        if last is None:
-            self._last.clear()
-        else:
-            self._last.update((last,))
-        if due.any():
-            yield log.loc[due.to_numpy(), ["firm", "run_id", "ts", "error"]]
-
-
-def notify_once_stream(run_log: DataFrame) -> DataFrame:
-    """Errors that differ from the run before, with the last error kept across batches."""
+def notify_once_stream(run_log: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Errors that differ from the run before; a success clears the last error of its firm."""
     rows = run_log.select("firm", "run_id", "ts", "error")
-    return rows.groupBy("firm").transformWithStateInPandas(
-        _NotifyOnce(), "firm string, run_id long, ts timestamp, error string", "Append", "None"
-    )
+    return changes_query(rows, ["firm"], ["ts", "run_id"], "error", folder, cleared=True, **trigger)
 
 
 def usage_stats_stream(

@@ -1,5 +1,6 @@
 """Pages, crawl tables, health, usage, feeds and streams on small tables."""
 
+import pathlib
 import random
 import urllib.robotparser
 from datetime import datetime, timedelta
@@ -339,6 +340,30 @@ def test_silent_sources_are_told_once_and_when_they_are_back(spark, tmp_path):
     assert got == [("back", False, at(5)), ("back", True, at(1)), ("down", True, None), ("never", True, None), ("unlisted", True, None)]
 
 
+def test_changes_of_a_hot_key_over_batches_equal_a_loop(spark, tmp_path, monkeypatch):
+    """Six batches; one firm has most of the rows, and its errors last over batches; whole states every second batch."""
+    monkeypatch.setattr(streams, "FULL_STATE_EVERY", 2)
+    rng, folder, tail, want = random.Random(4), str(tmp_path / "log"), {}, []
+    ddl = "firm string, run_id long, ts timestamp, error string, extra int"
+    for step in range(6):
+        rows = []
+        for n in range(80):
+            firm = rng.choice(["hot"] * 6 + ["a", "b", None]) if step != 3 else "hot"
+            rows.append((firm, 100 * step + n, datetime(2026, 6, 1, step, n // 9), rng.choice([None, "E1", "E1", "E1", "E2"]), n))
+        for firm, run, _, error, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+            if error is not None and error != tail.get(firm):
+                want.append((firm or "", run))
+            tail[firm] = error
+        spark.createDataFrame(rows, ddl).repartition(1).write.mode("append").parquet(f"{folder}/in")
+        log = spark.readStream.schema(ddl).parquet(f"{folder}/in")
+        streams.notify_once_stream(log, folder).awaitTermination()
+    out = streams.changes_so_far(log.select("firm", "run_id", "ts", "error"), folder)
+    assert sorted((r.firm or "", r.run_id) for r in out.collect()) == sorted(want)
+    assert sorted(p.name for p in (tmp_path / "log" / "state").iterdir()) == ["batch=4", "batch=5"]
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    assert not list(shared.glob("stream-*"))  # nothing of a batch stays
+
+
 def test_entry_and_registered_names(spark):
     import __spark_entry__ as entry
 
