@@ -107,6 +107,6 @@ ATTRIBUTION = "Created by noticewindows"
 FEED_NAME_SUFFIX = "Trading Updates"
 FEED_NAME_GENERIC = "All Trading Updates"
 LOW_CONFIDENCE_NOTE = (
-    "Extraction confidence: LOW — the announcement did not state this clearly. "
-    "Check the source before relying on it."
+    "Unconfirmed: the wording of the announcement leaves room for doubt. "
+    "Please read the source first."
 )

@@ -152,7 +152,7 @@ def detect_anomalies(
             F.lit("gate").alias("code"),
             F.lit("").alias("post_key"),
             F.concat(
-                F.lit("keyword gate matched none of "), F.col("n").cast("string"), F.lit(" scraped post(s)")
+                F.lit("no keyword occurs in any of the "), F.col("n").cast("string"), F.lit(" posts read")
             ).alias("anomaly"),
         )
     )
@@ -182,7 +182,7 @@ def detect_anomalies(
         "firm",
         F.lit("error").alias("code"),
         F.lit("").alias("post_key"),
-        F.concat("firm", F.lit(": sync failed — "), "error").alias("anomaly"),
+        F.concat(F.lit("run of "), "firm", F.lit(" ended with: "), "error").alias("anomaly"),
     )
     return gate.unionByName(shrink).unionByName(dropped).unionByName(errors)
 

@@ -119,7 +119,8 @@ def parse_requests(requests: DataFrame, firms: DataFrame, types: Sequence[str],
 
     ``requests``: req_id, firm, type, from_raw, to_raw (NULL or blank means absent).  ``firms``: firm.
     A date of ten characters is midnight UTC, a time without an offset is UTC; a set is comma
-    separated, every value must be known, and a set of nothing but commas is an error.
+    separated, every value must be known, and a set of nothing but commas is an error.  A refused type is answered with
+    the known ones; known firms are not listed, as their number grows with the catalog.
     """
 
     def values(column: str) -> Column:
@@ -139,10 +140,11 @@ def parse_requests(requests: DataFrame, firms: DataFrame, types: Sequence[str],
     rows = rows.join(unknown, "req_id", "left")
     bad_types = F.filter("types", lambda v: ~v.isin(*types))
 
-    def set_error(column: str, bad: Column, found: str) -> Column:
+    def set_error(column: str, bad: Column, found: str, known: Sequence[str] = ()) -> Column:
         wrong = given(column) & ((F.size(bad) > 0) | (F.size(found) == 0))
         listed = F.when(F.size(bad) > 0, F.concat(F.lit("'"), F.array_join(bad, "', '"), F.lit("'"))).otherwise("")
-        return F.when(wrong, F.concat(F.lit(f"unknown {column}: ["), listed, F.lit("]")))
+        known_ones = f"; known: {', '.join(sorted(known))}" if known else ""
+        return F.when(wrong, F.concat(F.lit(f"unknown {column}: ["), listed, F.lit(f"]{known_ones}")))
 
     def instant(column: str) -> Column:
         text = timecols.strip(F.coalesce(column, F.lit("")))
@@ -154,7 +156,7 @@ def parse_requests(requests: DataFrame, firms: DataFrame, types: Sequence[str],
         wrong = (F.coalesce(column, F.lit("")) != "") & F.col(value).isNull()
         return F.when(
             wrong,
-            F.concat(F.lit(f"{name}: expected an ISO 8601 date or timestamp, got '"), column, F.lit("'")),
+            F.concat(F.lit(f"{name} is neither a date nor a time in ISO form: '"), column, F.lit("'")),
         )
 
     rows = rows.withColumns({"_from": instant("from_raw"), "to_at": instant("to_raw")})
@@ -164,10 +166,10 @@ def parse_requests(requests: DataFrame, firms: DataFrame, types: Sequence[str],
     bad_firms = F.coalesce("bad_firms", F.array().cast("array<string>"))
     error = F.coalesce(
         set_error("firm", bad_firms, "firms"),
-        set_error("type", bad_types, "types"),
+        set_error("type", bad_types, "types", types),
         instant_error("from_raw", "from", "_from"),
         instant_error("to_raw", "to", "to_at"),
-        F.when(F.col("to_at") <= F.col("from_at"), "'to' must be after 'from'"),
+        F.when(F.col("to_at") <= F.col("from_at"), "the range ends before it starts ('to' <= 'from')"),
     )
     return rows.select(
         "req_id",

@@ -350,10 +350,10 @@ SQL_BODY: dict[str, str] = {
           CASE WHEN k < 50 THEN TIMESTAMP '2024-01-31' WHEN k < 75 THEN TIMESTAMP '2024-01-16' END AS t, k FROM q)
         SELECT req_id, firms, types, {iso('f')} AS from_utc, {iso('t')} AS to_utc,
           CASE WHEN k BETWEEN 60 AND 69 THEN 'unknown firm: [''nobody'']' WHEN k BETWEEN 70 AND 71 THEN 'unknown firm: []'
-            WHEN k BETWEEN 72 AND 74 THEN 'unknown type: [''nonsense'']'
-            WHEN k BETWEEN 80 AND 84 THEN 'from: expected an ISO 8601 date or timestamp, got ''soon'''
-            WHEN k BETWEEN 90 AND 92 THEN 'to: expected an ISO 8601 date or timestamp, got ''2024-13-01'''
-            WHEN t <= f THEN '''to'' must be after ''from''' END AS error FROM r""",
+            WHEN k BETWEEN 72 AND 74 THEN 'unknown type: [''nonsense'']; known: {", ".join(sorted(fv.EVENT_TYPES))}'
+            WHEN k BETWEEN 80 AND 84 THEN 'from is neither a date nor a time in ISO form: ''soon'''
+            WHEN k BETWEEN 90 AND 92 THEN 'to is neither a date nor a time in ISO form: ''2024-13-01'''
+            WHEN t <= f THEN 'the range ends before it starts (''to'' <= ''from'')' END AS error FROM r""",
     "s1_resolve_firms": """WITH s AS (SELECT source, max(n_chars) AS x, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source)
         SELECT source AS name, upper(source) AS display_name,
           CASE WHEN fr > 8 THEN 'https://example.net/' ELSE 'https://example.org/' || source END AS url,
@@ -395,7 +395,7 @@ SQL_BODY: dict[str, str] = {
         k AS (SELECT * FROM r WHERE rank <= 4), bad AS (SELECT firm, arg_min(post_key, pos) AS post_key FROM k WHERE outcome = 'failed' GROUP BY firm),
         ok AS (SELECT * FROM k WHERE outcome = 'ok' AND firm NOT IN (SELECT firm FROM bad))
         SELECT firm, post_key, rank, NULL AS message FROM ok
-        UNION ALL SELECT DISTINCT f.firm, NULL, NULL::BIGINT, CASE WHEN bad.firm IS NOT NULL THEN 'could not fetch https://example.org/n-' || substr(bad.post_key, 3)
+        UNION ALL SELECT DISTINCT f.firm, NULL, NULL::BIGINT, CASE WHEN bad.firm IS NOT NULL THEN 'no page came from https://example.org/n-' || substr(bad.post_key, 3)
           || '-x-' || lower(strftime(e.ts, '%-d-%b-%Y')) ELSE 'no announcement posts found' END
           FROM f LEFT JOIN bad USING (firm) LEFT JOIN events e ON 'e-' || e.event_id = bad.post_key
           WHERE f.firm NOT IN (SELECT firm FROM ok)""",
@@ -534,7 +534,7 @@ SQL_BODY: dict[str, str] = {
         GROUP BY ROLLUP (run_id, firm)""",
     "g3_run_failed": """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS run_id, bool_and(error IS NOT NULL) AS failed, count(*) AS firms
         FROM rlog GROUP BY 1""",
-    "g4_detect_anomalies": """SELECT firm, 'gate' AS code, '' AS post_key, 'keyword gate matched none of ' || count(*) || ' scraped post(s)' AS anomaly
+    "g4_detect_anomalies": """SELECT firm, 'gate' AS code, '' AS post_key, 'no keyword occurs in any of the ' || count(*) || ' posts read' AS anomaly
           FROM pstat GROUP BY firm HAVING count(*) FILTER (relevant) = 0
         UNION ALL SELECT firm, 'shrink', post_key, 'post ' || post_key || ' previously extracted ' || n_old
           || ' event(s) and now extracts ' || n_new || ' with none new — refusing to delete ' || n_missing || ' future event(s)'
@@ -542,7 +542,7 @@ SQL_BODY: dict[str, str] = {
         UNION ALL SELECT firm, 'rejected', post_key, 'post ' || post_key || ': ' || count(*) || ' extracted event(s) rejected and not published — '
           || string_agg(event_type || ' ' || start_time || coalesce(' (' || affected || ')', '') || ': ' || reason, '; ' ORDER BY event_ord)
           FROM acc WHERE reason IS NOT NULL AND NOT retryable AND NOT benign GROUP BY firm, post_key
-        UNION ALL SELECT firm, 'error', '', firm || ': sync failed — ' || max(error) FROM rlog WHERE error IS NOT NULL GROUP BY firm""",
+        UNION ALL SELECT firm, 'error', '', 'run of ' || firm || ' ended with: ' || max(error) FROM rlog WHERE error IS NOT NULL GROUP BY firm""",
     "g5_calendar_counts": f"""SELECT firm, count(DISTINCT post_key) AS posts, count(*) FILTER (end_at > {NOW}) AS events_upcoming,
         count(*) FILTER (event_type = 'crypto_closure') AS events_deferred,
         (SELECT count(*) FROM acc a WHERE a.firm = w.firm AND reason IS NOT NULL AND NOT retryable AND NOT benign) AS rejected_lines FROM w GROUP BY firm""",

@@ -167,7 +167,7 @@ def select_recent(
         .join(failed, "firm", "left")
         .select(
             "firm",
-            F.when(F.col("url").isNotNull(), F.concat(F.lit("could not fetch "), F.col("url")))
+            F.when(F.col("url").isNotNull(), F.concat(F.lit("no page came from "), F.col("url")))
             .otherwise("no announcement posts found")
             .alias("message"),
         )

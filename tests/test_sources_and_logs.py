@@ -75,7 +75,7 @@ def test_select_recent(spark):
     )
     posts, errors = pages.select_recent(embedded, links, fetched, firms, F.to_date(F.lit("2026-06-01")))
     assert [(r.firm, r.post_key) for r in posts.orderBy("firm", "rank").collect()] == [("f", "k0"), ("f", "k3"), ("f", "k4")]
-    assert {(r.firm, r.message) for r in errors.collect()} == {("g", "could not fetch v1"), ("h", "no announcement posts found")}
+    assert {(r.firm, r.message) for r in errors.collect()} == {("g", "no page came from v1"), ("h", "no announcement posts found")}
 
 
 def test_profile_overrides(spark):
