@@ -2,6 +2,7 @@
 
 import pathlib
 import random
+import time
 import urllib.robotparser
 from datetime import datetime, timedelta
 
@@ -384,3 +385,19 @@ def test_an_empty_feed_is_named_after_the_only_firm(spark):
     feeds = spark.createDataFrame([("all", None, None, None, None)], "feed_id string, firms array<string>, types array<string>, n_firms int, one_firm string")
     names = spark.createDataFrame([("f", "Desk F"), ("", "blank")], "firm string, title string")
     assert feed.calendar_name(feeds, names).first().name.startswith("Desk F")
+
+
+def test_offset_changes_are_looked_for_once_per_zone(spark):
+    """Very many ids of two zones; the days of a zone are walked through once, not once per id."""
+    ids = spark.range(0, 60_000, 1, 8).select(
+        F.concat(F.lit("i"), "id").alias("id"),
+        F.when(F.col("id") % 2 == 0, "Europe/London").otherwise("Etc/GMT-3").alias("zone"),
+        F.expr("timestamp'2024-03-31 01:00:00' - make_interval(0, 0, 0, 0, 0, 0, id % 2)").alias("from_at"),
+        F.expr("timestamp'2025-03-30 01:00:00' - make_interval(0, 0, 0, 0, 0, 0, cast(id / 2 as int) % 2)").alias("to_at"),
+    )
+    started = time.monotonic()
+    got = feed.offset_transitions(ids).groupBy("zone", "onset_at", "before_s", "after_s").count().collect()
+    assert time.monotonic() - started < 60
+    # the start of a span is outside of it, its end inside
+    want = {(datetime(2024, 10, 27, 1), 3600, 0): 30_000, (datetime(2025, 3, 30, 1), 0, 3600): 15_000}
+    assert {(r.onset_at, r.before_s, r.after_s): r["count"] for r in got} == want
