@@ -381,6 +381,31 @@ def test_a_firm_listed_twice_counts_once(spark):
     assert windows.select_feed(rows, asked).count() == 1
 
 
+def test_posts_of_one_shard_expire_and_are_released_each_at_its_own_time(spark, tmp_path):
+    """Forty posts in two shards; every post goes and is released at the first clock after its own instant."""
+    streams.use_rocksdb(spark)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    clocks, posts = (day(46), day(50), day(61), day(99)), range(40)
+    seen = [[("f", f"p{n}", day(n % 7), day(n), 0) for n in posts] + [("f", "p3", day(7), None, 1)], *[[(None, None, c, None, None)] for c in clocks]]
+    out = streams.run_in_steps(
+        steps_of(spark, "firm string, post_key string, at timestamp, end_at timestamp, held long", seen),
+        lambda rows: timers.state_expiry(rows, shards=2), str(tmp_path / "expiry"),
+    )
+    want = {f"p{n}": (day(n % 7), day(n % 7 + 45)) for n in posts if n != 3}
+    assert {r.post_key: (r.last_seen, r.expired_at - timedelta(milliseconds=1)) for r in out.collect()} == want and out.count() == 39
+    held = [("f", f"p{n}", n, day(30 + n), day(31 + 2 * (n % 20)), day(0)) for n in posts]
+    steps = [held + [(None, None, None, None, None, day(22))], *[[(None, None, None, None, None, c)] for c in clocks]]
+    out = streams.run_in_steps(
+        steps_of(spark, "firm string, post_key string, event_ord long, start_at timestamp, end_at timestamp, at timestamp", steps),
+        lambda rows: timers.deferred_release(rows, 10, shards=2), str(tmp_path / "release"),
+    )
+    got = {r.post_key: (r.event_ord, r.outcome, r.clock) for r in out.collect()}
+    for _, key, n, start, end, _ in held:
+        due = next(c for c in (day(22), *clocks) if c >= start - timedelta(days=10))
+        assert got[key] == (n, "rejected" if end <= due else "publish", due)
+    assert len(got) == 40 == out.count()
+
+
 def test_an_empty_feed_is_named_after_the_only_firm(spark):
     feeds = spark.createDataFrame([("all", None, None, None, None)], "feed_id string, firms array<string>, types array<string>, n_firms int, one_firm string")
     names = spark.createDataFrame([("f", "Desk F"), ("", "blank")], "firm string, title string")
