@@ -426,3 +426,11 @@ def test_offset_changes_are_looked_for_once_per_zone(spark):
     # the start of a span is outside of it, its end inside
     want = {(datetime(2024, 10, 27, 1), 3600, 0): 30_000, (datetime(2025, 3, 30, 1), 0, 3600): 15_000}
     assert {(r.onset_at, r.before_s, r.after_s): r["count"] for r in got} == want
+
+
+def test_the_checker_of_feeds_carries_no_texts_on(spark):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("feed-l*"))
+    assert feed.feed_problems(feed_frame(spark, GOOD), block=5).count() == 0
+    written = set(shared.glob("feed-l*")) - before
+    assert written and all(not {"line", "params"} & set(spark.read.parquet(str(p)).columns) for p in written)
