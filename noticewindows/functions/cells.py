@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 UNIT = 4096
@@ -50,14 +50,20 @@ def point_cells(at: Column, levels: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: _code(k, F.call_function("shiftright", base, k)))
 
 
-def _spans(left: DataFrame, right: DataFrame, starts: tuple[str, str]) -> list[tuple[int | None, int | None]]:
-    """The seconds between which the starts of each side lie, in one job."""
+def _spans(left: DataFrame, right: DataFrame, ends: tuple[tuple[str, str], tuple[str, str]]) -> list[Row]:
+    """Per side the seconds between which its starts lie, and the base cells of its longest interval (NULL if one is
+    open), in one job."""
     rows = None
-    for n, (side, start) in enumerate(zip((left, right), starts, strict=True)):
-        seconds = F.unix_seconds(start)
-        row = side.agg(F.min(seconds).alias("first"), (F.max(seconds) + 1).alias("last")).withColumn("n", F.lit(n))
+    for n, (side, (low, high)) in enumerate(zip((left, right), ends, strict=True)):
+        seconds = F.unix_seconds(low)
+        size = _base(F.col(high)) - _base(F.col(low)) + 1
+        row = side.agg(
+            F.min(seconds).alias("first"),
+            (F.max(seconds) + 1).alias("last"),
+            F.when(~F.bool_or(F.col(high).isNull()), F.coalesce(F.max(size), F.lit(0))).alias("longest"),
+        ).withColumn("n", F.lit(n))
         rows = row if rows is None else rows.unionByName(row)
-    found = {r["n"]: (r["first"], r["last"]) for r in rows.collect()}
+    found = {r["n"]: r for r in rows.collect()}
     return [found[0], found[1]]
 
 
@@ -69,15 +75,19 @@ def overlaps(
 
     ``hit`` must imply that the intervals share an instant; an end may be NULL for "open".  The columns of the two
     sides must differ, but for the keys.  Intervals are cut to where the points of the other side lie: the extent of
-    those is asked for beforehand, so both sides should be tables.
+    those is asked for beforehand, so both sides should be tables.  Points are dealt to no level above that of the longest
+    interval: hours among hours are three or four rows, whatever time all of them span.
     """
     out = []
-    spans = _spans(left, right, (left_ends[0], right_ends[0]))
-    if spans[0][0] is None or spans[1][0] is None:
+    spans = _spans(left, right, (left_ends, right_ends))
+    if spans[0]["first"] is None or spans[1]["first"] is None:
         return out
-    cases = ((left, right, left_ends[0], right_ends, spans[0]), (right, left, right_ends[0], left_ends, spans[1]))
-    for inside, around, point, (low, high), (first, last) in cases:
-        levels = min(LEVELS, int(((last or 0) - (first or 0)) // UNIT + 2).bit_length())
+    cases = ((left, right, left_ends[0], right_ends, *spans), (right, left, right_ends[0], left_ends, *reversed(spans)))
+    for inside, around, point, (low, high), points_of, ranges_of in cases:
+        first, last = points_of["first"], points_of["last"]
+        levels = min(LEVELS, int((last - first) // UNIT + 2).bit_length())
+        if ranges_of["longest"] is not None:  # a cell of level n is made of 2**n base cells
+            levels = min(levels, max(int(ranges_of["longest"]), 1).bit_length() - 1)
         start = F.greatest(F.col(low), F.timestamp_seconds(F.lit(first).cast("long")))
         end = F.least(F.col(high), F.timestamp_seconds(F.lit(last).cast("long")))  # NULL is passed over: an open end is the last point
         points = inside.withColumn("_cell", F.explode(point_cells(F.col(point), levels)))

@@ -193,3 +193,22 @@ def test_bucketed_scans_equal_plain_ones(spark):
                 best = v if best is None else max(best, v)
             assert got[n] == (total, best, before)
             before = e
+
+
+def test_points_are_dealt_to_no_level_above_the_longest_interval(spark):
+    from noticewindows.functions import cells
+
+    rows = [(n, n % 97 * 40_000 + n, n % 97 * 40_000 + n + n % 5 * 3000) for n in range(300)]
+
+    def side(p, data):
+        at = spark.createDataFrame([("k", *r) for r in data], f"k string, {p}n long, {p}s long, {p}e long")
+        return at.select("k", f"{p}n", F.timestamp_seconds(f"{p}s").alias(f"{p}low"), F.timestamp_seconds(f"{p}e").alias(f"{p}high"))
+
+    hit = (F.col("alow") <= F.col("bhigh")) & (F.col("blow") <= F.col("ahigh"))
+    for more in ([], [(900, 0, 4_000_000)], [(900, 5, None)]):
+        b = [*rows[::3], *more]
+        joins = cells.overlaps(side("a", rows), side("b", b), ["k"], ("alow", "ahigh"), ("blow", "bhigh"), F.coalesce(hit, F.col("alow") >= F.col("blow")))
+        got = sorted((r.an, r.bn) for j in joins for r in j.select("an", "bn").collect())
+        assert got == sorted((x[0], y[0]) for x in rows for y in b if (y[2] is None or x[1] <= y[2]) and y[1] <= x[2])
+    one, other = cells._spans(side("a", rows), side("b", [(900, 5, None)]), (("alow", "ahigh"), ("blow", "bhigh")))
+    assert one["longest"] == 4 and other["longest"] is None
