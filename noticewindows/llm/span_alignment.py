@@ -36,10 +36,10 @@ from noticewindows.llm.textblocks import WHITE, slabs, span_hashes, text_bytes
 from noticewindows.llm.token_files import ODD_SPACE
 
 MARK = "▁"
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 ROW_GROUP_BYTES = 16 << 20  # of the links on disk, so that writers hold little
-CACHE_BYTES = 96 << 20  # of aligned chunks in a worker; beyond that it starts anew
-BATCH = 20_000  # chunks that the libraries encode at once
+CACHE_BYTES = 64 << 20  # of aligned chunks in a worker; beyond that it starts anew
+BATCH = 5_000  # chunks that the libraries encode at once
 BROADCAST_PAIRS = 2_000_000  # rows of 17 bytes
 
 
@@ -88,9 +88,9 @@ def refined(clean: np.ndarray, coarse: np.ndarray, lengths: np.ndarray, first: n
 
 
 class Aligner:
-    """Aligned chunks of a worker."""
+    """Aligned chunks of a worker.  Tokens and their ends are kept only with ``spans``; figures and links do without."""
 
-    def __init__(self, byte_level: str, pieces: str):
+    def __init__(self, byte_level: str, pieces: str, spans: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -108,6 +108,7 @@ class Aligner:
         self.digits = Strings([str(i).encode() for i in range(max(len(named), len(spelled)))])
         self.cuts = self._cuts(spelled)
         self.mark = self.b.piece_to_id(MARK)
+        self.spans = spans
         self._forget()
 
     @staticmethod
@@ -129,13 +130,15 @@ class Aligner:
         whole, small = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.keys = np.zeros(0, np.uint64)
         # of each chunk: number of A and B tokens, groups, links and characters of its digest, and where each begins
-        self.n = {k: whole for k in ("a", "b", "groups", "links", "text")}
-        self.place = {k: whole for k in ("a", "b", "links", "text")}
+        self.n = {"a": small, "b": small, "groups": small, "links": small, "text": whole}
+        self.place = {k: whole for k in (("a", "b") if self.spans else ()) + ("links", "text")}
         self.right = np.zeros(0, dtype=bool)
-        self.flat = {"a": small, "a_end": small, "b": small, "b_end": small, "links": whole, "text": np.zeros(0, np.uint8)}
+        self.flat = {k: small for k in (("a", "a_end", "b", "b_end") if self.spans else ())}
+        self.flat |= {"links": whole, "text": np.zeros(0, np.uint8)}
 
     def _size(self) -> int:
-        return 81 * len(self.keys) + sum(x.nbytes for x in self.flat.values())
+        held = [self.keys, self.right, *self.n.values(), *self.place.values(), *self.flat.values()]
+        return sum(x.nbytes for x in held)
 
     # -- tokens of new chunks --------------------------------------------------------------------------------
 
@@ -314,13 +317,13 @@ class Aligner:
         return (n > 0) & (good[offsets[1:]] - good[offsets[:-1]] == n)
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+_ALIGNERS: dict[tuple[str, str, bool], Aligner] = {}
 
 
-def aligner(files: tuple[str, str]) -> Aligner:
-    if files not in _ALIGNERS:
-        _ALIGNERS[files] = Aligner(*files)
-    return _ALIGNERS[files]
+def aligner(files: tuple[str, str], spans: bool = True) -> Aligner:
+    if (*files, spans) not in _ALIGNERS:
+        _ALIGNERS[*files, spans] = Aligner(*files, spans)
+    return _ALIGNERS[*files, spans]
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -380,7 +383,7 @@ def _listed(files: tuple[str, str], text: str, rows: bool):
     """Figures and links of every row, then rows of their own with the task's counts of id pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, sums, kept = aligner(files), _Counts(), []
+        align, sums, kept = aligner(files, spans=False), _Counts(), []
         for batch in slabs(batches, text, SLAB_BYTES):
             place = batch.schema.get_field_index(text)
             chunk, offsets, _, _ = align.chunks(batch.column(place))
@@ -422,6 +425,7 @@ def _looked_up(table):
     """Sums over the links of each row from the broadcast counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ALIGNERS.clear()  # workers that aligned texts go on with the table instead
         pairs, counts, best = table.value
         index = pd.Index(pairs)
         for batch in batches:

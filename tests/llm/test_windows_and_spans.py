@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -206,6 +207,28 @@ def test_pair_counts_cover_all_rows(spark, monkeypatch):
     assert all(r.best == (r.n == best[r.b_id]) for r in got.collect())
 
 
+def test_workers_keep_of_alignment_only_what_figures_need():
+    texts = mixed_texts(5, 40)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    files = span_alignment.default_files()
+    listed = list(span_alignment._listed(files, "text", True)(iter([batch])))
+    lean, full = span_alignment.aligner(files, spans=False), span_alignment.aligner(files)
+    full.chunks(batch.column(1))
+    assert len(lean.keys) == len(full.keys) and set(lean.flat) == {"links", "text"}
+    assert lean._size() < 0.7 * full._size()
+    links = pa.concat_arrays([b.column("links") for b in listed])
+    pairs = np.unique(links.flatten().to_numpy())
+
+    class Table:
+        value = (pairs, np.ones(len(pairs), np.int64), np.ones(len(pairs), np.int8))
+
+    rows = [b.drop_columns(["counts"]) for b in listed if b.column("counts").null_count]
+    out = list(span_alignment._looked_up(Table)(iter(rows)))
+    assert sum(b.num_rows for b in out) == len(texts)
+    assert all(b.column("n_best").to_pylist() == b.column("n_links").to_pylist() for b in out)
+    assert not span_alignment._ALIGNERS
+
+
 def test_alignment_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert span_alignment.summarise(docs).collect() == []
