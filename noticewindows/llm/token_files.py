@@ -31,7 +31,8 @@ from noticewindows.llm import store
 from noticewindows.llm.textblocks import WHITE, slabs, span_hashes, text_bytes
 
 END_ID = 2
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 1 << 20
+BATCH = 2_000  # chunks that the library encodes at once
 CACHE_BYTES = 64 << 20  # of the chunks that a worker remembers; beyond that it starts anew
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -71,8 +72,8 @@ class ChunkEncoder:
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flats, sizes = [], []
-        for at in range(0, len(pieces), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)]
+        for at in range(0, len(pieces), BATCH):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + BATCH], add_special_tokens=False)]
             size = np.fromiter((len(x) for x in found), np.int64, len(found))
             flats.append(np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
             sizes.append(size)

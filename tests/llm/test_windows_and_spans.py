@@ -243,6 +243,22 @@ def test_special_tokens_follow_the_plain_call(spark):
         assert r.ids == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
+def test_chunks_are_encoded_in_small_batches():
+    texts = [f"w{i} v{i}" for i in range(3000)]
+    encoder, sizes = token_files.ChunkEncoder(BYTE_LEVEL), []
+
+    class Library:
+        def encode_batch_fast(self, pieces, **options):
+            sizes.append(len(pieces))
+            return library.encode_batch_fast(pieces, **options)
+
+    library, encoder.tokenizer = encoder.tokenizer, Library()
+    ids, offsets = encoder.encode(pa.array(texts), 2)
+    assert sum(sizes) == 6000 and max(sizes) <= 2000
+    for i in (0, 1999, 2999):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*library.encode(texts[i], add_special_tokens=False).ids, 2]
+
+
 # -- conversations ---------------------------------------------------------------------------------------------
 
 BLANKS = " \t\n\x0b\x0c\r"
