@@ -492,3 +492,14 @@ def test_layouts_outside_the_training_rule(page_model):
         extra += sum((got - want).values())
     print("recall", found / wanted, "extra", extra / wanted)
     assert found / wanted > 0.97 and extra / wanted < 0.03
+
+
+def test_signatures_come_in_small_slabs():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(60_000)) for i in range(8)]
+    batch = pa.record_batch({"doc_id": pa.array(range(8)), "text": pa.array(texts)})
+    out = list(minhash_join._signatures(4)(iter([batch])))
+    assert max(sum(len(texts[i]) for i in b.column(0).to_pylist()) for b in out) <= 2 << 20
+    single = [b for i in range(8) for b in minhash_join._signatures(4)(iter([batch.slice(i, 1)]))]
+    assert pa.Table.from_batches(out).to_pylist() == pa.Table.from_batches(single).to_pylist()
