@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticewindows.functions import timecols
 from noticewindows.operators import validate
+from noticewindows.session import cut_lineage
 
 POST = ("firm", "post_key")
 FIELDS = (
@@ -180,6 +181,7 @@ def flag_disputes(
 ) -> DataFrame:
     """Disputes as rejections, where validation would accept the event or only hold it back."""
     judged = validate.judge_events(disputes, posts, firms, rules, now)
+    judged = cut_lineage(judged.select(*POST, "event_ord", *FIELDS, "dispute", "reason", "retryable"), "disputed")
     worth = judged.filter(F.col("reason").isNull() | F.col("retryable"))
     return worth.select(
         *POST,

@@ -70,6 +70,27 @@ def test_rules_in_order(spark):
     assert got[13].low and got[13].reason is None
 
 
+def test_filters_on_verdicts_do_not_repeat_the_rules(spark):
+    """A filter on ``reason`` used to be copied below all steps, with every pattern in it, into code too large to compile."""
+    firms = spark.createDataFrame([("f", "UTC", False)], "firm string, timezone string, require_stated_offset boolean")
+    posts = spark.createDataFrame([("f", "p", TEXT, "")], "firm string, post_key string, text string, url string")
+    rows = spark.createDataFrame(
+        [raw(1, ev="saturday 6 june 08:00"), raw(2, ev="saturday 6 june 08:00", start="whenever"), raw(3, firm=None, ev="not in any text"), raw(4, start="2027-06-06T08:00:00", end="2027-06-06T14:00:00")],
+        RAW,
+    )
+    now = timecols.iso_instant(F.lit("2026-06-01T12:00:00"))
+    events, rejections = validate.validate_events(rows, posts, firms, validate.EventRules(), now)
+    flagged = vote.flag_disputes(rows.withColumn("dispute", F.lit("one of two")), posts, firms, validate.EventRules(), now)
+    for found in (events, rejections, flagged):
+        assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.event_ord: (r.evidence, r.confidence) for r in events.collect()} == {
+        1: ("saturday 6 june 08:00", "high"),
+        3: ("not in any text", "high"),  # no post, no text to look in
+    }
+    assert {(r.event_ord, r.retryable) for r in rejections.collect()} == {(2, False), (4, True)}
+    assert {r.event_ord for r in flagged.collect()} == {1, 3, 4}
+
+
 def test_toggles_and_empty_text(spark):
     strict = validate.EventRules(reject_low_confidence=True, require_evidence=True)
     got = judge(spark, [raw(1, conf="low"), raw(2), raw(3, ev="Dec 25"), raw(4, ev="not in here at all")], strict)
