@@ -237,6 +237,34 @@ def test_exported_feed_is_sound_in_every_zone(spark, tmp_path):
         assert b"X-WR-CALNAME:G Trading Updates (late_open)" in none
 
 
+def test_blocks_are_exported_as_the_same_files_and_dealt_once(spark, tmp_path):
+    """Blocks are shuffled whole, not line by line; whether a feed is in the zone is joined to selections, not to lines."""
+    at = "timestamp'2026-10-25 00:30:00' + make_interval(0, 0, 0, 0, cast(id as int))"
+    w = spark.range(0, 300, 1, 4).select(
+        F.concat(F.lit("f"), (F.col("id") % 7).cast("string")).alias("firm"), F.when(F.col("id") % 2 == 0, "other").otherwise("late_open").alias("event_type"),
+        F.concat(F.lit("k"), "id").alias("event_key"), F.repeat(F.lit("é"), 50).alias("summary"), F.lit("q").alias("evidence"), F.lit("l").alias("link"),
+        F.lit(5).alias("arrival_seq"), F.col("id").alias("pos"), F.expr(at).alias("start_at"), F.expr(f"{at} + interval 2 hours").alias("end_at"),
+    )
+    ids = [("all", None, None), ("one", ["f1"], None), ("two", ["f2", "f3"], ["other"]), ("none", ["g"], None)]
+    selections = spark.createDataFrame(ids, "feed_id string, firms array<string>, types array<string>")
+    names = spark.createDataFrame([(f"f{n}", f"Desk {n}") for n in range(7)], "firm string, title string")
+    for zone in ("Europe/London", "UTC"):
+        given = (w, selections, names, timecols.iso_instant(F.lit("2026-01-01")), zone, (15,), 60)
+        lines, blocks = feed.feed_lines(*given), feed.feed_lines(*given, blocks_only=True)
+        local = zone != "UTC"
+        assert lines.filter("feed_id = 'one' and line like 'DTSTART;TZID=Europe/London:%'").count() == (42 if local else 0)
+        assert lines.filter("feed_id = 'one' and line like 'DTSTART:%Z'").count() == (1 if local else 43)  # one in the repeated hour
+        assert blocks.filter("part = 2").count() == 300 + 43 + 43 and blocks.count() < lines.count() / 10
+        plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Join LeftOuter" in x and "lines" in x]
+        got = {}
+        for name, rows in (("lines", lines), ("blocks", blocks)):
+            path = tmp_path / f"{name}-{zone[:3]}"
+            feed.export_feed(rows, str(path), 3)
+            got[name] = {f: b"".join(p.read_bytes() for p in sorted((path / f"feed_id={f}").glob("part-*"))) for f, _, _ in ids}
+        assert got["blocks"] == got["lines"] and got["blocks"]["all"].count(b"BEGIN:VEVENT") == 300
+
+
 def test_overlap_equals_brute_force(spark):
     rng = random.Random(9)
     base = datetime(2026, 1, 1)
