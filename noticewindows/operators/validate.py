@@ -36,9 +36,12 @@ def check_times(raw: DataFrame, rules: EventRules, now: Column) -> DataFrame:
     ``raw`` carries the firm's ``timezone`` and ``require_stated_offset``.  When both bounds fall
     back to the zone, order and length are judged on the clock, otherwise on instants.
     """
-    offset = F.when(F.col("stated_utc_offset") != "", timecols.parse_offset(F.col("stated_utc_offset")))
+    offset = F.when(F.col("stated_utc_offset") != "", timecols.offset_of_parts(F.col("_o_text"), F.col("_o_parts")))
     start, end = F.col("start_time"), F.col("end_time")
-    rows = raw.withColumns(
+    # columns of their own, so that their patterns are searched once per row
+    rows = raw.withColumn("_o_text", timecols.strip(F.col("stated_utc_offset")))
+    rows = rows.withColumn("_o_parts", timecols.offset_parts(F.col("_o_text")))
+    rows = rows.withColumns(
         {
             "_s_local": timecols.iso_local(start),
             "_e_local": timecols.iso_local(end),
@@ -80,7 +83,7 @@ def check_times(raw: DataFrame, rules: EventRules, now: Column) -> DataFrame:
         )
         .when(F.col("end_at") <= now, fv.REASON_ENDED)
     )
-    return rows.withColumn("time_reason", reason).drop("_s_local", "_e_local", "_s_own", "_e_own", "_stated")
+    return rows.withColumn("time_reason", reason).drop("_s_local", "_e_local", "_s_own", "_e_own", "_stated", "_o_text", "_o_parts")
 
 
 def _quotes_judged(raw: DataFrame, posts: DataFrame) -> DataFrame:

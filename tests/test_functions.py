@@ -7,7 +7,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import functions as F
 
 from noticewindows.functions import postkeys, running, textcols, timecols
-from noticewindows.operators import evaluate, feed
+from noticewindows.operators import evaluate, feed, validate
 
 ZONES = ["America/Chicago", "Europe/London", "Australia/Sydney", "Etc/GMT-3", "UTC"]
 # both sides of every 2026 change of the zones above, and the repeated hours
@@ -212,3 +212,20 @@ def test_points_are_dealt_to_no_level_above_the_longest_interval(spark):
         assert got == sorted((x[0], y[0]) for x in rows for y in b if (y[2] is None or x[1] <= y[2]) and y[1] <= x[2])
     one, other = cells._spans(side("a", rows), side("b", [(900, 5, None)]), (("alow", "ahigh"), ("blow", "bhigh")))
     assert one["longest"] == 4 and other["longest"] is None
+
+
+def test_offsets_are_told_from_text_as_their_patterns_tell_them(spark):
+    """The tests without a pattern that go before the patterns change no result, whatever the text looks like."""
+    texts = ["2024-01-02T03:04", "2024-01-02T03:04Z", "2024-01-02T03:04:05.5-0330", "2024-01-02T03:04+03:00\n", "2024-01-02", "10:00-03:00", "-03:00", "a-b:00Z", "x:00-y", "", None]
+    plain = F.regexp_replace("v", timecols._OWN_OFFSET, "")
+    own = F.when(F.col("v").rlike(timecols._OWN_OFFSET), F.unix_seconds(timecols.iso_instant(plain)) - F.unix_seconds(timecols.iso_instant(F.col("v"))))
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = rows.select(timecols.iso_local(F.col("v")).eqNullSafe(timecols.iso_instant(plain)), timecols.iso_offset_s(F.col("v")).eqNullSafe(own))
+    assert all(a and b for a, b in got.collect())
+    stated = {"+0330 ": 12_600, "GMT-3": -10_800, "+24": None, "+03:60": None, "\u0001+3": None, "-\u00013\u000130\u0001": None, " UTC+0530 ": 19_800, "": None, "+": None, None: None}
+    found = spark.createDataFrame([(t,) for t in stated], "v string").select("v", timecols.parse_offset(F.col("v"))).collect()
+    assert {r[0]: r[1] for r in found} == stated
+    # the offset is searched for in one place of the plan
+    raw = spark.createDataFrame([("2024-01-02T03:04", "2024-01-02T05:04", "+3", "UTC", False)], "start_time string, end_time string, stated_utc_offset string, timezone string, require_stated_offset boolean")
+    plan = validate.check_times(raw, validate.EventRules(), F.lit("2024-01-01").cast("timestamp"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UTC|GMT") == 1

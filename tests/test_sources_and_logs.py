@@ -462,3 +462,24 @@ def test_the_checker_of_feeds_carries_no_texts_on(spark):
     assert feed.feed_problems(feed_frame(spark, GOOD), block=5).count() == 0
     written = set(shared.glob("feed-l*")) - before
     assert written and all(not {"line", "params"} & set(spark.read.parquet(str(p)).columns) for p in written)
+
+
+def test_windows_written_once_give_the_same_views(spark):
+    """Queries that read the windows many times read one table of them; each run writes its own, and none stays behind."""
+    from noticewindows.plans import adapters as a
+    from noticewindows.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    lazy = a.before(spark, d)
+    with a.windows_once(spark, d):
+        views = [a.before(spark, d), a.extraction(spark, d), a.raw_events(spark, d), a.notices(spark, d), a.inventory(spark, d)]
+        for view in views:  # no view works out a window again
+            plan = view._jdf.queryExecution().optimizedPlan().toString()
+            assert "sha2" not in plan and "props" not in plan
+        first = a.windows(spark, d)
+    assert a.before(spark, d)._jdf.queryExecution().optimizedPlan().toString().count("sha2") >= 1
+    with a.windows_once(spark, d):
+        assert a.windows(spark, d) is not first
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(views[0]) == rows(lazy)
+    assert {"g1_run_report", "s10_state_round_trip", "t2_reconcile_stream"} <= {n for n, q in catalog.QUERIES.items() if hasattr(q, "__wrapped__")}
