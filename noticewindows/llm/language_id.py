@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 
 from noticewindows.llm import store
 from noticewindows.llm.kneser_ney import SharedArrays
-from noticewindows.llm.textblocks import slabs, text_bytes
+from noticewindows.llm.textblocks import released, slabs, text_bytes
 
 BUCKETS = 1 << 16
 BLOCK = 64  # languages whose counts a task or the driver holds at a time
 SCORES = 4_000_000  # likelihoods that a task holds at a time
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 1 << 20
 TEMPER = 20.0  # trigrams that count as one independent observation
 ALPHA = 0.5  # smoothing of trigram counts
 HOST_WEIGHT = 8.0  # documents that the suffix share counts for in a host share, likewise one level up
@@ -101,7 +101,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.concatenate([np.zeros(0, np.int64), *[total[language][at] for language, at in parts]])
         return pa.RecordBatch.from_arrays([languages, pa.array(buckets), pa.array(n)], names=["lang", "bucket", "n"])
 
-    for batch in slabs(batches, "text", SLAB_BYTES):
+    for batch in slabs(released(batches), "text", SLAB_BYTES):
         codes, offsets = trigram_codes(batch.column(1))
         found = batch.column(0).dictionary_encode()
         number = pc.fill_null(found.indices, -1).to_numpy(zero_copy_only=False)
@@ -151,7 +151,7 @@ def _likelihoods(model: TextModel):
         step, arrays = len(model.languages), SharedArrays(model.uri)
         blocks = [arrays.read(f"logs-{b}", "f4").reshape(-1, BUCKETS) for b in range(-(-step // BLOCK))]
         rows = max(1, SCORES // step)
-        for slab in slabs(batches, "_text", SLAB_BYTES):
+        for slab in slabs(released(batches), "_text", SLAB_BYTES):
             for batch in (slab.slice(i, rows) for i in range(0, slab.num_rows, rows)):
                 codes, offsets = trigram_codes(batch.column(batch.num_columns - 1))
                 sums = np.empty((batch.num_rows, step))

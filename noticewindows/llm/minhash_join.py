@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from noticewindows.llm import store
 from noticewindows.llm.components import connected
-from noticewindows.llm.textblocks import Words, mix, shingles, slabs
+from noticewindows.llm.textblocks import Words, mix, released, shingles, slabs
 
 COORDINATES = 48
 SHARED_KEYS = 27  # T: equal coordinates of a pair that is looked at
@@ -71,7 +71,7 @@ def marks_of(found: np.ndarray) -> np.ndarray:
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "text", SLAB_BYTES):
+        for batch in slabs(released(batches), "text", SLAB_BYTES):
             words = Words(batch.column(batch.schema.get_field_index("text")), lower=True)
             counts, digests, tokens = [], [], []
             for i in range(len(words)):
@@ -199,7 +199,7 @@ def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slabs(batches, "text", SLAB_BYTES):
+        for batch in slabs(released(batches), "text", SLAB_BYTES):
             words = Words(batch.column(batch.schema.get_field_index("text")), lower=True)
             sets = [shingle_set(words.hashes[words.offsets[i] : words.offsets[i + 1]], size) for i in range(len(words))]
             digests = batch.column(batch.schema.get_field_index("digest")).to_pylist()

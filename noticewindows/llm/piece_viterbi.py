@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticewindows.llm.textblocks import slabs, text_bytes
+from noticewindows.llm.textblocks import released, slabs, text_bytes
 from noticewindows.llm.token_files import ChunkEncoder
 
 MARK = "▁"
-SLAB_BYTES = 4 << 20
-KNOWN_PAIRS = 2_000_000  # judged piece pairs a task remembers
+SLAB_BYTES = 1 << 20
+KNOWN_PAIRS = 500_000  # judged piece pairs a task remembers
 MERGE, UNIGRAM = "merge", "unigram"
 UNKNOWN_PENALTY = 10.0
 
@@ -253,7 +253,7 @@ def encoder(model_file: str, kind: str) -> PieceEncoder:
 def _encode(model_file: str, kind: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_file, kind)
-        for batch in slabs(batches, "_text", SLAB_BYTES):
+        for batch in slabs(released(batches), "_text", SLAB_BYTES):
             column = batch.column(batch.num_columns - 1)
             ids, offsets = own.encode_column(column)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticewindows.llm import store
-from noticewindows.llm.textblocks import BASE, U, Words, mix, slabs, span_hashes
+from noticewindows.llm.textblocks import BASE, U, Words, mix, released, slabs, span_hashes
 
 # 1 = the word counts, 0 = the word may differ.  Found by a greedy cover; leaving one out would lose overlaps.
 MASKS = ("1111011", "110010111", "11000100111", "111100011", "1101010101", "11101101", "1010011011", "110100001011", "1101111")
@@ -42,7 +42,7 @@ SHORT_MASK_WORDS = min(SHORT_MASKS)  # shorter items are too short to mean anyth
 MIN_WORDS = 13
 MIN_SHARE = 0.75
 HELD_SEEDS = 4_000_000  # about 130 MB in a worker: hash, item and place of a seed, 16 MB of first bits
-SLAB_BYTES = 8 << 20
+SLAB_BYTES = 2 << 20
 COMPARED = 1 << 20  # words compared, or pairs of places made, at a time
 
 PUNCTUATION = np.zeros(256, dtype=bool)
@@ -214,7 +214,7 @@ def _overlaps(held, masks: tuple[str, ...], min_words: int, min_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = held.value
         needed = np.array([words_needed(n, min_words, min_share) for n in seeds.lengths.tolist()], np.int64)
-        for batch in slabs(batches, "text", SLAB_BYTES):
+        for batch in slabs(released(batches), "text", SLAB_BYTES):
             hashes, offsets = plain_words(batch.column(1))
             kept = []
             for text, item, diagonal in seeds.enough(seeds.diagonals(hashes, offsets), hashes, offsets, needed).tolist():

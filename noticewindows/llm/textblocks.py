@@ -7,6 +7,8 @@ Null and empty texts have no words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +131,15 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; after the last one, memory that the task has done with goes back to the machine: workers wait for
+    later tasks, which may be of another step, and the JVM beside them needs the room."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slabs(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds about ``limit`` bytes of text, or a single longer text."""
     for batch in batches:
