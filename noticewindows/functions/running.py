@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 from noticewindows.session import cut_lineage
 
 
-def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: str, label: str = "ordered") -> DataFrame:
-    """``df`` with ``bucket``, the number of the range of (key, order) that a row falls into.
+def in_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: str, label: str = "ordered", more: dict[str, Column] | None = None
+) -> DataFrame:
+    """``df`` with ``bucket``, the number of the range of (key, order) that a row falls into, and with the columns of
+    ``more``, made once the rows are in their ranges.
 
     ``order`` should be unique within a key: rows that are equal in it stay together.  The ranges are written to the
     shared folder, because they follow from a sample and all later steps must see the same ones.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(tasks, *keys, *order).withColumn(bucket, F.spark_partition_id().cast("long"))
-    return cut_lineage(placed, label)
+    return cut_lineage(placed.withColumns(more or {}), label)
 
 
 def _scan(
@@ -38,18 +41,15 @@ def _scan(
     carried: dict[str, Column],
 ) -> DataFrame:
     """Add, per name: the in-bucket window column and the value carried in from earlier buckets."""
-    # one shuffle serves both: the scan of the rows and the summary read the same exchange
-    df = df.repartition(*keys, bucket)
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    # the rows are shuffled once, by a struct, which also places and finds NULL keys; summaries are made before that
+    at = F.struct(*[F.col(c).alias(f"k{n}") for n, c in enumerate((*keys, bucket))])
+    inside = Window.partitionBy("__at").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     summary = df.groupBy(*keys, bucket).agg(*[c[1].alias(f"__s_{n}") for n, c in local.items()])
-    summary = summary.select(
-        *[F.col(k).alias(f"__k_{k}") for k in (*keys, bucket)],
-        *[carried[n].over(before).alias(f"__c_{n}") for n in local],
-    )
-    out = df.select("*", *[c[0].over(inside).alias(f"__l_{n}") for n, c in local.items()])
-    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in (*keys, bucket)]
-    return out.join(summary, same, "left").drop(*[f"__k_{k}" for k in (*keys, bucket)])
+    summary = summary.select(at.alias("__at"), *[carried[n].over(before).alias(f"__c_{n}") for n in local])
+    placed = df.withColumn("__at", at).repartition("__at")
+    out = placed.select("*", *[c[0].over(inside).alias(f"__l_{n}") for n, c in local.items()])
+    return out.join(summary, "__at", "left").drop("__at")
 
 
 def running_sum(

@@ -2,6 +2,7 @@
 
 import pathlib
 import random
+import re
 import time
 import urllib.robotparser
 from datetime import datetime, timedelta
@@ -483,3 +484,69 @@ def test_windows_written_once_give_the_same_views(spark):
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert rows(views[0]) == rows(lazy)
     assert {"g1_run_report", "s10_state_round_trip", "t2_reconcile_stream"} <= {n for n, q in catalog.QUERIES.items() if hasattr(q, "__wrapped__")}
+
+
+def test_ordered_scans_shuffle_their_rows_once(spark, tmp_path):
+    """A text that goes along with a running sum is in one exchange, NULL keys and all."""
+    rows = [(k, n, n % 5, f"text {n}") for n in range(60) for k in ("a", "b", None)]
+    path = str(tmp_path / "scanned")
+    spark.createDataFrame(rows, "k string, n long, v long, words string").write.parquet(path)
+    df = spark.read.parquet(path).withColumn("b", F.floor(F.col("n") / 7))
+    out = running.running_sum(df, ["k"], "b", ["n"], {"s": F.col("v")})
+    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\(\d+\) Exchange[^\n]*\nInput[^\n]*", plan)
+    assert len(inputs) > 1 and sum("words#" in x for x in inputs) == 1
+    got = {(r.k, r.n): r.s for r in out.collect()}
+    assert len(got) == 180 and all(s == sum(i % 5 for i in range(n + 1)) for (_, n), s in got.items())
+
+
+def test_blocks_are_numbered_as_their_lines_are(spark):
+    """Blocks are placed whole, without the lines of their windows: those are made, folded and numbered at the end."""
+    at = "timestamp'2026-10-25 00:30:00' + make_interval(0, 0, 0, 0, cast(id as int))"
+    w = spark.range(0, 90, 1, 4).select(
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("f"), (F.col("id") % 3).cast("string"))).alias("firm"), F.lit("other").alias("event_type"),
+        F.concat(F.lit("k"), "id").alias("event_key"), F.repeat(F.lit("é"), 50).alias("summary"), F.lit("q").alias("evidence"), F.lit("l").alias("link"),
+        (F.col("id") % 4).alias("arrival_seq"), F.col("id").alias("pos"), F.expr(at).alias("start_at"), F.expr(f"{at} + interval 2 hours").alias("end_at"),
+    )
+    selections = spark.createDataFrame([("all", None, None), ("one", ["f1"], None)], "feed_id string, firms array<string>, types array<string>")
+    names = spark.createDataFrame([("f1", "Desk")], "firm string, title string")
+    for zone in ("Europe/London", "UTC"):
+        given = (w, selections, names, timecols.iso_instant(F.lit("2026-01-01")), zone, (15, 60), 60)
+        blocks = feed.feed_lines(*given, blocks_only=True)
+        assert blocks.filter("part = 2 and lines is not null").count() == 0
+        want = sorted(map(tuple, feed.number_lines(feed.feed_lines(*given)).collect()))
+        got = sorted(map(tuple, feed.number_lines(blocks).collect()))
+        assert got == want and sum(r[2].startswith("BEGIN:VEVENT") for r in got) == 90 + 30  # windows without a firm are in "all"
+
+
+def test_the_checker_of_feeds_drops_texts_before_it_shuffles_and_joins_pieces_across_blocks(spark):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("feed-pieces*"))
+    at = GOOD.index("UID:1")
+    folded = [" FRONT"] + [x for line in GOOD for x in ((line[:3], "", f" {line[3:6]}", f"\t{line[6:]}") if len(line) > 6 else (line,))]
+    big = [*GOOD[:at], "DESCRIPTION:" + "d" * 60, " " + "e" * 60, "TRANSP:T", "SUMMARY:s", *GOOD[at:]]
+    rows = [(f, n, line, True) for f, lines in (("folded", folded[1:]), ("front", folded), ("big", big)) for n, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "feed_id string, line_no long, line string, ended boolean")
+    for block in (1, 2, 5, 100):
+        got = [(r.feed_id, r.code, r.detail[:11]) for r in feed.feed_problems(lines, block=block).collect()]
+        assert got == [("front", "structure", "not wrapped")]
+    tables = set(shared.glob("feed-pieces*")) - before
+    assert len(tables) == 4
+    for table in tables:
+        pieces = [r.piece for r in spark.read.parquet(str(table)).filter("feed_id = 'big'").collect()]
+        assert pieces and not any("ddd" in x for x in pieces)
+
+
+def test_selections_are_dealt_to_firms_and_types_and_windows_are_shuffled_to_feeds_once(spark, tmp_path):
+    path = str(tmp_path / "windows")
+    spark.range(0, 200, 1, 4).select(
+        F.concat(F.lit("f"), (F.col("id") % 7).cast("string")).alias("firm"), F.lit("other").alias("event_type"), F.concat(F.lit("k"), "id").alias("event_key"),
+        F.lit("s").alias("summary"), F.lit("q").alias("evidence"), F.lit("l").alias("link"), F.col("id").alias("arrival_seq"), F.lit(0).alias("pos"),
+        F.expr("timestamp'2026-01-05 00:30:00'").alias("start_at"), F.expr("timestamp'2026-01-05 02:30:00'").alias("end_at"),
+    ).write.parquet(path)
+    selections = spark.createDataFrame([("all", None, None), ("one", ["f1"], None), ("two", ["f1"], ["other"])], "feed_id string, firms array<string>, types array<string>")
+    names = spark.createDataFrame([("f1", "Desk")], "firm string, title string")
+    blocks = feed.feed_lines(spark.read.parquet(path), selections, names, timecols.iso_instant(F.lit("2026-01-01")), "Etc/GMT-3", blocks_only=True)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert blocks.filter("part = 2").count() == 200 + 29 + 29
+    assert not [x for x in plan.splitlines() if "Generate" in x and "event_key" in x] and "BEGIN:VEVENT" not in plan
