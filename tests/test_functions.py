@@ -229,3 +229,27 @@ def test_offsets_are_told_from_text_as_their_patterns_tell_them(spark):
     raw = spark.createDataFrame([("2024-01-02T03:04", "2024-01-02T05:04", "+3", "UTC", False)], "start_time string, end_time string, stated_utc_offset string, timezone string, require_stated_offset boolean")
     plan = validate.check_times(raw, validate.EventRules(), F.lit("2024-01-01").cast("timestamp"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("UTC|GMT") == 1
+
+
+def test_folding_equals_a_cut_by_octets(spark):
+    """Lines of characters of one to four octets around every limit; no line leaves the JVM to be folded."""
+    import random
+
+    def fold(text):
+        data, out, room = text.encode(), [], 75
+        while len(data) > room:
+            stop = room
+            while data[stop] & 0xC0 == 0x80:
+                stop -= 1
+            out.append(data[:stop].decode())
+            data, room = data[stop:], 74
+        return [out[0], *(" " + x for x in (*out[1:], data.decode()))] if out else [data.decode()]
+
+    rng = random.Random(3)
+    texts = ["", "x" * 75, "x" * 76, "x" * 149, "x" * 150, "x" * 10_000, "\n" * 200, "é" * 38, "🏖" * 19]
+    texts += ["".join(rng.choice("ab é€🏖\r\n\u0080\u00bf\t") for _ in range(rng.randint(10, 300))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    folded = df.select("t", textcols.ics_fold(F.col("t")).alias("parts"))
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString()
+    rows = folded.collect()
+    assert all(r.parts == ([None] if r.t is None else fold(r.t)) for r in rows) and len(rows) == len(texts) + 1

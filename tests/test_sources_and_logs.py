@@ -1,5 +1,6 @@
 """Pages, crawl tables, health, usage, feeds and streams on small tables."""
 
+import gzip
 import pathlib
 import random
 import re
@@ -550,3 +551,30 @@ def test_selections_are_dealt_to_firms_and_types_and_windows_are_shuffled_to_fee
     plan = blocks._jdf.queryExecution().optimizedPlan().toString()
     assert blocks.filter("part = 2").count() == 200 + 29 + 29
     assert not [x for x in plan.splitlines() if "Generate" in x and "event_key" in x] and "BEGIN:VEVENT" not in plan
+
+
+def test_packed_feeds_are_the_same_feeds(spark, tmp_path):
+    """Packed files in name order are one packed file; blocks are sorted whole, and small feeds do not make one large task."""
+    at = "timestamp'2026-10-25 00:30:00' + make_interval(0, 0, 0, 0, cast(id as int))"
+    w = spark.range(0, 400, 1, 4).select(
+        F.concat(F.lit("f"), (F.col("id") % 50).cast("string")).alias("firm"), F.lit("other").alias("event_type"), F.concat(F.lit("k"), "id").alias("event_key"),
+        F.repeat(F.lit("é🏖️"), 20).alias("summary"), F.lit("q").alias("evidence"), F.lit("l").alias("link"),
+        F.lit(5).alias("arrival_seq"), (F.col("id") * 7 % 400).alias("pos"), F.expr(at).alias("start_at"), F.expr(f"{at} + interval 2 hours").alias("end_at"),
+    )
+    ids = [("all", None, None), *[(f"one-{n}", [f"f{n}"], None) for n in range(50)]]
+    selections = spark.createDataFrame(ids, "feed_id string, firms array<string>, types array<string>")
+    names = spark.createDataFrame([(f"f{n}", f"Desk {n}") for n in range(50)], "firm string, title string")
+    blocks = feed.feed_lines(w, selections, names, timecols.iso_instant(F.lit("2026-01-01")), "Europe/London", (15,), 60, blocks_only=True)
+    got = {}
+    for packing in ("none", "gzip"):
+        path = tmp_path / packing
+        feed.export_feed(blocks, str(path), 7, packing)
+        files = {f: sorted((path / f"feed_id={f}").glob("part-*")) for f, _, _ in ids}
+        assert len(files["all"]) > 1 and all(p.name.endswith(".gz") == (packing == "gzip") for ps in files.values() for p in ps)
+        whole = {f: b"".join(p.read_bytes() for p in ps) for f, ps in files.items()}
+        got[packing] = {f: gzip.decompress(data) if packing == "gzip" else data for f, data in whole.items()}
+    assert got["gzip"] == got["none"]
+    uids = re.findall(rb"\r\nUID:k(\d+)@", got["gzip"]["all"])
+    assert sorted(uids, key=lambda x: int(x) * 7 % 400) == uids and len(uids) == 400
+    back = spark.read.option("lineSep", "\r\n").schema("value string, feed_id string").text(str(tmp_path / "gzip"))
+    assert back.groupBy("feed_id").agg(F.max(F.octet_length("value")).alias("n")).filter("n > 75").count() == 0
