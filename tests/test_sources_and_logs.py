@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from noticewindows import fixed_values as fv
-from noticewindows.functions import running, timecols
+from noticewindows.functions import cells, running, timecols
 from noticewindows.operators import feed, health, usage, windows
 from noticewindows.plans import adapters
 from noticewindows.sources import crawl, pages, profiles
@@ -578,3 +578,26 @@ def test_packed_feeds_are_the_same_feeds(spark, tmp_path):
     assert sorted(uids, key=lambda x: int(x) * 7 % 400) == uids and len(uids) == 400
     back = spark.read.option("lineSep", "\r\n").schema("value string, feed_id string").text(str(tmp_path / "gzip"))
     assert back.groupBy("feed_id").agg(F.max(F.octet_length("value")).alias("n")).filter("n > 75").count() == 0
+
+
+def test_overlaps_without_keys_are_spread_by_rows(spark, monkeypatch):
+    """Everything within one hour, so in one cell: the pairs, the square of the rows, are made by many tasks."""
+    monkeypatch.setattr(cells, "PER_TASK", 20, raising=False)
+    w = spark.range(0, 300, 1, 3).select(
+        F.lit("f").alias("firm"), F.lit("other").alias("event_type"), F.concat(F.lit("k"), "id").alias("event_key"),
+        F.expr("timestamp'2026-01-05 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, cast(id as int))").alias("start_at"),
+        F.expr("timestamp'2026-01-05 00:10:00' + make_interval(0, 0, 0, 0, 0, 0, cast(id as int))").alias("end_at"),
+    )
+    asked = spark.range(0, 200, 1, 3).select(
+        F.col("id").alias("req_id"), F.lit(None).cast("array<string>").alias("firms"), F.lit(None).cast("array<string>").alias("types"),
+        F.expr("timestamp'2026-01-05 00:01:00' + make_interval(0, 0, 0, 0, 0, 0, cast(id as int))").alias("from_at"),
+        F.expr("timestamp'2026-01-05 00:02:00' + make_interval(0, 0, 0, 0, 0, 0, cast(id as int))").alias("to_at"),
+    )
+    got = windows.window_overlap(w, asked).select("req_id", "event_key", F.spark_partition_id().alias("task")).collect()
+    pairs = [(r.req_id, int(r.event_key[1:])) for r in got]
+    assert len(set(pairs)) == len(pairs)
+    assert set(pairs) == {(q, k) for q in range(200) for k in range(300) if k + 600 > q + 60 and k < q + 120}
+    share = {}
+    for r in got:
+        share[r.task] = share.get(r.task, 0) + 1
+    assert len(share) >= 10 and max(share.values()) < len(pairs) / 4
