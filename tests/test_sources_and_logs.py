@@ -493,8 +493,13 @@ def test_ordered_scans_shuffle_their_rows_once(spark, tmp_path):
     path = str(tmp_path / "scanned")
     spark.createDataFrame(rows, "k string, n long, v long, words string").write.parquet(path)
     df = spark.read.parquet(path).withColumn("b", F.floor(F.col("n") / 7))
-    out = running.running_sum(df, ["k"], "b", ["n"], {"s": F.col("v")})
-    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        out = running.running_sum(df, ["k"], "b", ["n"], {"s": F.col("v")})
+        plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     inputs = re.findall(r"\(\d+\) Exchange[^\n]*\nInput[^\n]*", plan)
     assert len(inputs) > 1 and sum("words#" in x for x in inputs) == 1
     got = {(r.k, r.n): r.s for r in out.collect()}
